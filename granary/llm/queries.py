@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontam, html, mixing, pii, quality, sharding, tokens
+from granary.llm import decontam, html, lmscore, mixing, pii, quality, sharding, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_table(spark, sf_dir, "documents"))
 
 
+def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), 40)[0]
 
@@ -33,6 +37,11 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring.digested(_table(spark, sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +51,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op4_sharding, op5_html, op6_decontam, op7_pii, op9_quality, op10_tokens)}
+    return {f.__name__: f for f in (op1_mixing, op2_lmscore, op4_sharding, op5_html, op6_decontam, op7_pii, op8_substring, op9_quality, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
