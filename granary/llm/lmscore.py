@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.blocks import NO_ID, column, each, each_with, pack, word_hashes
 from granary.llm.common import written
-from granary.llm.tokens import vocabulary_path, word_ids
+from granary.llm.tokens import vocabulary, vocabulary_path
 
 CLASSES = 256
 WIDTH = 16
@@ -50,10 +50,8 @@ def buckets(path: str, words: list[bytes]) -> np.ndarray:
         _buckets.clear()
     new = [w for w in words if w not in _buckets]
     if new:
-        known = word_ids(path, [new])
         spread = lambda x: 1 + (x * 2654435761 & 0xFFFFFFFF) * (CLASSES - 1) // (1 << 32)
-        for w in new:
-            ids = known[w]
+        for w, ids in zip(new, vocabulary(path).ids(new)):
             _buckets[w] = spread(int.from_bytes(ids[:4], "little")) << 16 | spread(int.from_bytes(ids[-4:], "little")) if ids else 1 << 16 | 1
     both = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
     return np.stack([both >> 16, both & 0xFFFF], axis=1)

@@ -11,6 +11,7 @@ zero-padded) and checkpoints (bit offsets).
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from array import array
@@ -31,7 +32,7 @@ CHECKPOINT = 512
 #: Ids a block holds at least, unless its file ends; a document is never divided.
 BLOCK_IDS = 262_144
 #: Distinct words whose ids a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 END_ID = 2
 
 
@@ -41,43 +42,100 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-_words: dict[str, dict[bytes, bytes]] = {}
-_tokenizers: dict[str, object] = {}
+#: Signs that may follow a word. After a letter or digit they are pre-tokens of their own.
+SIGNS = b".,;:!?*#$%&"
 
 
-def word_ids(path: str, words: list[list[bytes]]) -> dict[bytes, bytes]:
-    """The ids (little-endian 32-bit) of each distinct word, remembered from batch to batch in a bounded table.
+class Vocabulary:
+    """A tokenizer, and the ids (little-endian, 32 bits) of words that it has met, in a table of bounded size.
 
-    The vocabulary's pre-tokenizer never joins what ASCII white space parts and drops the white space, so a
-    text's ids are its words' ids one after the other.
+    The vocabulary's pre-tokenizer never joins what ASCII white space parts and drops the white space, so a text's ids are
+    its words' ids one after the other. It also folds case, and parts letters from signs, so most words are looked up
+    in lower case and without the signs after them.
     """
-    if path not in _tokenizers:
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism
         from tokenizers import Tokenizer
 
-        _tokenizers[path] = Tokenizer.from_file(path)
-    known = _words.setdefault(path, {})
-    if len(known) > REMEMBERED:
-        known.clear()
-    new = list(set().union(*words) - known.keys())
-    for k in range(0, len(new), 20_000):
-        part = new[k : k + 20_000]
-        for w, e in zip(part, _tokenizers[path].encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-            known[w] = array("I", e.ids).tobytes()
-    return known
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = token.endswith("</w>")
+
+    def _encode(self, words: list[bytes]) -> None:
+        """Learn words: those of letters alone together, for each is one pre-token and ends where a token ends a word."""
+        plain, other = [], []
+        for w in words:
+            (plain if w.decode().isalpha() else other).append(w)
+        for lo in range(0, len(plain), 2_000):
+            part = plain[lo : lo + 2_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) != len(part) or cut[-1] != len(ids):
+                other += part
+                continue
+            blob, at = ids.tobytes(), 0
+            for w, e in zip(part, (cut * 4).tolist()):
+                self.known[w] = blob[at:e]
+                at = e
+        for lo in range(0, len(other), 2_000):
+            part = other[lo : lo + 2_000]
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
+                self.known[w] = array("I", e.ids).tobytes()
+
+    def learn(self, words: set[bytes]) -> None:
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        bare = {w: w.rstrip(SIGNS) for w in words}
+        split = {w: c for w, c in bare.items() if c != w and c and c[-4:].decode(errors="ignore")[-1:].isalnum()}
+        self._encode([w for w in {split.get(w, w) for w in words} | {w[len(c) :] for w, c in split.items()} if w not in known])
+        for w, c in split.items():
+            known[w] = known[c] + known[w[len(c) :]]
+
+    def ids(self, words: list[bytes]) -> list[bytes]:
+        """Every word's ids."""
+        got = list(map(self.known.get, words))
+        new = [k for k, g in enumerate(got) if g is None]
+        if new:
+            self.learn({words[k] for k in new})
+            for k in new:
+                got[k] = self.known[words[k]]
+        return got
+
+
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """This process's vocabulary of a path."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """A text's words, in lower case unless it may hold special tokens, which know case."""
+    return (text if b"<|" in text else text.lower()).split()
 
 
 def encode_texts(path: str, texts: list[bytes]) -> list[np.ndarray]:
     """Ids of every text, without the end id."""
-    out: list[np.ndarray] = []
-    k = 0
-    while k < len(texts):  # by pieces, so that a batch of long texts needs no more memory than one of them
-        size, words = 0, []
-        while k < len(texts) and (not words or size < 8_000_000):
-            words.append(texts[k].split())
+    v, out, k = vocabulary(path), [], 0
+    while k < len(texts):  # by pieces, so that a batch of long texts needs little more memory than its longest
+        size, words, n = 0, [], []
+        while k < len(texts) and (not n or size < 2_000_000):
+            w = words_of(texts[k])
+            words += w
+            n.append(len(w))
             size += len(texts[k])
             k += 1
-        known = word_ids(path, words)
-        out += [np.frombuffer(b"".join(map(known.__getitem__, w)), dtype="<u4") for w in words]
+        got, at = v.ids(words), 0
+        for x in n:
+            out.append(np.frombuffer(b"".join(got[at : at + x]), dtype="<u4"))
+            at += x
     return out
 
 
