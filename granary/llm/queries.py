@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import decontam, html, lmscore, mixing, pii, quality, sharding, substring, tokens
+from granary.llm import decontam, html, jaccard, lmscore, mixing, pii, quality, sharding, substring, tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(_table(spark, sf_dir, "documents"))[0]
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_table(spark, sf_dir, "documents"), 40)[0]
 
@@ -51,7 +55,7 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_lmscore, op4_sharding, op5_html, op6_decontam, op7_pii, op8_substring, op9_quality, op10_tokens)}
+    return {f.__name__: f for f in (op1_mixing, op2_lmscore, op3_jaccard, op4_sharding, op5_html, op6_decontam, op7_pii, op8_substring, op9_quality, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
