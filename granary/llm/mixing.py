@@ -28,25 +28,30 @@ BUDGET = 0.8
 SEED = 17
 
 
-def topic_of(text: Column) -> Column:
+LOWER = "abcdefghijklmnopqrstuvwxyz"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text; of one without words, one empty string."""
+    return F.split(F.btrim(text, F.lit(BLANKS)), SPACE)
+
+
+def topic_of(text: Column, words: Column) -> Column:
     """A document's form, for corpora without topics: fragment, symbols, shouting, repeats, longform or prose."""
-    words = F.split(F.trim(F.regexp_replace(text, SPACE, " ")), " ")
     n = F.size(words)
-    upper = F.length(F.regexp_replace(text, r"[^\p{Lu}]", ""))
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
     symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    lower = F.length(text) - F.length(F.translate(text, LOWER, ""))
     return (
-        F.when(n < 50, "fragment").when(symbols * 4 > n, "symbols").when(upper * 2 > letters, "shouting")
+        F.when(n < 50, "fragment").when(symbols * 4 > n, "symbols").when(lower * 4 < F.length(text), "shouting")
         .when(F.size(F.array_distinct(words)) * 3 < n, "repeats").when(n > 1000, "longform").otherwise("prose")
     )
 
 
 def attributes(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic and n_tokens (words) of every document."""
-    text = F.coalesce("text", F.lit(""))
-    bare = F.translate(text, BLANKS, "")
-    n = F.when(F.length(bare) == 0, 0).otherwise(F.size(F.split(F.trim(F.regexp_replace(text, SPACE, " ")), " ")))
-    return docs.select("doc_id", "source", "lang", topic_of(text).alias("topic"), n.cast("long").alias("n_tokens"))
+    d = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t")))
+    n = F.when(F.get("w", F.lit(0)) == "", 0).otherwise(F.size("w"))
+    return d.select("doc_id", "source", "lang", topic_of(F.col("t"), F.col("w")).alias("topic"), n.cast("long").alias("n_tokens"))
 
 
 def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray], tolerance: float = 1e-10, rounds: int = 1000) -> np.ndarray:
@@ -135,7 +140,7 @@ def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS
     attrs = written(attributes(docs), "attributes")
     cells = calibrated(attrs, targets, budget)
     text = F.coalesce("text", F.lit(""))
-    own = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text)}
+    own = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text, words_of(text))}
     p = F.lit(1.0)
     # The cells as one constant map: bounded by the tables of targets.
     rows = cells.collect()
