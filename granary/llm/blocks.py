@@ -16,13 +16,15 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from granary.llm.common import text_bytes, written
 
 #: Stands for a null doc_id: such documents come after all others.
 NO_ID = (1 << 63) - 1
 BLOCK_BYTES = 4_000_000
-REMEMBERED = 1_000_000
+REMEMBERED = 500_000
 ODD, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
@@ -62,33 +64,38 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix((sums[n:] - sums[:-n]) * np.multiply.accumulate(up))
 
 
+def pieces(batches, most: int):
+    """(number, ids, texts) of about most bytes of text, from batches of doc_id and text bytes; numbers differ between tasks."""
+    k, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+    for b in batches:
+        for d, t in zip(b.column(0).to_pylist(), b.column(1)):
+            ids.append(NO_ID if d is None else d)
+            texts.append(t.as_py())
+            size += len(texts[-1])
+            if size >= most:
+                yield k, ids, texts
+                k, ids, texts, size = k + 1, [], [], 0
+    if ids:
+        yield k, ids, texts
+
+
 def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of whole documents: block, n_docs, blob. As a written table, so block numbers stay what they are."""
 
     def run(batches):
-        base = TaskContext.get().partitionId() << 32
-        z = zstandard.ZstdCompressor(level=1)
-        ids, texts, size, k = [], [], 0, 0
-
-        def row() -> pa.RecordBatch:
+        z = zstandard.ZstdCompressor(level=3)
+        for k, ids, texts in pieces(batches, block_bytes):
             blob = z.compress(pickle.dumps((ids, texts), protocol=5))
-            return pa.RecordBatch.from_arrays([pa.array([base + k], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["block", "n_docs", "blob"])
-
-        for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                ids.append(NO_ID if d is None else d)
-                texts.append(t.as_py())
-                size += len(texts[-1])
-                if size >= block_bytes:
-                    yield row()
-                    ids, texts, size, k = [], [], 0, k + 1
-        if ids:
-            yield row()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([len(ids)], pa.int64()), pa.array([blob], pa.binary())], names=["block", "n_docs", "blob"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text")).alias("text"))
     return written(rows.mapInArrow(run, "block long, n_docs long, blob binary"), "blocks")
 
 
+def empty_table(schema: str) -> pa.Table:
+    return to_arrow_schema(_parse_datatype_string(schema)).empty_table()
+
+
 def unpack(blob: bytes) -> tuple[list[int], list[bytes]]:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
 
@@ -107,20 +114,13 @@ def each(blocks: DataFrame, make, schema: str) -> DataFrame:
 def each_with(blocks: DataFrame, answers: DataFrame, make, schema: str) -> DataFrame:
     """make(block, doc_ids, texts, its rows of answers) -> pa.Table for every block."""
 
+    empty = empty_table(schema)
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         parts = [make(k, *unpack(blob.as_py()), right) for k, blob in zip(left.column("block").to_pylist(), left.column("blob"))]
-        return pa.concat_tables(parts) if parts else None
-
-    def safe(left: pa.Table, right: pa.Table) -> pa.Table:
-        return run(left, right) if left.num_rows else empty
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType, _parse_datatype_string
+        return pa.concat_tables(parts) if parts else empty
 
-    kind = _parse_datatype_string(schema)
-    assert isinstance(kind, StructType)
-    empty = to_arrow_schema(kind).empty_table()
-    return blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(safe, schema)
+    return blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
 
 
 def column(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -24,11 +25,25 @@ def scratch_root(spark: SparkSession) -> str:
     return "file://" + _own["dir"]
 
 
-def written(df: DataFrame, name: str, keep_order: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, reread: lineage is cut and a lost executor costs nothing done before."""
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again, and let Spark's cleaner drop the shuffle files of plans that are
+    gone; it learns of those from the JVM's garbage collector, which may otherwise not run before the disk is full."""
+    jvm = tables[0].sparkSession._jvm
+    conf = tables[0].sparkSession._jsparkSession.sessionState().newHadoopConf()
+    for t in tables:
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def text_bytes(col: Column) -> Column:
@@ -58,7 +73,8 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
         small = large.join(small_least, large.hi == small_least.u).select(
             F.explode(F.array(F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")), F.struct(F.col("hi").alias("hi"), F.col("m").alias("lo")))).alias("x")
         ).select("x.lo", "x.hi").where("lo < hi").distinct()
-        e = written(small, name)
+        before, e = e, written(small, name)
+        forget(before)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
         if now == last:
             break

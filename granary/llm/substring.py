@@ -7,7 +7,8 @@ like any others. Only factors of SPAN words or more exist; their words are remov
 
 Each block's index answers for its own documents. Between blocks, anchors tell which windows are worth asking
 about: the least hash of the K-word sequences in a window is the same wherever the window stands, so a window in two
-blocks has an anchor in two blocks. Windows with such an anchor are looked up exactly, by hash, across all blocks.
+blocks has an anchor in two blocks. Windows with such an anchor are looked up exactly, by hash, across all blocks. A document
+that equals an earlier one word for word is one factor, and is looked up as a whole.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from granary.llm.blocks import NO_ID, column, each, each_with, pack, window_hashes, word_hashes
-from granary.llm.common import written
+from granary.llm.common import forget, written
 
 SPAN = 50
 K = 8
@@ -35,12 +36,17 @@ class Parsed:
         self.starts = np.cumsum(self.n) - self.n
         h = word_hashes([w for ws in self.words for w in ws])
         k = min(K, span)
+        # A hash of each whole document; 0 for those too short to hold a window.
+        self.whole = np.zeros(len(ids), dtype=np.uint64)
+        for d in np.flatnonzero(self.n >= span):
+            self.whole[d] = window_hashes(h[self.starts[d] : self.starts[d] + self.n[d]], int(self.n[d]))[0] + np.uint64(self.n[d])
+        self.ids = np.array(ids, dtype=np.int64)
         # Windows that reach into the next document are no windows.
         last = np.repeat(self.starts + self.n - span, self.n)
         self.at = np.flatnonzero(np.arange(len(h)) <= last)
         self.window = window_hashes(h, span)[self.at]
         self.doc = np.repeat(np.arange(len(ids)), self.n)[self.at]
-        self.id = np.array(ids, dtype=np.int64)[self.doc]
+        self.id = self.ids[self.doc]
         if anchors:
             g = window_hashes(h, k)
             self.anchor = _least(g, span - k + 1)[self.at] if len(self.at) else g[:0]
@@ -86,34 +92,68 @@ def factors(doc: np.ndarray, at: np.ndarray, found: np.ndarray, span: int) -> tu
     return doc[f[b]], at[f[b]], at[f[e]] - at[f[b]] + span
 
 
+def _copies(p: Parsed, keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """Which documents equal one with a smaller id, by the answers about whole documents."""
+    out = np.zeros(len(p.ids), dtype=bool)
+    if len(keys):
+        by = np.argsort(keys)
+        keys, owners = keys[by], owners[by]
+        k = np.searchsorted(keys, p.whole)
+        k[k == len(keys)] = 0
+        out = (keys[k] == p.whole) & (p.n > 0) & (p.whole != 0) & (owners[k] < p.ids)
+    return out
+
+
 def earlier(blocks: DataFrame, span: int = SPAN) -> DataFrame:
-    """(block, window): the windows of each block that stand in another block's document with a smaller id than any
-    document that has them in this block."""
+    """Answers for each block: (block, window, null) for the windows of the block that stand in another block's document with
+    a smaller id than any document that has them in this one, and (block, hash, owner) for its whole documents that are in
+    other blocks too, owner being the smallest id."""
 
     def anchors(k, ids, texts):
-        a = np.unique(Parsed(ids, texts, span).anchor)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), k)), pa.array(a.view(np.int64))], names=["block", "anchor"])
-
-    rows = written(each(blocks, anchors, "block long, anchor long"), "anchors")
-    shared = rows.groupBy("anchor").count().where("count > 1").select("anchor")
-    asked = rows.join(shared, "anchor").select("block", "anchor")
+        p = Parsed(ids, texts, span)
+        a = np.unique(p.anchor)
+        real = p.whole != 0
+        w, first = _first(p.whole[real], p.ids[real])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(a) + len(w), k)), pa.array(np.concatenate([a, w]).view(np.int64)), pa.array([None] * len(a) + first.tolist(), pa.int64())], names=["block", "key", "first"]
+        )
+
+    rows = written(each(blocks, anchors, "block long, key long, first long"), "anchors")
+    whole = F.col("first").isNotNull().alias("whole")
+    shared = rows.groupBy("key", whole).agg(F.count("*").alias("m"), F.min("first").alias("owner")).where("m > 1").select("key", "whole", "owner")
+    asked = written(rows.select("block", "key", whole).join(shared, ["key", "whole"]).select("block", "key", "owner"), "asked")
+    forget(rows)
 
     def windows(k, ids, texts, answers):
         p = Parsed(ids, texts, span)
-        hot = _in(p.anchor, np.sort(column(answers, "anchor").view(np.uint64)))
+        key = column(answers, "key").view(np.uint64)
+        anchor = np.asarray(answers.column("owner").is_null()) if answers.num_rows else np.zeros(0, dtype=bool)
+        copy = _copies(p, key[~anchor], _longs(answers, "owner"))
+        hot = _in(p.anchor, np.sort(key[anchor])) & ~copy[p.doc]
         w, d = _first(p.window[hot], p.id[hot])
         return pa.table({"block": pa.array(np.full(len(w), k), pa.int64()), "window": pa.array(w.view(np.int64)), "first": pa.array(d)})
 
     w = written(each_with(blocks, asked, windows, "block long, window long, first long"), "windows")
     owner = w.groupBy("window").agg(F.min("first").alias("owner"), F.max("first").alias("last")).where("owner < last").select("window", "owner")
-    return w.join(owner, "window").where("owner < first").select("block", "window")
+    found = w.join(owner, "window").where("owner < first").select("block", "window", F.lit(None).cast("long").alias("owner"))
+    out = written(found.union(asked.where("owner IS NOT NULL").select("block", F.col("key").alias("window"), "owner")), "earlier")
+    forget(w, asked)
+    return out
+
+
+def _longs(answers: pa.Table, name: str) -> np.ndarray:
+    """The values of a column that are not null."""
+    return answers.column(name).drop_null().to_numpy() if answers.num_rows else np.zeros(0, dtype=np.int64)
 
 
 def _parse(ids, texts, answers, span):
     p = Parsed(ids, texts, span, anchors=False)
     w, d = _first(p.window, p.id)
     found = d[np.searchsorted(w, p.window)] < p.id if len(w) else np.zeros(0, dtype=bool)
-    found |= _in(p.window, np.sort(column(answers, "window").view(np.uint64)))
+    null = np.asarray(answers.column("owner").is_null()) if answers.num_rows else np.zeros(0, dtype=bool)
+    key = column(answers, "window").view(np.uint64)
+    found |= _in(p.window, np.sort(key[null]))
+    found |= _copies(p, key[~null], _longs(answers, "owner"))[p.doc]
     return p, *factors(p.doc, p.at, found, span)
 
 
