@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import written
+from granary.llm.common import bounded, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -41,10 +41,15 @@ def _windows(words: Column, n: Column) -> Column:
     )
 
 
+def text_key() -> Column:
+    """With doc_id it names a row, also where ids are null or repeated."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the word statistics of every text, null texts being empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", "lang", "source", text.alias("t")).withColumn("w", _words(F.col("t"))).withColumn("n", F.size("w"))
+    d = docs.select("doc_id", "lang", "source", text.alias("t"), text_key().alias("text_key")).withColumn("w", _words(F.col("t"))).withColumn("n", F.size("w"))
     d = d.withColumn("s", F.sort_array(_windows(F.col("w"), F.col("n"))))
     # Neighbours in hash order tell which windows occur again; back in text order their cover is counted.
     same = lambda k, x: F.coalesce(F.get(F.col("s"), k)["h"] == x["h"], F.lit(False))
@@ -59,7 +64,7 @@ def features(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("t", "\n"), lambda x: F.translate(x, BLANKS, "") != F.lit(""))
     d = d.withColumn("l", lines)
     return d.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", "text_key",
         F.col("n").cast("bigint").alias("n_words"),
         F.length(F.translate("t", BLANKS, "")).cast("bigint").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -120,5 +125,12 @@ def judge(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     return r.join(salted, ["lang_key", "source_key", "salt"], "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & ~above).alias("kept"),
-        "n_lines", *STATISTICS, *[F.col("fence")[m].alias(f"{m}_fence") for m in STATISTICS],
+        "n_lines", "text_key", *STATISTICS, *[F.col("fence")[m].alias(f"{m}_fence") for m in STATISTICS],
     )
+
+
+def accepted(docs: DataFrame, least_docs: int = LEAST_DOCS, at_once: int = 2_000_000) -> DataFrame:
+    """docs, all columns, without the rejected documents. The rejected rows' keys go to the documents if they are
+    at_once or fewer, otherwise both sides are shuffled by key."""
+    bad = written(judge(docs, least_docs).where("NOT kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_key").alias("_key")).distinct(), "rejected")
+    return docs.join(bounded(bad, at_once), (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
