@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,12 +26,15 @@ def discover(spark: SparkSession, root: str, most_depth: int = MOST_DEPTH, patte
 
 
 def describe(spark: SparkSession, root: str, path: str) -> DataFrame:
-    """The archive row of one file; no row if its format is unknown or it is missing."""
-    known = spark.range(1).select(paths.format_of(F.lit(path)).alias("f")).first()["f"]
+    """The archive row of one file below root; no row if its format is unknown or it is missing."""
+    none = spark.createDataFrame([], "virtual_path string, physical_path string, size_bytes long, modified timestamp, format_id string")
+    if not path.lower().endswith((".zip", ".rar")):
+        return none
     try:
-        found = discover(spark, path if known else root)
-    except Exception as e:  # Spark reports a missing path by its error class
-        if "PATH_NOT_FOUND" not in str(e):
+        files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return discover(spark, root).where("false")
-    return found.where(F.endswith("physical_path", F.lit(path.rsplit("/", 1)[-1]))).withColumn("virtual_path", F.lit(path.rsplit("/", 1)[-1])) if known else found.where("false")
+        return none
+    name = path[len(root.rstrip("/")) + 1 :] if path.startswith(root.rstrip("/") + "/") else path.rsplit("/", 1)[-1]
+    return files.select(F.lit(name).alias("virtual_path"), F.col("path").alias("physical_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"), paths.format_of(F.col("path")).alias("format_id"))
