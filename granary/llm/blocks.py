@@ -11,7 +11,6 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -24,25 +23,16 @@ from granary.llm.common import text_bytes, written
 #: Stands for a null doc_id: such documents come after all others.
 NO_ID = (1 << 63) - 1
 BLOCK_BYTES = 4_000_000
-REMEMBERED = 500_000
 ODD, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_known = _Hashes()
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes of the words, remembered in a table of bounded size."""
-    if len(_known) > REMEMBERED:
-        _known.clear()
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-
+#: Bytes whose words are hashed at once.
+SEGMENT = 1 << 20
+SPACES = np.zeros(256, dtype=bool)
+SPACES[[32, *range(9, 14)]] = True
+SIGNS, LETTERS, MOST_SIGNS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), 4
+SIGNS[list(b".,;:!?*#$%&")] = True
+LETTERS[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * ODD
@@ -51,17 +41,72 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class _Powers:
+    """Powers of ODD and of its inverse modulo 2**64, as many as were ever asked for."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            self.up, self.down = (np.multiply.accumulate(np.concatenate([np.ones(1, dtype=np.uint64), np.full(n - 1, x, dtype=np.uint64)])) for x in (ODD, BACK))
+        return self.up[:n], self.down[:n]
+
+
+_powers = _Powers()
+
+
+def _range_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of x[start:end] for every range, by polynomial sums modulo 2**64."""
+    up, down = _powers.upto(len(x))
+    sums = np.zeros(len(x) + 1, dtype=np.uint64)
+    np.add.accumulate(x * down, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * up[starts])
+
+
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n consecutive entries of h, by polynomial sums modulo 2**64."""
-    if len(h) < n:
-        return np.zeros(0, dtype=np.uint64)
-    down = np.full(len(h), BACK, dtype=np.uint64)
-    down[0] = 1
-    down = np.multiply.accumulate(down)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.add.accumulate(h * down)])
-    up = np.full(len(h) - n + 1, ODD, dtype=np.uint64)
-    up[0] = 1
-    return mix((sums[n:] - sums[:-n]) * np.multiply.accumulate(up))
+    """A hash of every n consecutive entries of h."""
+    m = len(h) - n + 1
+    return _range_hashes(h, np.arange(m), np.arange(n, n + m)) if m > 0 else np.zeros(0, dtype=np.uint64)
+
+
+class Words:
+    """The words of texts, one after the other: hash, first byte and end of each in buffer, and how many each text has. With
+    cut, up to MOST_SIGNS signs after a letter or digit (of ASCII or Latin-1) are a word of their own."""
+
+    def __init__(self, texts: list[bytes], cut: bool = False):
+        self.buffer = b"\n".join([*texts, b""])
+        raw = np.frombuffer(self.buffer, dtype=np.uint8)
+        space = np.empty(len(raw) + 1, dtype=bool)
+        space[0] = True
+        np.take(SPACES, raw, out=space[1:])
+        turns = np.flatnonzero(space[1:] != space[:-1])  # the buffer ends in a space, so they come in pairs
+        self.starts, self.ends = turns[::2], turns[1::2]
+        if cut:
+            e = self.ends.copy()
+            for _ in range(MOST_SIGNS):
+                e -= (e > self.starts) & SIGNS[raw[e - 1]]
+            last = raw[e - 1]
+            latin = (raw[np.maximum(e - 2, 0)] == 0xC3) & (last >= 128) & (last != 0x97) & (last != 0xB7) & (e - self.starts > 1)
+            two = np.flatnonzero((e > self.starts) & (e < self.ends) & (LETTERS[last] | latin))
+            self.starts = np.insert(self.starts, two + 1, e[two])
+            self.ends = np.insert(self.ends, two, e[two])
+        stops = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
+        self.n = np.diff(np.searchsorted(self.starts, stops), prepend=0)
+        self.hash = np.empty(len(self.starts), dtype=np.uint64)
+        i = 0
+        while i < len(self.starts):
+            j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SEGMENT, side="right")))
+            lo, hi = int(self.starts[i]), int(self.ends[j - 1])
+            self.hash[i:j] = _range_hashes(raw[lo:hi].astype(np.uint64), self.starts[i:j] - lo, self.ends[i:j] - lo)
+            i = j
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def at(self, places: np.ndarray) -> list[bytes]:
+        b = self.buffer
+        return [b[s:e] for s, e in zip(self.starts[places].tolist(), self.ends[places].tolist())]
 
 
 def pieces(batches, most: int):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.blocks import NO_ID, column, each, each_with, pack, window_hashes, word_hashes
+from granary.llm.blocks import NO_ID, Words, column, each, each_with, pack, window_hashes
 from granary.llm.common import forget, written
 
 SPAN = 50
@@ -31,10 +31,10 @@ class Parsed:
     """The words of a block's documents, one after the other, and their windows."""
 
     def __init__(self, ids: list[int], texts: list[bytes], span: int, anchors: bool = True):
-        self.words = [t.split() for t in texts]
-        self.n = np.array([len(w) for w in self.words], dtype=np.int64)
+        words = Words(texts)
+        self.n = words.n
         self.starts = np.cumsum(self.n) - self.n
-        h = word_hashes([w for ws in self.words for w in ws])
+        h = words.hash
         k = min(K, span)
         # A hash of each whole document; 0 for those too short to hold a window.
         self.whole = np.zeros(len(ids), dtype=np.uint64)
@@ -197,7 +197,8 @@ def _deduplicated(docs: DataFrame, span: int, show, column_ddl: str) -> DataFram
         lost = np.add.reduceat(np.append(gone, False).astype(np.int64), p.starts) if len(p.n) else p.n
         lost[p.n == 0] = 0
         shown = []
-        for d, words in enumerate(p.words):
+        for d, text in enumerate(texts):
+            words = text.split()
             if lost[d]:
                 g = gone[p.starts[d] : p.starts[d] + p.n[d]]
                 words = [words[i] for i in np.flatnonzero(~g)]

@@ -23,17 +23,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import scratch_root, written
+from granary.llm.blocks import Words
+from granary.llm.common import forget, scratch_root, written
 
 #: Longest code; a table-driven decoder has 2**MAX_LENGTH entries.
 MAX_LENGTH = 20
 #: Ids from one checkpoint to the next.
-CHECKPOINT = 512
+CHECKPOINT = 256
 #: Ids a block holds at least, unless its file ends; a document is never divided.
 BLOCK_IDS = 262_144
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 500_000
+#: Distinct words after which a worker forgets those it has not met of late.
+REMEMBERED = 400_000
 END_ID = 2
+#: Bytes of text encoded at once.
+PIECE = 4_000_000
+#: Groups in which the tasks' counts are added up.
+SUMS = 16
 
 
 def vocabulary_path() -> str:
@@ -42,16 +47,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-#: Signs that may follow a word. After a letter or digit they are pre-tokens of their own.
-SIGNS = b".,;:!?*#$%&"
-
-
 class Vocabulary:
     """A tokenizer, and the ids (little-endian, 32 bits) of words that it has met, in a table of bounded size.
 
-    The vocabulary's pre-tokenizer never joins what ASCII white space parts and drops the white space, so a text's ids are
-    its words' ids one after the other. It also folds case, and parts letters from signs, so most words are looked up
-    in lower case and without the signs after them.
+    The vocabulary's pre-tokenizer never joins what ASCII white space parts and drops the white space, and it parts letters and
+    digits from signs, so a text's ids are the ids of its words and of the signs after them. It also folds case, so words are looked
+    up in lower case.
     """
 
     def __init__(self, path: str):
@@ -60,6 +61,7 @@ class Vocabulary:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), dtype=bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.ends[k] = token.endswith("</w>")
@@ -68,7 +70,7 @@ class Vocabulary:
         """Learn words: those of letters alone together, for each is one pre-token and ends where a token ends a word."""
         plain, other = [], []
         for w in words:
-            (plain if w.decode().isalpha() else other).append(w)
+            (plain if w.isalpha() or w.decode().isalpha() else other).append(w)
         for lo in range(0, len(plain), 2_000):
             part = plain[lo : lo + 2_000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -85,22 +87,24 @@ class Vocabulary:
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self.known[w] = array("I", e.ids).tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        bare = {w: w.rstrip(SIGNS) for w in words}
-        split = {w: c for w, c in bare.items() if c != w and c and c[-4:].decode(errors="ignore")[-1:].isalnum()}
-        self._encode([w for w in {split.get(w, w) for w in words} | {w[len(c) :] for w, c in split.items()} if w not in known])
-        for w, c in split.items():
-            known[w] = known[c] + known[w[len(c) :]]
+    def learn(self, words: list[bytes]) -> None:
+        """Learn distinct words that are not known."""
+        if len(self.known) > REMEMBERED:  # words met again since move on; the others go
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in words:
+            if (i := older.get(w)) is None:
+                new.append(w)
+            else:
+                known[w] = i
+        self._encode(new)
 
     def ids(self, words: list[bytes]) -> list[bytes]:
-        """Every word's ids."""
+        """The ids of distinct words."""
         got = list(map(self.known.get, words))
         new = [k for k, g in enumerate(got) if g is None]
         if new:
-            self.learn({words[k] for k in new})
+            self.learn([words[k] for k in new])
             for k in new:
                 got[k] = self.known[words[k]]
         return got
@@ -116,26 +120,25 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """A text's words, in lower case unless it may hold special tokens, which know case."""
-    return (text if b"<|" in text else text.lower()).split()
-
-
 def encode_texts(path: str, texts: list[bytes]) -> list[np.ndarray]:
-    """Ids of every text, without the end id."""
+    """Ids of every text, without the end id. Texts that may hold special tokens, which know case, are not put in lower case."""
     v, out, k = vocabulary(path), [], 0
     while k < len(texts):  # by pieces, so that a batch of long texts needs little more memory than its longest
-        size, words, n = 0, [], []
-        while k < len(texts) and (not n or size < 2_000_000):
-            w = words_of(texts[k])
-            words += w
-            n.append(len(w))
+        first, size = k, 0
+        while k < len(texts) and (k == first or size < PIECE):
             size += len(texts[k])
             k += 1
-        got, at = v.ids(words), 0
-        for x in n:
-            out.append(np.frombuffer(b"".join(got[at : at + x]), dtype="<u4"))
-            at += x
+        words = Words([t if b"<|" in t else t.lower() for t in texts[first:k]], cut=True)
+        _, index, of = np.unique(words.hash, return_index=True, return_inverse=True)
+        got = v.ids(words.at(index))
+        n = np.fromiter(map(len, got), np.int64, len(got)) // 4
+        ids = np.frombuffer(b"".join(got), dtype="<u4")
+        # Each word's ids, from where its distinct word has them.
+        m = n[of]
+        ends = np.cumsum(m)
+        every = ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat((np.cumsum(n) - n)[of] - (ends - m), m)]
+        cuts = np.append(0, ends)[np.cumsum(words.n)]
+        out += np.split(every, cuts[:-1])
     return out
 
 
@@ -260,8 +263,8 @@ def _blocks(path: str, end_id: int):
         for b in batches:
             names = b.column(0).to_pylist()
             texts = b.column(1)
-            for lo in range(0, len(names), 256):
-                for d, x in zip(names[lo : lo + 256], encode_texts(path, texts.slice(lo, 256).to_pylist())):
+            for lo in range(0, len(names), 1024):
+                for d, x in zip(names[lo : lo + 1024], encode_texts(path, texts.slice(lo, 1024).to_pylist())):
                     ids.append(np.concatenate([x, end]))
                     docs.append(d)
                     held += len(ids[-1])
@@ -288,17 +291,20 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     raw = written(rows.mapInArrow(_blocks(path, end_id), "file int, start long, doc_ids array<long>, doc_lens array<long>, n long, ids binary, counts binary"), "ids")
 
-    def nonzero(batches):
-        for b in batches:
-            for c in b.column(0).to_pylist():
-                v = np.frombuffer(c, dtype="<i8")
-                i = np.flatnonzero(v)
-                yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(v[i])], names=["id", "count"])
-
-    # As many rows as the vocabulary has ids.
-    got = raw.where("counts IS NOT NULL").select("counts").mapInArrow(nonzero, "id int, count long").groupBy("id").agg(F.sum("count").alias("count")).toPandas()
-    counts = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, dtype=np.int64)
-    counts[got["id"].to_numpy()] = got["count"].to_numpy()
+    def summed(t: pa.Table) -> pa.Table:
+        total = np.zeros(0, dtype=np.int64)
+        for c in t.column("counts"):
+            v = np.frombuffer(c.as_py(), dtype="<i8")
+            total = np.pad(total, (0, max(0, len(v) - len(total))))
+            total[: len(v)] += v
+        return pa.table({"counts": pa.array([total.tobytes()], pa.binary())})
+
+    # A table of the vocabulary's size from each task, added up in SUMS groups.
+    parts = raw.where("counts IS NOT NULL").select((F.col("file") % SUMS).alias("part"), "counts").groupBy("part").applyInArrow(summed, "counts binary").collect()
+    counts = np.zeros(max([1, *(len(r["counts"]) // 8 for r in parts)]), dtype=np.int64)
+    for r in parts:
+        v = np.frombuffer(r["counts"], dtype=np.int64)
+        counts[: len(v)] += v
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
 
@@ -316,6 +322,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
 
     raw.where("ids IS NOT NULL").select("file", "start", "doc_ids", "doc_lens", "ids").mapInArrow(coded, "file int, start long, doc_ids array<long>, doc_lens array<long>, bits binary, checkpoints array<long>").write.parquet(f"{folder}/blocks")
     used = np.flatnonzero(lengths)
+    forget(raw)
     spark.createDataFrame([(int(i), int(lengths[i]), int(counts[i])) for i in used], "id int, length int, count long").coalesce(1).write.parquet(f"{folder}/codebook")
     return folder
 
@@ -341,7 +348,7 @@ def _digest(file: int, start: int, doc_ids: list, lens: list, ids: np.ndarray) -
     ends = np.cumsum(lens)
     at = ends - lens
     little = ids.astype("<u4")
-    crc = [zlib.crc32(little[a:e].tobytes()) for a, e in zip(at, ends)]
+    crc = [zlib.crc32(little[a:e]) for a, e in zip(at, ends)]
     return pa.RecordBatch.from_arrays(
         [pa.array([file] * len(lens), pa.int32()), pa.array(doc_ids, pa.int64()), pa.array(at + start, pa.int64()), pa.array(lens, pa.int64()), pa.array(crc, pa.int64())],
         names=["file", "doc_id", "at", "n_tokens", "ids_crc32"],
