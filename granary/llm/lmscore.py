@@ -12,23 +12,25 @@ them and so in proportion to the corpus, by each task on its own, and averaged a
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.blocks import NO_ID, column, each, each_with, pack, word_hashes
-from granary.llm.common import written
+from granary.llm.blocks import NO_ID, Words, column, empty_table, pieces
+from granary.llm.common import forget, text_bytes, written
 from granary.llm.tokens import vocabulary, vocabulary_path
 
 CLASSES = 256
 WIDTH = 16
 LENGTH, OVERLAP = 64, 16
 #: One training window in SHARE is trained on; rounds of averaging; groups in which tasks' models are summed.
-SHARE, ROUNDS, SUMS = 8, 3, 16
+SHARE, ROUNDS, SUMS = 20, 2, 16
 BATCH, RATE = 32, 0.02
 BLOCK_BYTES = 8_000_000
 #: The end's hash; no word has it but by chance.
@@ -41,43 +43,70 @@ def held_out(doc_id: int, folds: int = 10) -> bool:
     return doc_id != NO_ID and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
-_buckets: dict[bytes, int] = {}
-
-
 def buckets(path: str, words: list[bytes]) -> np.ndarray:
-    """First and last subword's bucket of each distinct word: two columns. Bucket 0 is the end's alone."""
-    if len(_buckets) > 1_500_000:
-        _buckets.clear()
-    new = [w for w in words if w not in _buckets]
-    if new:
-        spread = lambda x: 1 + (x * 2654435761 & 0xFFFFFFFF) * (CLASSES - 1) // (1 << 32)
-        for w, ids in zip(new, vocabulary(path).ids(new)):
-            _buckets[w] = spread(int.from_bytes(ids[:4], "little")) << 16 | spread(int.from_bytes(ids[-4:], "little")) if ids else 1 << 16 | 1
-    both = np.fromiter(map(_buckets.__getitem__, words), np.int64, len(words))
-    return np.stack([both >> 16, both & 0xFFFF], axis=1)
+    """First and last subword's bucket of each word: two columns. Bucket 0 is the end's alone."""
+    if not words:
+        return np.zeros((0, 2), dtype=np.int64)
+    # The words and the signs after them, each distinct one encoded once.
+    parts = Words([b"\n".join(words)], cut=True)
+    _, index, of = np.unique(parts.hash, return_index=True, return_inverse=True)
+    got = vocabulary(path).ids(parts.at(index))
+    n = np.fromiter(map(len, got), np.int64, len(got)) // 4
+    ids = np.append(np.frombuffer(b"".join(got), dtype="<u4"), 0).astype(np.int64)
+    ends = np.cumsum(n)
+    spread = lambda x: np.where(n == 0, 1, 1 + ((x * 2654435761 & 0xFFFFFFFF) * (CLASSES - 1) >> 32))
+    begins = np.cumsum([0] + [len(w) + 1 for w in words])
+    part = np.searchsorted(parts.starts, begins)
+    return np.stack([spread(ids[ends - n])[of[part[:-1]]], spread(ids[np.maximum(ends - 1, 0)])[of[part[1:] - 1]]], axis=1)
 
 
 class Text:
     """A block's documents as one run of tokens, each document's end after its words."""
 
     def __init__(self, ids: list[int], texts: list[bytes], path: str):
-        words = [t.lower().split() for t in texts]
-        self.n = np.array([len(w) + 1 for w in words], dtype=np.int64)
+        words = Words([t.lower() for t in texts])
+        self.n = words.n + 1
         self.starts = np.cumsum(self.n) - self.n
-        every = [w for ws in words for w in ws]
         ends = self.starts + self.n - 1
         h = np.full(int(self.n.sum()), END, dtype=np.uint64)
         inner = np.ones(len(h), dtype=bool)
         inner[ends] = False
-        h[inner] = word_hashes(every)
+        h[inner] = words.hash
         self.word, index, self.of = np.unique(h, return_index=True, return_inverse=True)
         place = np.cumsum(inner) - 1
-        two = np.zeros((len(self.word), 2), dtype=np.int64)
+        two = np.zeros((len(self.word), 2), dtype=np.int16)
         real = np.flatnonzero(inner[index])
-        two[real] = buckets(path, [every[place[index[k]]] for k in real])
-        self.two = two
+        two[real] = buckets(path, words.at(place[index[real]]))
+        self.two = two[self.of]
+        self.first = two[:, 0]
+        self.ids = np.array(ids, dtype=np.int64)
         self.held = np.array([held_out(d) for d in ids], dtype=bool)
 
+    def packed(self) -> bytes:
+        """What scored() needs of the texts: no words, but each token's place among the block's distinct words, and buckets."""
+        common = np.argsort(-np.bincount(self.of, minlength=len(self.word)), kind="stable")
+        rank = np.empty(len(common), dtype=np.uint32)
+        rank[common] = np.arange(len(common), dtype=np.uint32)
+        of = rank[self.of]
+        planes = [(of >> np.uint32(k)).astype(np.uint8).tobytes() for k in (0, 8, 16, 24)]
+        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((self.ids, self.n, self.held, common.astype(np.uint32), planes, self.first, self._last()), protocol=5))
+
+    def _last(self) -> np.ndarray:
+        last = np.zeros(len(self.word), dtype=np.int16)
+        last[self.of] = self.two[:, 1]
+        return last
+
+    @classmethod
+    def unpacked(cls, blob: bytes) -> "Text":
+        t = cls.__new__(cls)
+        t.ids, t.n, t.held, common, planes, t.first, last = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+        t.starts = np.cumsum(t.n) - t.n
+        ranks = sum(np.frombuffer(p, dtype=np.uint8).astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes))
+        t.of = common[ranks]
+        t.two = np.stack([t.first, last], axis=1)[t.of]
+        t.word = t.first  # as many as distinct words; the hashes are not kept
+        return t
+
     def windows(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of all windows of docs: document, first token, and the first token that is scored."""
         step = LENGTH - OVERLAP
@@ -91,7 +120,7 @@ class Text:
         """For windows: the two buckets before each place, the bucket at it, and its token (-1: after the end)."""
         at = first[:, None] + np.arange(LENGTH)
         ends = (self.starts + self.n)[doc][:, None]
-        two = self.two[self.of]
+        two = self.two
         before = two[np.minimum(np.maximum(at - 1, 0), len(two) - 1)]
         before[at == self.starts[doc][:, None]] = START
         return before, two[np.minimum(at, len(two) - 1), 0], np.where(at < ends, at, -1)
@@ -135,15 +164,15 @@ def gradients(m: dict[str, np.ndarray], before: np.ndarray, bucket: np.ndarray,
     """Gradients of the mean log loss over real places, and that loss."""
     h, x, q, k, v, a, c = forward(m, before)
     z = h @ m["out"] + m["bias"]
-    z -= z.max(axis=2, keepdims=True)
-    p = np.exp(z)
-    p /= p.sum(axis=2, keepdims=True)
-    i, j = np.indices(bucket.shape)
+    np.clip(z, -80, 80, out=z)
+    p = np.exp(z, out=z)
+    total = p.sum(axis=2)
+    i, j = np.ogrid[: bucket.shape[0], : bucket.shape[1]]
     n = max(1, int(real.sum()))
-    loss = -float(np.log(p[i, j, bucket] + 1e-30)[real].sum()) / n
-    p[i, j, bucket] -= 1
-    p *= (real / np.float32(n))[..., None]
-    p = p.astype(np.float32)
+    loss = float((np.log(total) - np.log(p[i, j, bucket]))[real].sum()) / n
+    weight = (real / np.float32(n)).astype(np.float32)
+    p *= (weight / total)[..., None]
+    p[i, j, bucket] -= weight
     flat = lambda t: t.reshape(-1, t.shape[-1])
     g = {"out": flat(h).T @ flat(p), "bias": flat(p).sum(axis=0)}
     dh = p @ m["out"].T
@@ -238,26 +267,29 @@ def score(docs: DataFrame, path: str | None = None, share: int = SHARE, rounds:
     training texts every token is unknown; an empty table gives an empty result; columns beside doc_id and text are not read.
     """
     path = path or vocabulary_path()
-    blocks = pack(docs, block_bytes)
 
-    def counts(k, ids, texts):
+    def block(k: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
+        """A row for each distinct word, then one with the training windows and the packed texts."""
         t = Text(ids, texts, path)
         trained = np.repeat(~t.held, t.n)
-        c = np.bincount(t.of[trained], minlength=len(t.word)).astype(np.int64)
+        c = np.append(np.bincount(t.of[trained], minlength=len(t.word)).astype(np.int64), 0)
         doc, first, _ = t.windows(np.flatnonzero(~t.held))
-        every = np.array(ids, dtype=np.uint64)
-        pick = (every[doc] * np.uint64(0x9E3779B97F4A7C15) + (first - t.starts[doc]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
+        pick = (t.ids.view(np.uint64)[doc] * np.uint64(0x9E3779B97F4A7C15) + (first - t.starts[doc]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
         some = pick % np.uint64(share) == 0
         before, bucket, at = t.filled(doc[some], first[some])
         w = np.concatenate([before, bucket[..., None], (at >= 0)[..., None]], axis=2).astype("<u2")
-        n = len(c)
+        n = len(t.word)
+        none = [None] * n
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n + 1, k)), pa.array(np.append(t.word.view(np.int64), 0)), pa.array(np.append(t.two[:, 0], 0).astype(np.int32)), pa.array(np.append(c, 0)), pa.array([None] * n + [zlib.compress(w.tobytes(), 1) if len(w) else None], pa.binary())],
-            names=["block", "word", "bucket", "c", "windows"],
+            [pa.array(np.full(n + 1, k)), pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.append(t.word.view(np.int64), 0)), pa.array(np.append(t.first, 0).astype(np.int16)), pa.array(c),
+             pa.array([*none, zlib.compress(w.tobytes(), 1)], pa.binary()), pa.array([*none, t.packed()], pa.binary())],
+            names=["block", "place", "word", "bucket", "c", "windows", "texts"],
         )
 
-    asked = written(each(blocks, counts, "block long, word long, bucket int, c long, windows binary"), "words")
-    totals = written(asked.where("c > 0").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c")), "counts")
+    rows = docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text")).alias("text"))
+    asked = written(rows.mapInArrow(lambda batches: (block(*b) for b in pieces(batches, block_bytes)), "block long, place int, word long, bucket short, c long, windows binary, texts binary"), "words")
+    words = asked.where("texts IS NULL")
+    totals = written(words.where("c > 0").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c")), "counts")
     shares = totals.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()  # CLASSES rows
     n_all, v_all = int(shares["c"].sum()), int(shares["v"].sum())
     mass = np.full(CLASSES, 0.1 / CLASSES)
@@ -265,21 +297,19 @@ def score(docs: DataFrame, path: str | None = None, share: int = SHARE, rounds:
     whole = n_all + 0.1 * (v_all + 1)
     log_share = np.log(mass / whole)
     model = train(asked.where("windows IS NOT NULL"), fresh(log_share), rounds)
-    found = asked.where("windows IS NULL").select("block", "word").join(totals.select("word", "c"), "word")
+    found = written(words.select("block", "place", "word").join(totals.select("word", "c"), "word").select("block", "place", "c"), "found")
+    forget(totals)
 
-    def scored(k, ids, texts, answers):
-        t = Text(ids, texts, path)
-        known, c = column(answers, "word").view(np.uint64), column(answers, "c")
-        by = np.argsort(known)
-        known, c = known[by], c[by]
+    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        return pa.concat_tables([one(Text.unpacked(x.as_py()), answers) for x in texts.column("texts")]) if texts.num_rows else empty
+
+    def one(t: Text, answers: pa.Table) -> pa.Table:
         count = np.zeros(len(t.word), dtype=np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, t.word), len(known) - 1)
-            count = np.where(known[at] == t.word, c[at], 0)
+        count[column(answers, "place")] = column(answers, "c")
         base = np.log10((count + 0.1) / whole)[t.of]
         more = np.zeros(len(t.of))
-        doc, first, scored_from = t.windows(np.arange(len(ids)))
-        shares_at = log_share[t.two[:, 0]][t.of]
+        doc, first, scored_from = t.windows(np.arange(len(t.n)))
+        shares_at = log_share[t.two[:, 0]]
         for lo in range(0, len(doc), 256):
             before, bucket, at = t.filled(doc[lo : lo + 256], first[lo : lo + 256])
             once = at >= scored_from[lo : lo + 256, None]
@@ -287,10 +317,11 @@ def score(docs: DataFrame, path: str | None = None, share: int = SHARE, rounds:
             more[place] = log_probs(model, forward(model, before)[0][once], bucket[once]) - shares_at[place]
         sums = lambda x: np.add.reduceat(x, t.starts)
         b = sums(base)
-        every = np.array(ids, dtype=np.int64)
         return pa.table({
-            "doc_id": pa.array(every, mask=every == NO_ID), "held_out": pa.array(t.held), "n_tokens": pa.array(t.n), "n_known": pa.array(sums((count[t.of] > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(ids), n_all)), "base_score": pa.array(b), "score": pa.array(b + sums(more) / np.log(10)),
+            "doc_id": pa.array(t.ids, mask=t.ids == NO_ID), "held_out": pa.array(t.held), "n_tokens": pa.array(t.n), "n_known": pa.array(sums((count[t.of] > 0).astype(np.int64))),
+            "train_tokens": pa.array(np.full(len(t.n), n_all)), "base_score": pa.array(b), "score": pa.array(b + sums(more) / np.log(10)),
         })
 
-    return each_with(blocks, found, scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    empty = empty_table(schema)
+    return asked.where("texts IS NOT NULL").select("block", "texts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scored, schema)
