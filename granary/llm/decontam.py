@@ -19,10 +19,9 @@ Q = 12
 #: Edits allowed per character of an item.
 EDITS = 0.06
 #: Bytes of items handled in one pass over the texts; a larger benchmark takes several passes.
-PASS_BYTES = 16_000_000
+PASS_BYTES = 4_000_000
 #: Bytes of texts taken together.
 PIECE = 2_000_000
-BITS = 22
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PLAIN = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -74,8 +73,9 @@ class Index:
         every = np.concatenate(codes or [np.zeros(0, dtype=np.uint64)])
         by = np.argsort(every, kind="stable")
         uniq, first = np.unique(every[by], return_index=True)
-        seen = np.zeros(1 << BITS, dtype=bool)
-        seen[uniq >> np.uint64(64 - BITS)] = True
+        bits = min(26, max(18, len(uniq).bit_length() + 6))
+        seen = np.zeros(1 << bits, dtype=bool)
+        seen[uniq >> np.uint64(64 - bits)] = True
         return cls([i for i, _ in rows], [b for _, b in rows], k, least, shift, uniq, np.append(first, len(by)), item[by], place[by], seen)
 
 
@@ -130,7 +130,7 @@ def _find(texts: list[bytes], index: Index, found: list[set[int]]) -> None:
     gap = b"\0" * Q
     starts = np.cumsum([0] + [len(t) + Q for t in texts])
     h = grams(gap.join(texts))
-    spots = np.flatnonzero(index.seen[h >> np.uint64(64 - BITS)])
+    spots = np.flatnonzero(index.seen[h >> np.uint64(65 - len(index.seen).bit_length())])
     if not len(spots) or not len(index.codes):
         return
     k = np.searchsorted(index.codes, h[spots])

@@ -103,7 +103,8 @@ def thresholds(f: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
         keys = [c for c in df.columns if c.endswith("_key")]
         return df.select(*keys, n.alias(f"{by}_n"), F.struct(*[v.alias(m) for m, v in fence.items()]).alias(f"{by}_fence"))
 
-    t = fences(cells, "cell").join(fences(langs, "lang"), "lang_key").join(F.broadcast(fences(corpus, "all")))  # one row
+    every = fences(corpus, "all").withColumn("of", F.lit("corpus"))
+    t = fences(cells, "cell").join(fences(langs, "lang"), "lang_key").withColumn("of", F.lit("corpus")).join(every, "of")
     pick = F.when(F.col("cell_n") >= least_docs, F.col("cell_fence")).when(F.col("lang_n") >= least_docs, F.col("lang_fence")).otherwise(F.col("all_fence"))
     return t.select("lang_key", "source_key", pick.alias("fence"))
 
