@@ -93,3 +93,24 @@ def reservoir(rows: DataFrame, by: str, key: str, most: int, seed: int = 0) -> D
     """Up to most rows of each group, chosen by a hash of key and seed."""
     w = Window.partitionBy(by).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")))
     return rows.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= most).drop("_k")
+
+
+def counters(log: DataFrame, *tags: str) -> DataFrame:
+    """How often each combination of tags (hits, misses, evictions by reason ...) came."""
+    return log.groupBy(*tags).agg(F.count("*").alias("n"))
+
+
+def histogram(measured: DataFrame, by: str, value: str, bounds: list[float]) -> DataFrame:
+    """How many values of each group are up to each bound, the last bucket being open."""
+    bucket = F.get(F.filter(F.array(*(F.lit(float(b)) for b in bounds)).cast("array<double>"), lambda b: F.col(value) <= b), F.lit(0))
+    return measured.where(F.col(value).isNotNull()).groupBy(by, bucket.alias("upto")).agg(F.count("*").alias("n"))
+
+
+def hits_of_rate(tiers: DataFrame) -> DataFrame:
+    """tiers (hit_rate, misses) with the hits that the rate implies; null where the rate is 1 and says nothing of them."""
+    return tiers.withColumn("hits", F.when(F.col("hit_rate") < 1, F.floor(F.col("misses") * F.col("hit_rate") / (1 - F.col("hit_rate")) + 0.5).cast("long")))
+
+
+def swept(entries: DataFrame, now: str, most: int = 100) -> DataFrame:
+    """What one round of maintenance takes: expired entries nobody holds, the longest expired first, at most so many."""
+    return expired(entries, now).orderBy(F.col("created"), "key").limit(most)

@@ -438,6 +438,22 @@ def invalidate_archives(spark, sf_dir):
     return caching.without_archives(D.cache_entries(spark, sf_dir), gone).select("cache", "key")
 
 
+@query("SELECT event_type, user_id % 3 AS tier, count(*)::BIGINT AS n FROM events GROUP BY 1, 2")
+def cache_counters(spark, sf_dir):
+    return caching.counters(D.table(spark, sf_dir, "events").withColumn("tier", F.col("user_id") % 3), "event_type", "tier")
+
+
+@query("SELECT event_type, CASE WHEN value <= 10 THEN 10.0 WHEN value <= 50 THEN 50.0 WHEN value <= 100 THEN 100.0 END::DOUBLE AS upto, count(*)::BIGINT AS n FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
+def latency_histogram(spark, sf_dir):
+    return caching.histogram(D.table(spark, sf_dir, "events"), "event_type", "value", [10, 50, 100])
+
+
+@query(f"WITH {D.CACHE_ENTRIES}, n AS (SELECT max(ts) AS now FROM events) SELECT cache, key FROM cache_entries, n WHERE now > created + INTERVAL 864000 SECOND AND borrowed = 0 ORDER BY created, key LIMIT 20")
+def maintenance_sweep(spark, sf_dir):
+    now = D.table(spark, sf_dir, "events").agg(F.max("ts").cast("string")).first()[0]  # one row
+    return caching.swept(D.cache_entries(spark, sf_dir), now, 20).select("cache", "key")
+
+
 @query()
 def cache_simulation(spark, sf_dir):
     log = D.access_log(spark, sf_dir).withColumn("ts", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from datetime import datetime, timezone
 
@@ -28,6 +29,19 @@ def differences(before: list[str], after: list[str]) -> list[tuple[str, str]]:
     return [(p, "deleted") for p in sorted(old - new)] + [(p, "created") for p in sorted(new - old)]
 
 
+def until_readable(path: str, waits: tuple[float, ...] = (1, 2, 4), sleep=time.sleep) -> bool:
+    """Whether a file can be opened, tried again after each wait: archives are often still being copied when they appear."""
+    for wait in (*waits, None):
+        try:
+            with open(path, "rb"):
+                return True
+        except OSError:
+            if wait is None:
+                return False
+            sleep(wait)
+    return False
+
+
 class _Reader(SimpleDataSourceStreamReader):
     def __init__(self, options: dict):
         self.root = options["path"]

@@ -82,3 +82,14 @@ def test_watch(spark, tmp_path):
     finally:
         q.stop()
     assert seen == [("a.zip", "created"), ("a.zip", "deleted"), ("sub/b.ZIP", "created")]
+
+
+def test_retry(tmp_path):
+    waited = []
+    assert not watch.until_readable(str(tmp_path / "late.zip"), sleep=waited.append) and waited == [1, 2, 4]
+
+    def arrives(s):
+        waited.append(s)
+        (tmp_path / "late.zip").write_bytes(b"")
+
+    assert watch.until_readable(str(tmp_path / "late.zip"), sleep=arrives) and waited == [1, 2, 4, 1]
