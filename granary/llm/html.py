@@ -3,8 +3,9 @@ counts and link densities.
 
 A page is cut into blocks of text at its block-level tags. Each block has its number of words, its link density
 (words inside links by words), those of the blocks before and after it, and what its open elements say: whether one
-of them is named as furniture (menu, notice, advert, comment ...) and whether one is the article. A small CART tree,
-fitted to LABELLED below, decides which blocks are main text.
+of them is named as furniture (menu, notice, advert, comment ...), and whether one is the article, by name or by holding
+COMPANY unlinked words outside furniture in its own blocks. A small CART tree, fitted to LABELLED below, decides which
+blocks are main text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from pyspark.sql import functions as F
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>",
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<attrs2>[^>]*+)>"
+    r"|</?[a-zA-Z][^>]*\Z",
     re.S,
 )
 ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -41,6 +43,13 @@ NAMES = frozenset(
     "masthead topbar siteheader comment comments commentlist disqus respond reply replies discussion share sharing social follow related recommended recommendations popular trending "
     "newsletter subscribe subscription signup login signin search searchbox form modal popup overlay dialog skip toolbar hidden copyright legal disclaimer".split()
 )
+#: Beginnings of such parts.
+STEMS = ("comment", "sidebar", "advert", "cookie", "newsletter", "navbar", "navig", "footer", "breadcrumb", "sponsor", "promo", "subscri", "popup", "related")
+#: Names of page headers, unless they also name the article.
+HEADERS = frozenset("header head pageheader siteheader topheader".split())
+#: Names of whole pages' layouts, which may mention a sidebar or menu that they have or lack.
+LAYOUTS = frozenset("has with no without layout wrapper container grid".split())
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 ARTICLE = frozenset("article main".split())
 ARTICLE_NAMES = frozenset("article post story entry articlebody content main".split())
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
@@ -82,6 +91,26 @@ LABELLED = """
 12 0.4 60 0.0 40 0.0 0 1 0 1
 900 0.0 9 0.0 12 0.0 0 1 0 1
 6 0.0 20 0.0 6 0.0 0 1 0 1
+4 0.0 4 0.0 47 0.0 0 1 0 1
+2 0.0 2 0.0 120 0.0 0 1 0 1
+3 0.0 3 0.0 3 0.0 0 1 0 1
+1 0.0 2 0.0 0 0.0 0 1 0 1
+2 0.0 1 1.0 5 0.0 0 1 1 1
+4 0.0 2 1.0 40 0.0 0 1 1 1
+1 0.0 3 1.0 30 0.0 0 1 0 1
+2 0.0 4 1.0 60 0.0 0 1 0 1
+30 0.0 3 1.0 60 0.0 0 1 0 1
+60 0.0 80 0.0 0 0.0 0 1 0 1
+12 0.0 40 0.0 0 0.0 0 1 0 1
+40 0.0 5 0.0 0 0.0 0 1 0 1
+3 0.0 40 0.0 0 0.0 0 1 0 1
+6 0.0 40 0.0 2 1.0 0 1 0 1
+12 0.0 60 0.0 3 1.0 0 1 0 1
+3 0.0 30 0.0 1 1.0 0 1 0 1
+150 0.0 60 0.0 4 1.0 0 1 0 1
+40 0.0 2 1.0 3 1.0 0 1 0 1
+3 0.0 2 1.0 2 1.0 0 1 1 1
+8 0.6 40 0.0 60 0.0 0 1 0 1
 5 0.3 30 0.0 5 0.0 0 1 0 1
 2 1.0 60 0.0 2 1.0 0 1 0 0
 3 1.0 2 1.0 3 1.0 0 1 0 0
@@ -112,6 +141,19 @@ LABELLED = """
 150 0.0 0 0.0 0 0.0 0 0 0 1
 200 0.0 2 1.0 6 0.0 0 0 0 1
 45 0.2 50 0.0 40 0.1 0 0 0 1
+4 0.0 4 0.0 47 0.0 0 0 0 1
+2 0.0 50 0.0 60 0.0 0 0 0 1
+1 0.0 80 0.0 40 0.0 0 0 0 1
+3 0.0 9 0.0 80 0.0 0 0 0 1
+60 0.0 90 0.0 2 1.0 0 0 0 1
+45 0.1 30 0.0 1 1.0 0 0 0 1
+90 0.0 2 1.0 2 1.0 0 0 0 1
+90 0.0 60 0.0 0 0.0 0 0 0 1
+30 0.0 40 0.0 0 0.0 0 0 0 1
+40 0.0 2 1.0 3 0.0 0 0 0 1
+2 0.0 2 1.0 40 0.0 0 0 1 1
+3 0.0 1 1.0 4 0.0 0 0 1 1
+1 0.0 2 1.0 25 0.0 0 0 1 1
 5 0.0 3 1.0 50 0.0 0 0 1 1
 7 0.0 0 0.0 60 0.0 0 0 1 1
 4 0.0 60 0.0 70 0.0 0 0 1 1
@@ -123,6 +165,10 @@ LABELLED = """
 NAMES_OF_FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "furniture", "article", "heading"]
 
 
+#: Unlinked words in one element's own blocks that make it an article without a name.
+COMPANY = 40
+
+
 class Tree:
     """A CART decision tree by Gini impurity, grown until its leaves are pure or depth or size stop it."""
 
@@ -169,22 +215,28 @@ def _named(attrs: str) -> tuple[bool, bool]:
     """Whether the attributes name furniture, and whether they name the article."""
     furniture = article = False
     for m in ATTR.finditer(attrs):
-        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        key, value = m[1].lower(), CAMEL.sub("-", (m[2] or "").strip("\"'")).lower()
         if key == "hidden" or key == "aria-hidden" and value == "true":
             furniture = True
         elif key == "style":
             furniture |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value))
         elif key in ("class", "id", "role"):
             parts = NAME.findall(value)
-            furniture |= not NAMES.isdisjoint(parts)
-            article |= not ARTICLE_NAMES.isdisjoint(parts)
+            good = not ARTICLE_NAMES.isdisjoint(parts)
+            if not LAYOUTS.isdisjoint(parts):
+                parts = [p for p in parts if p not in ("sidebar", "side", "menu", "nav", "navbar")]
+            furniture |= not NAMES.isdisjoint(parts) or any(p.startswith(STEMS) and p not in NAMES for p in parts) or not good and not HEADERS.isdisjoint(parts)
+            article |= good
     return furniture, article and not furniture
 
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """Text blocks in page order: text, words, words in links, in furniture, in the article, heading."""
     out: list[tuple[str, int, int, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open containers: tag, furniture, article; both inherited
+    stack: list[tuple[str, bool, bool, int]] = []  # open containers: tag, furniture, article, both inherited; number
+    holders: list[int] = []
+    unlinked: dict[int, int] = {}
+    opened = 0
     parts: list[str] = []
     linked: list[str] = []
     leaf = ("", False)  # the open paragraph, heading or item, and whether it is named as furniture
@@ -194,8 +246,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         nonlocal parts, linked
         if parts:
             if words := entities.unescape("".join(parts)).split():
-                _, furniture, article = stack[-1] if stack else ("", False, False)
+                _, furniture, article, holder = stack[-1] if stack else ("", False, False, 0)
                 n = len(entities.unescape(" ".join(linked)).split()) if linked else 0
+                holders.append(holder)
+                if not furniture and not leaf[1]:
+                    unlinked[holder] = unlinked.get(holder, 0) + max(0, len(words) - n)
                 out.append((" ".join(words), len(words), min(n, len(words)), furniture or leaf[1], article, leaf[0][:1] == "h" and leaf[0] != "hr"))
             parts, linked = [], []
 
@@ -239,14 +294,17 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                         break
             else:
                 leaf = ("", False)
-                _, furniture, article = stack[-1] if stack else ("", False, False)
+                _, furniture, article, _ = stack[-1] if stack else ("", False, False, 0)
+                opened += 1
                 named, good = _named(m["attrs"] or m["attrs2"] or "")
                 if tag in ("body", "html"):
                     named = good = False
+                if tag == "main":
+                    furniture = False
                 furniture |= named or tag in FURNITURE or tag == "header" and not article
-                stack.append((tag, furniture, article or (good or tag in ARTICLE) and not furniture))
+                stack.append((tag, furniture, article or (good or tag in ARTICLE) and not furniture, opened))
     close()
-    return out
+    return [b if b[4] or b[3] or unlinked.get(h, 0) < COMPANY else (*b[:4], True, b[5]) for b, h in zip(out, holders)]
 
 
 def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> np.ndarray:

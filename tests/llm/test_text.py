@@ -22,6 +22,12 @@ def test_page():
     assert html.main_text(PAGE, html.trained())[0] == "A title & more\n\nFirst paragraph of the article.\n\nShort.\n\nSee a link in a longer sentence with many words around it."
 
 
+def test_layout_names_and_unnamed_articles():
+    words = " ".join(["word"] * 30)
+    page = f'<body class="x"><div class="wrapper has-sidebar"><div class="siteHeader">The site</div><div><h1>On words</h1><p>{words}</p><p>No.</p><p>{words}</p></div><div class="commentList"><p>{words}</p></div></div>'
+    assert html.main_text(page, html.trained())[0] == f"On words\n\n{words}\n\nNo.\n\n{words}"
+
+
 @pytest.mark.parametrize("page", ["", "plain text of a few words and no markup, which is a page too, if a poor one", "<p", "<a href='x", "<!-- open", "<script>x", "<div>" * 3000 + "x" + "</div>" * 10, "<p>&#1234567890;&bogus;</p>", "<![CDATA[a < b]]>"])
 def test_bad_markup(page):
     text, n, k = html.main_text(page, html.trained())
