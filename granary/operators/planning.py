@@ -73,7 +73,7 @@ def still_wanted(wanted: DataFrame, cached: DataFrame) -> DataFrame:
 
 def trigger_by_stat(candidates_: DataFrame, asked: DataFrame) -> DataFrame:
     """For asked rows (ask, size, modified) whose path is unknown: the candidate with the same size and time, the first by offset."""
-    first = Window.partitionBy("ask").orderBy("offset")
+    first = Window.partitionBy("ask").orderBy("offset", "archive_key")
     return asked.join(candidates_, ["size", "modified"]).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
 
 

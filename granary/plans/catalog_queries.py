@@ -143,6 +143,13 @@ def synthesize_parents(spark, sf_dir):
     return _entries(spark, sf_dir)
 
 
+@query(f"WITH {_PARENTS} SELECT archive_key, internal_path, CASE WHEN synthesized THEN 17 ELSE 128 END::INT AS attributes, CASE WHEN synthesized THEN 17 ELSE 129 END::INT AS listed FROM entries")
+def listing_attributes(spark, sf_dir):
+    """Directories as RAR archives have them, and every entry as the listing shows it: read-only."""
+    e = catalog.with_parents(D.page_entries(spark, sf_dir), fields.DIRECTORY | fields.READ_ONLY)
+    return e.select("archive_key", "internal_path", "attributes", F.col("attributes").bitwiseOR(F.lit(fields.READ_ONLY)).alias("listed"))
+
+
 _LOOKUP = f"""{_PARENTS}, asked AS (SELECT page_id, archive_key, CASE page_id % 4 WHEN 0 THEN internal_path WHEN 1 THEN string_split(internal_path, '/')[1] WHEN 2 THEN 'no/' || internal_path ELSE string_split(internal_path, '/')[1] || '/' END AS internal_path FROM page_paths)"""
 
 
@@ -287,6 +294,15 @@ def content_sha256(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", F.sha2(t, 256).alias("sha256"), F.octet_length(t).cast("long").alias("size"))
 
 
+@query(f"WITH {D.LAYOUT} SELECT doc_id, round(CASE WHEN size = 0 THEN 1.0 ELSE least(size, doc_id * 10)::DOUBLE / size END, 9) AS progress, substr('corpus/' || archive_key, 8) AS relative, archive_key || ' (NOT SUPPORTED)' AS shown FROM layout")
+def extraction_progress(spark, sf_dir):
+    size, key = F.col("size"), F.col("archive_key")
+    return D.layout(spark, sf_dir).select(
+        "doc_id", F.round(fields.progress(F.least(size, F.col("doc_id") * 10), size), 9).alias("progress"),
+        paths.relative(F.concat(F.lit("C:\\corpus\\"), key), F.lit("C:/corpus/")).alias("relative"), paths.unsupported_name(key).alias("shown"),
+    )
+
+
 # Reading ahead
 
 _NEAR = f"""{D.TRIGGERS}, found AS (SELECT l.*, t.trigger_offset FROM layout l JOIN triggers t ON l.archive_key = t.archive_key AND regexp_replace(l.internal_path, '/[^/]*$', '') = t.directory WHERE l.size <= 20000),
@@ -340,6 +356,13 @@ def not_cached(spark, sf_dir):
     return planning.still_wanted(w, w.where("compressed_size % 3 = 0").select("archive_key", "internal_path")).select("archive_key", "trigger_offset", "internal_path")
 
 
+@query(f"""WITH {D.LAYOUT}, asked AS (SELECT DISTINCT size AS ask FROM layout WHERE doc_id % 5 = 0) SELECT ask, archive_key, "offset" FROM (SELECT ask, l.*, row_number() OVER (PARTITION BY ask ORDER BY "offset", archive_key) AS k FROM asked JOIN layout l ON l.size = ask AND l.doc_id % 2 = ask % 2) WHERE k = 1""")
+def trigger_by_stat(spark, sf_dir):
+    d = D.layout(spark, sf_dir).withColumn("modified", F.col("doc_id") % 2)
+    asked = d.where("doc_id % 5 = 0").select(F.col("size").alias("ask"), "size", (F.col("size") % 2).alias("modified")).distinct()
+    return planning.trigger_by_stat(d, asked).select("ask", "archive_key", "offset")
+
+
 # Changes
 
 _FOLD = """folded AS (SELECT {keys}, n, 1 AS k, CASE WHEN ops[1] = 'created' THEN 'Added' ELSE 'Removed' END AS kind, ops FROM grouped
