@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import written
+from granary.llm.common import bounded, written
 from granary.llm.quality import BLANKS, SPACE, SYMBOLS
 
 OTHER = "other"
@@ -51,7 +51,12 @@ def attributes(docs: DataFrame) -> DataFrame:
     """doc_id, source, lang, topic and n_tokens (words) of every document."""
     d = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t")))
     n = F.when(F.get("w", F.lit(0)) == "", 0).otherwise(F.size("w"))
-    return d.select("doc_id", "source", "lang", topic_of(F.col("t"), F.col("w")).alias("topic"), n.cast("long").alias("n_tokens"))
+    return d.select("doc_id", "source", "lang", topic_of(F.col("t"), F.col("w")).alias("topic"), n.cast("long").alias("n_tokens"), row_key("t").alias("row_key"))
+
+
+def row_key(text: str) -> Column:
+    """With doc_id it names a row by what decides its cell, also where ids are null or repeated."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), "source", "lang")
 
 
 def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray], tolerance: float = 1e-10, rounds: int = 1000) -> np.ndarray:
@@ -121,6 +126,14 @@ def calibrated(attrs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TA
     return attrs.sparkSession.createDataFrame(got[[*keys, "tokens", "n_docs", "weight", "prob"]].values.tolist() if len(got) else [], schema)
 
 
+def _decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+    attrs = written(attributes(docs), "attributes")
+    keyed = attrs.withColumns({f"{m}_cell": _category(m, t) for m, t in targets.items()})
+    cells = calibrated(attrs, targets, budget).select(*[f"{m}_cell" for m in targets], "weight", "prob")
+    out = keyed.join(F.broadcast(cells), [f"{m}_cell" for m in targets], "left")  # bounded by the tables of targets
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "row_key", (unit(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"))
+
+
 def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     """Every document with its attributes, its cell's weight (share of the mix), prob and whether it is sampled.
 
@@ -128,24 +141,11 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS,
     tokens keeps its documents; repeated rows share their fate; an empty table gives an empty result; columns beside
     doc_id, text, source and lang are not read.
     """
-    attrs = written(attributes(docs), "attributes")
-    keyed = attrs.withColumns({f"{m}_cell": _category(m, t) for m, t in targets.items()})
-    cells = calibrated(attrs, targets, budget).select(*[f"{m}_cell" for m in targets], "weight", "prob")
-    out = keyed.join(F.broadcast(cells), [f"{m}_cell" for m in targets], "left")  # bounded by the tables of targets
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", (unit(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"))
+    return _decided(docs, targets, budget, seed).drop("row_key")
 
 
-def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
-    """The sampled documents with all their columns."""
-    attrs = written(attributes(docs), "attributes")
-    cells = calibrated(attrs, targets, budget)
-    text = F.coalesce("text", F.lit(""))
-    own = {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text, words_of(text))}
-    p = F.lit(1.0)
-    # The cells as one constant map: bounded by the tables of targets.
-    rows = cells.collect()
-    if rows:
-        key = F.concat_ws("\x1f", *[F.when(own[m].isin([k for k in t if k != OTHER]), own[m]).otherwise(OTHER) for m, t in targets.items()])
-        table = F.create_map(*[x for r in rows for x in (F.lit("\x1f".join(r[f"{m}_cell"] for m in targets)), F.lit(float(r["prob"])))])
-        p = F.coalesce(F.element_at(table, key), F.lit(1.0))
-    return docs.where(unit(F.col("doc_id"), seed) < p)
+def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED, at_once: int = 2_000_000) -> DataFrame:
+    """The sampled documents with all their columns. The keys of those left out go to the documents if they are at_once or
+    fewer, otherwise both sides are shuffled by key."""
+    out = written(_decided(docs, targets, budget, seed).where("NOT sampled").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("row_key").alias("_key")).distinct(), "left-out")
+    return docs.join(bounded(out, at_once), (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (row_key("text") == F.col("_key")), "left_anti")
