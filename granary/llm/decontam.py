@@ -19,7 +19,7 @@ Q = 12
 #: Edits allowed per character of an item.
 EDITS = 0.06
 #: Bytes of items handled in one pass over the texts; a larger benchmark takes several passes.
-PASS_BYTES = 4_000_000
+PASS_BYTES = 2_000_000
 #: Bytes of texts taken together.
 PIECE = 2_000_000
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -76,7 +76,7 @@ class Index:
         bits = min(26, max(18, len(uniq).bit_length() + 6))
         seen = np.zeros(1 << bits, dtype=bool)
         seen[uniq >> np.uint64(64 - bits)] = True
-        return cls([i for i, _ in rows], [b for _, b in rows], k, least, shift, uniq, np.append(first, len(by)), item[by], place[by], seen)
+        return cls([i for i, _ in rows], [b for _, b in rows], k, least, shift, uniq, np.append(first, len(by)), item[by].astype(np.int32), place[by].astype(np.int32), seen)
 
 
 def within(item: bytes, text: bytes, most: int, lo: int, hi: int) -> int | None:
