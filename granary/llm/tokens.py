@@ -33,7 +33,7 @@ CHECKPOINT = 256
 #: Ids a block holds at least, unless its file ends; a document is never divided.
 BLOCK_IDS = 262_144
 #: Distinct words after which a worker forgets those it has not met of late.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 END_ID = 2
 #: Bytes of text encoded at once.
 PIECE = 4_000_000
