@@ -6,8 +6,8 @@ score of a word is P(bucket | words before) * P(word | bucket), the second from
 model has learned nothing the score is that of the counts alone.
 
 Texts are scored in windows of LENGTH words that overlap by OVERLAP; the overlap is context only, so each word is scored once.
-Counts come from all training texts. The model is trained on the training texts' windows chosen by hash, a fixed share of
-them and so in proportion to the corpus, by each task on its own, and averaged after every round.
+Counts come from all training texts. The model is trained on all windows of the training texts, each word once a round, by
+each task on its own, and averaged after every round.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from granary.llm.tokens import vocabulary, vocabulary_path
 CLASSES = 256
 WIDTH = 16
 LENGTH, OVERLAP = 64, 16
-#: One training window in SHARE is trained on; rounds of averaging; groups in which tasks' models are summed.
-SHARE, ROUNDS, SUMS = 20, 2, 16
-BATCH, RATE = 32, 0.02
+#: One training window in SHARE is trained on, so all; rounds of averaging; groups in which tasks' models are summed.
+SHARE, ROUNDS, SUMS = 1, 1, 16
+BATCH, RATE = 64, 0.02
 BLOCK_BYTES = 8_000_000
 #: The end's hash; no word has it but by chance.
 END = np.uint64(0)
@@ -136,10 +136,15 @@ def fresh(bias: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
     return {"first": draw(CLASSES + 1, WIDTH), "last": draw(CLASSES + 1, WIDTH), "place": draw(LENGTH, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "o": draw(WIDTH, WIDTH), "out": np.zeros((WIDTH, CLASSES), dtype=np.float32), "bias": bias.astype(np.float32)}
 
 
+def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x @ w as one product of two matrices; numpy would take a small one for each window."""
+    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
+
+
 def forward(m: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, ...]:
     """Batched masked attention: hidden states (window, place, WIDTH) and what backward() needs."""
     x = m["first"][before[..., 0]] + m["last"][before[..., 1]] + m["place"]
-    q, k, v = x @ m["q"], x @ m["k"], x @ m["v"]
+    q, k, v = (_times(x, m[n]) for n in "qkv")
     a = q @ k.transpose(0, 2, 1)
     a *= np.float32(WIDTH**-0.5)
     a += MASK
@@ -147,7 +152,7 @@ def forward(m: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, .
     np.exp(a, out=a)
     a /= a.sum(axis=2, keepdims=True)
     c = a @ v
-    return x + c @ m["o"], x, q, k, v, a, c
+    return x + _times(c, m["o"]), x, q, k, v, a, c
 
 
 def log_probs(m: dict[str, np.ndarray], hidden: np.ndarray, bucket: np.ndarray) -> np.ndarray:
@@ -163,32 +168,37 @@ def log_probs(m: dict[str, np.ndarray], hidden: np.ndarray, bucket: np.ndarray)
 def gradients(m: dict[str, np.ndarray], before: np.ndarray, bucket: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
     """Gradients of the mean log loss over real places, and that loss."""
     h, x, q, k, v, a, c = forward(m, before)
-    z = h @ m["out"] + m["bias"]
-    np.clip(z, -80, 80, out=z)
-    p = np.exp(z, out=z)
-    total = p.sum(axis=2)
-    i, j = np.ogrid[: bucket.shape[0], : bucket.shape[1]]
-    n = max(1, int(real.sum()))
-    loss = float((np.log(total) - np.log(p[i, j, bucket]))[real].sum()) / n
-    weight = (real / np.float32(n)).astype(np.float32)
-    p *= (weight / total)[..., None]
-    p[i, j, bucket] -= weight
     flat = lambda t: t.reshape(-1, t.shape[-1])
-    g = {"out": flat(h).T @ flat(p), "bias": flat(p).sum(axis=0)}
-    dh = p @ m["out"].T
+    rows = np.flatnonzero(real)
+    n = max(1, len(rows))
+    seen, own = flat(h)[rows], (np.arange(len(rows)), bucket.reshape(-1)[rows])
+    p = seen @ m["out"]
+    p += m["bias"]
+    np.clip(p, -80, 80, out=p)
+    right = p[own].astype(np.float64)
+    np.exp(p, out=p)
+    total = p.sum(axis=1)
+    loss = float((np.log(total) - right).sum()) / n
+    p *= (1 / (n * total))[:, None]
+    p[own] -= np.float32(1 / n)
+    g = {"out": seen.T @ p, "bias": p.sum(axis=0)}
+    dh = np.zeros_like(h)
+    flat(dh)[rows] = p @ m["out"].T
     g["o"] = flat(c).T @ flat(dh)
-    dc = dh @ m["o"].T
+    dc = _times(dh, m["o"].T)
     da = dc @ v.transpose(0, 2, 1)
     dv = a.transpose(0, 2, 1) @ dc
-    ds = a * (da - (da * a).sum(axis=2, keepdims=True)) * np.float32(WIDTH**-0.5)
-    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-    dx = dh + dq @ m["q"].T + dk @ m["k"].T + dv @ m["v"].T
+    da -= (da * a).sum(axis=2, keepdims=True)
+    da *= a
+    da *= np.float32(WIDTH**-0.5)
+    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
+    dx = dh + _times(dq, m["q"].T) + _times(dk, m["k"].T) + _times(dv, m["v"].T)
     for name, d in (("q", dq), ("k", dk), ("v", dv)):
         g[name] = flat(x).T @ flat(d)
     g["place"] = dx.sum(axis=0)
     for name, col in (("first", 0), ("last", 1)):
-        g[name] = np.zeros_like(m[name])
-        np.add.at(g[name], before[..., col].reshape(-1), flat(dx))
+        cell = before[..., col].reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
+        g[name] = np.bincount(cell.reshape(-1), dx.reshape(-1), m[name].size).reshape(m[name].shape).astype(np.float32)
     return g, loss
 
 
@@ -217,32 +227,29 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
     return out
 
 
-def train(windows: DataFrame, model: dict[str, np.ndarray], rounds: int = ROUNDS) -> dict[str, np.ndarray]:
-    """The model after rounds of training: each task trains a copy on its windows; copies are averaged by their windows."""
+def learn(t: Text, m: dict[str, np.ndarray], opt: Adam, share: int, seed: int) -> int:
+    """Train m on the windows of a block's training texts, each word once, in batches of equal size; their number."""
+    doc, first, begin = t.windows(np.flatnonzero(~t.held))
+    pick = (t.ids.view(np.uint64)[doc] * np.uint64(0x9E3779B97F4A7C15) + (first - t.starts[doc]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
+    some = np.random.default_rng(seed).permutation(np.flatnonzero(pick % np.uint64(share) == 0))
+    for w in np.array_split(some, -(-len(some) // BATCH)) if len(some) else []:
+        before, bucket, at = t.filled(doc[w], first[w])
+        opt.step(m, gradients(m, before, bucket, at >= begin[w, None])[0])
+    return len(some)
+
+
+def train(texts: DataFrame, model: dict[str, np.ndarray], rounds: int = ROUNDS, share: int = SHARE) -> dict[str, np.ndarray]:
+    """The model after rounds of training on texts (packed blocks): each task trains a copy on its windows; copies are
+    averaged by their windows."""
     for k in range(rounds):
         start, rate = model, RATE / (1 + k)
 
         def local(batches, start=start, rate=rate, k=k):
-            m, seen, spare = {n: v.copy() for n, v in start.items()}, 0, []
+            m, seen = {n: v.copy() for n, v in start.items()}, 0
             opt = Adam(m, rate)
-
-            def learn(w: np.ndarray) -> None:
-                opt.step(m, gradients(m, w[..., :2].astype(np.int64), w[..., 2].astype(np.int64), w[..., 3] > 0)[0])
-
             for b in batches:
                 for blob in b.column(0):
-                    w = np.frombuffer(zlib.decompress(blob.as_py()), dtype="<u2").reshape(-1, LENGTH, 4)
-                    w = w[np.random.default_rng(k).permutation(len(w))]
-                    seen += len(w)
-                    spare.append(w)
-                    if sum(map(len, spare)) >= BATCH:
-                        w = np.concatenate(spare)
-                        full = len(w) // BATCH * BATCH
-                        for lo in range(0, full, BATCH):
-                            learn(w[lo : lo + BATCH])
-                        spare = [w[full:]]
-            if spare and len(w := np.concatenate(spare)):
-                learn(w)
+                    seen += learn(Text.unpacked(blob.as_py()), m, opt, share, k)
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([seen], pa.int64()), pa.array([(_flat(m).astype(np.float64) * seen).tobytes()], pa.binary())], names=["part", "seen", "model"])
 
@@ -253,7 +260,7 @@ def train(windows: DataFrame, model: dict[str, np.ndarray], rounds: int = ROUNDS
             return pa.table({"part": pa.array(copies.column("part").to_pylist()[:1], pa.int32()), "seen": pa.array([sum(copies.column("seen").to_pylist())]), "model": pa.array([flat.tobytes()], pa.binary())})
 
         ddl = "part int, seen long, model binary"
-        sums = windows.select("windows").mapInArrow(local, ddl).groupBy("part").applyInArrow(total, ddl).collect()  # at most SUMS models
+        sums = texts.mapInArrow(local, ddl).groupBy("part").applyInArrow(total, ddl).collect()  # at most SUMS models
         if not sums:
             return model
         model = _shaped(sum(np.frombuffer(r["model"], dtype=np.float64) for r in sums) / sum(r["seen"] for r in sums), model)
@@ -269,25 +276,19 @@ def score(docs: DataFrame, path: str | None = None, share: int = SHARE, rounds:
     path = path or vocabulary_path()
 
     def block(k: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        """A row for each distinct word, then one with the training windows and the packed texts."""
+        """A row for each distinct word, then one with the packed texts."""
         t = Text(ids, texts, path)
         trained = np.repeat(~t.held, t.n)
         c = np.append(np.bincount(t.of[trained], minlength=len(t.word)).astype(np.int64), 0)
-        doc, first, _ = t.windows(np.flatnonzero(~t.held))
-        pick = (t.ids.view(np.uint64)[doc] * np.uint64(0x9E3779B97F4A7C15) + (first - t.starts[doc]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-        some = pick % np.uint64(share) == 0
-        before, bucket, at = t.filled(doc[some], first[some])
-        w = np.concatenate([before, bucket[..., None], (at >= 0)[..., None]], axis=2).astype("<u2")
         n = len(t.word)
-        none = [None] * n
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(n + 1, k)), pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.append(t.word.view(np.int64), 0)), pa.array(np.append(t.first, 0).astype(np.int16)), pa.array(c),
-             pa.array([*none, zlib.compress(w.tobytes(), 1)], pa.binary()), pa.array([*none, t.packed()], pa.binary())],
-            names=["block", "place", "word", "bucket", "c", "windows", "texts"],
+             pa.array([*[None] * n, t.packed()], pa.binary())],
+            names=["block", "place", "word", "bucket", "c", "texts"],
         )
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text")).alias("text"))
-    asked = written(rows.mapInArrow(lambda batches: (block(*b) for b in pieces(batches, block_bytes)), "block long, place int, word long, bucket short, c long, windows binary, texts binary"), "words")
+    asked = written(rows.mapInArrow(lambda batches: (block(*b) for b in pieces(batches, block_bytes)), "block long, place int, word long, bucket short, c long, texts binary"), "words")
     words = asked.where("texts IS NULL")
     totals = written(words.where("c > 0").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c")), "counts")
     shares = totals.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()  # CLASSES rows
@@ -296,7 +297,7 @@ def score(docs: DataFrame, path: str | None = None, share: int = SHARE, rounds:
     mass[shares["bucket"].to_numpy(dtype=np.int64)] += shares["c"].to_numpy(dtype=np.float64) + 0.1 * shares["v"].to_numpy(dtype=np.float64)
     whole = n_all + 0.1 * (v_all + 1)
     log_share = np.log(mass / whole)
-    model = train(asked.where("windows IS NOT NULL"), fresh(log_share), rounds)
+    model = train(asked.where("texts IS NOT NULL").select("texts"), fresh(log_share), rounds, share)
     found = written(words.select("block", "place", "word").join(totals.select("word", "c"), "word").select("block", "place", "c"), "found")
     forget(totals)
 

@@ -95,6 +95,23 @@ def test_model_learns_what_comes_next(spark):
     assert np.mean([(x.score - x.base_score) / x.n_tokens for x in got]) > 0.15  # log10(2) is 0.30
 
 
+def test_production_values_train_on_every_word(spark, monkeypatch):
+    t = lmscore.Text([1, 2, 3, 21], [b"w " * 500, b"", b"x " * 63, b"y " * 90], tokens.vocabulary_path())
+    assert not t.held.all()
+    learnt = []
+    monkeypatch.setattr(lmscore, "gradients", lambda m, before, bucket, real: (learnt.append(int(real.sum())), ({}, 0.0))[1])
+    m = lmscore.fresh(np.zeros(lmscore.CLASSES))
+    n = lmscore.learn(t, m, lmscore.Adam(m, 0.1), lmscore.SHARE, 0)
+    assert n == len(t.windows(np.flatnonzero(~t.held))[0]) and sum(learnt) == t.n[~t.held].sum()
+    monkeypatch.undo()
+    # As test_model_learns_what_comes_next, with what the query uses.
+    r = np.random.default_rng(0)
+    side = [[f"{c}{k}" for k in range(40)] for c in "ab"]
+    rows = [(k, " ".join(r.choice(side[k % 2], 200))) for k in range(1600)]
+    got = lmscore.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
+    assert np.mean([(x.score - x.base_score) / x.n_tokens for x in got]) > 0.15
+
+
 def test_shards(docs, corpus, odd, none):
     out, maps, stored = sharding.assign(docs, 7)
     rows = out.collect()
