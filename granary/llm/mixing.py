@@ -1,16 +1,20 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Tokens are counted in cells of source, language and topic. The cells' weights are raked until their marginals meet
-the targets; a document's probability is its cell's raked weight, scaled to the token budget and at most 1, and a hash
-of its id decides.
+the targets. A cell's raked weight, scaled to the token budget, is how often its documents are expected in the mix: below 1
+a hash of the id decides whether one is taken, above 1 it is repeated and the hash decides about the last copy. So the
+mix has the target marginals also where the corpus has less of a cell than they ask for. A sample without repetition has
+probabilities of at most 1 and fills what is missing from other cells: it holds the budget, and the documents of the mix
+with it, but not the targets.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import bounded, written
@@ -82,6 +86,11 @@ def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray]
     return w / w.sum() if w.sum() else w
 
 
+def expected_copies(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.ndarray:
+    """How often each cell's documents come in a mix of budget * all tokens that has the weights; above 1 they are repeated."""
+    return budget * tokens.sum() * np.divide(weights, tokens, out=np.zeros(len(tokens)), where=tokens > 0)
+
+
 def probabilities(tokens: np.ndarray, weights: np.ndarray, budget: float) -> np.ndarray:
     """min(1, scale * weight / tokens) of each cell, the scale such that budget * all tokens are kept on average, or all
     tokens of cells with weight if these are fewer."""
@@ -110,7 +119,7 @@ def unit(doc_id: Column, seed: int) -> Column:
 
 
 def calibrated(attrs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET) -> DataFrame:
-    """The cells (a column a marginal, named <marginal>_cell) with tokens, n_docs, weight and prob."""
+    """The cells (a column a marginal, named <marginal>_cell) with tokens, n_docs, weight, prob and expected copies."""
     keys = [f"{m}_cell" for m in targets]
     cells = attrs.select("n_tokens", *[_category(m, t).alias(f"{m}_cell") for m, t in targets.items()]).groupBy(*keys).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n_docs"))
     got = cells.toPandas().sort_values(keys, ignore_index=True)  # rows bounded by the tables of targets
@@ -121,21 +130,36 @@ def calibrated(attrs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TA
         shares.append(np.array([t.get(k, 0.0) for k in names]))
     tokens = got["tokens"].to_numpy(dtype=np.float64)
     got["weight"] = rake(tokens, groups, shares)
-    got["prob"] = np.where(tokens > 0, probabilities(tokens, got["weight"].to_numpy(), budget), 1.0)  # nothing to weigh
-    schema = ", ".join(f"{k} string" for k in keys) + ", tokens long, n_docs long, weight double, prob double"
-    return attrs.sparkSession.createDataFrame(got[[*keys, "tokens", "n_docs", "weight", "prob"]].values.tolist() if len(got) else [], schema)
+    weights = got["weight"].to_numpy()
+    for name, f in (("prob", probabilities), ("expected", expected_copies)):
+        got[name] = np.where(tokens > 0, f(tokens, weights, budget), 1.0)  # nothing to weigh
+    schema = ", ".join(f"{k} string" for k in keys) + ", tokens long, n_docs long, weight double, prob double, expected double"
+    return attrs.sparkSession.createDataFrame(got[[*keys, "tokens", "n_docs", "weight", "prob", "expected"]].values.tolist() if len(got) else [], schema)
+
+
+def marginals(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS) -> DataFrame:
+    """marginal, category, target, and the corpus's and the mix's shares of tokens, for rows of mixed()."""
+    parts = [rows.select(F.lit(m).alias("marginal"), _category(m, t).alias("category"), "n_tokens", "copies") for m, t in targets.items()]
+    out = functools.reduce(DataFrame.union, parts).groupBy("marginal", "category").agg(F.sum("n_tokens").alias("a"), F.sum(F.col("n_tokens") * F.col("copies")).alias("b"))
+    named = rows.sparkSession.createDataFrame([(m, k, float(x)) for m, t in targets.items() for k, x in t.items()], "marginal string, category string, target double")
+    every = Window.partitionBy("marginal")  # as many rows as the table of targets has
+    share = lambda c: (F.coalesce(c, F.lit(0)) / F.sum(c).over(every))
+    return out.join(named, ["marginal", "category"], "full").select("marginal", "category", "target", share(F.col("a")).alias("corpus"), share(F.col("b")).alias("mix"))
 
 
 def _decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
     attrs = written(attributes(docs), "attributes")
     keyed = attrs.withColumns({f"{m}_cell": _category(m, t) for m, t in targets.items()})
-    cells = calibrated(attrs, targets, budget).select(*[f"{m}_cell" for m in targets], "weight", "prob")
+    cells = calibrated(attrs, targets, budget).select(*[f"{m}_cell" for m in targets], "weight", "prob", "expected")
     out = keyed.join(F.broadcast(cells), [f"{m}_cell" for m in targets], "left")  # bounded by the tables of targets
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "row_key", (unit(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"))
+    whole = F.floor("expected")
+    out = out.withColumn("copies", whole + (unit(F.col("doc_id"), seed) < F.col("expected") - whole).cast("long"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "row_key", (unit(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"), "copies")
 
 
 def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
-    """Every document with its attributes, its cell's weight (share of the mix), prob and whether it is sampled.
+    """Every document with its attributes, its cell's weight (share of the mix), prob, whether it is sampled and its copies
+    in the mix. sampled takes no document twice and misses targets that the corpus can't fill; copies meet them.
 
     Null and unnamed sources, languages and topics count as OTHER; null and empty texts have no tokens; a cell without
     tokens keeps its documents; repeated rows share their fate; an empty table gives an empty result; columns beside
@@ -149,3 +173,12 @@ def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS
     fewer, otherwise both sides are shuffled by key."""
     out = written(_decided(docs, targets, budget, seed).where("NOT sampled").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("row_key").alias("_key")).distinct(), "left-out")
     return docs.join(bounded(out, at_once), (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (row_key("text") == F.col("_key")), "left_anti")
+
+
+def repeated(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED, at_once: int = 2_000_000) -> DataFrame:
+    """The mix with the target marginals: documents with all their columns, each as often as it has copies. The keys of those
+    whose copies are not 1 go to the documents if they are at_once or fewer, otherwise both sides are shuffled by key."""
+    other = _decided(docs, targets, budget, seed).where("copies != 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("copies").cast("int").alias("_copies"))
+    other = written(other.distinct(), "copies")
+    out = docs.join(bounded(other, at_once), docs["doc_id"].eqNullSafe(F.col("_id")) & (row_key("text") == F.col("_key")), "left")
+    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))).select(*[docs[c] for c in docs.columns])

@@ -44,6 +44,22 @@ def test_mixed(spark, docs, odd, none):
     assert abs(got["fr", True] - 800) < 90 and abs(got["en", True] - 800) < 90
 
 
+def test_mix_has_the_targets_with_a_hot_source(spark):
+    """A third of the documents is from src0, and the corpus has too little fr, fragments and symbols for the budget."""
+    text = "CASE WHEN id % 50 = 7 THEN 'a few words' WHEN id % 10 = 3 THEN repeat('word # ', 60) ELSE repeat('one two three four five ', 20) END"
+    many = spark.range(60000).selectExpr("id AS doc_id", f"{text} AS text", "CASE WHEN id % 16 = 1 THEN 'fr' ELSE 'en' END AS lang", "CASE WHEN id % 3 = 0 THEN 'src0' ELSE concat('src', id % 19 + 1) END AS source", "0L AS n_chars")
+    t = {"source": mixing.TARGETS["source"], "lang": {"en": 0.7, "fr": 0.3}, "topic": {"repeats": 0.85, "fragment": 0.05, "symbols": 0.1}}
+    mixed = mixing.mixed(many, t)
+    rows = mixing.marginals(mixed, t).collect()
+    present = {m: sum(r.target for r in rows if r.marginal == m and r.corpus) for m in t}
+    assert sum(r.marginal == "source" and r.corpus > 0 for r in rows) == 20
+    for r in rows:
+        assert abs(r.mix - (r.target / present[r.marginal] if r.corpus else 0)) < 0.01, r
+    sums = mixed.selectExpr("sum(n_tokens * copies) / sum(n_tokens) AS x", "sum(copies) AS n", "max(copies) AS most").first()
+    assert abs(sums.x - mixing.BUDGET) < 0.01 and sums.most > 1
+    assert mixing.repeated(many, t).count() == sums.n and mixed.where("copies > 0 AND NOT sampled").count() == 0
+
+
 def test_base_scores(docs, corpus, odd, none):
     got = {r.doc_id: r for r in lmscore.score(docs, block_bytes=4000).collect()}
     held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
