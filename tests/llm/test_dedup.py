@@ -83,6 +83,18 @@ def test_odd_rows(odd, none):
     assert s == {(None, 120, 120), (None, 0, 0), (5, 120, 0), (2, 0, 0)}
 
 
+def test_one_of_each_of_odd_rows(spark, odd):
+    kept = jaccard.one_of_each(odd)
+    assert kept.columns == odd.columns
+    assert sorted(map(str, ((r.doc_id, bool(r.text)) for r in kept.collect()))) == sorted(map(str, [(None, False), (2, False), (5, True)]))
+    # Repeated rows, one id with different texts, null ids alone, and null ids beside an id.
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(150)) for x in "abcd")
+    rows = [(7, a)] * 300 + [(None, a)] * 20 + [(7, b), (8, b), (None, c), (None, c + " more"), (9, d), (9, d + " more"), (3, ""), (3, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.text or "")[:1] for r in kept) == ["", "", "a", "b", "c", "d"]
+    assert {(r.doc_id, r.text[:1]) for r in kept if r.text[:1] in "ad"} >= {(7, "a"), (9, "d")}
+
+
 def brute_removed(rows, span=50):
     words = {d: (t or "").encode().split() for d, t in rows}
     first = {}
