@@ -50,9 +50,9 @@ def decode(name: bytes, code: str | None, fallback: str, threshold: float = THRE
     return name.decode(code or detect(name, threshold) or fallback, "replace")
 
 
-def decoded(entries: DataFrame, archive: str, name: str, is_utf8: Column, fallback: str = "cp437", threshold: float = THRESHOLD, sample: int = 4096) -> DataFrame:
+def decoded(entries: DataFrame, archive: str, name: str, is_utf8: Column, fallback: str = "cp437", threshold: float = THRESHOLD) -> DataFrame:
     """entries with a text column name in place of its bytes. Only names that are neither flagged as UTF-8 nor ASCII go through Python;
-    an archive's charset is found from up to sample such names, its first in order of bytes."""
+    an archive's charset is found from all of those."""
     plain = F.col(name).isNull() | is_utf8 | ~F.decode(name, "ISO-8859-1").rlike(r"[^\x00-\x7F]")
 
     @F.pandas_udf("string")
@@ -64,7 +64,7 @@ def decoded(entries: DataFrame, archive: str, name: str, is_utf8: Column, fallba
         return pd.Series([None if n is None else decode(bytes(n), c, fallback, threshold) for n, c in zip(names, codes)])
 
     odd = entries.where(~plain)
-    per = odd.groupBy(archive).agg(F.slice(F.array_sort(F.collect_set(name)), 1, sample).alias("_names")).select(archive, guess("_names").alias("_code"))
+    per = odd.groupBy(archive).agg(F.array_sort(F.collect_set(name)).alias("_names")).select(archive, guess("_names").alias("_code"))
     done = odd.join(per, archive, "left").withColumn("_text", text(F.col(name), F.col("_code"))).drop("_code")
     rest = entries.where(plain).withColumn("_text", F.decode(name, "UTF-8"))
     return rest.unionByName(done).drop(name).withColumnRenamed("_text", "name")

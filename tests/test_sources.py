@@ -106,3 +106,11 @@ def test_rar(spark):
     assert rarscan.read_entry(rar5(True), rarscan.WARNING) == rarscan.WARNING_TEXT
     v = spark.createDataFrame([(bytearray(rarscan.RAR5),), (bytearray(rarscan.RAR4),), (bytearray(b"x"),)], "c binary").select(rarscan.version(F.col("c")).alias("v"))
     assert [r.v for r in v.collect()] == [5, 4, 0]
+
+
+def test_charset_of_an_archive_from_all_its_names(spark):
+    """The first 4,200 names in order of bytes look like Hangul; only later ones tell that they are Cyrillic."""
+    names = [f"{k:05d}ЖЖЖЖ.txt" for k in range(4200)] + [f"9{k:04d}приветы.txt" for k in range(300)]
+    rows = spark.createDataFrame([("a.zip", bytearray(n.encode("cp1251"))) for n in names], "archive_key string, n binary")
+    got = charset.decoded(rows, "archive_key", "n", F.lit(False)).collect()
+    assert sorted(r.name for r in got) == sorted(names)
