@@ -11,6 +11,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -23,11 +24,11 @@ from granary.llm.common import text_bytes, written
 #: Stands for a null doc_id: such documents come after all others.
 NO_ID = (1 << 63) - 1
 BLOCK_BYTES = 4_000_000
+#: Bytes that are compared or hashed at once, which bounds the arrays that this takes.
+SEGMENT = 1 << 20
 ODD, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-#: Bytes whose words are hashed at once.
-SEGMENT = 1 << 20
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[32, *range(9, 14)]] = True
 SIGNS, LETTERS, MOST_SIGNS = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), 4
@@ -57,7 +58,8 @@ _powers = _Powers()
 
 
 def _range_hashes(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of x[start:end] for every range, by polynomial sums modulo 2**64."""
+    """A hash of x[start:end] for every range, by polynomial sums modulo 2**64. Ranges that differ only in zeros at their end have
+    the same one, so x must not hold zeros or the ranges must be of one length."""
     up, down = _powers.upto(len(x))
     sums = np.zeros(len(x) + 1, dtype=np.uint64)
     np.add.accumulate(x * down, out=sums[1:])
@@ -70,9 +72,19 @@ def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return _range_hashes(h, np.arange(m), np.arange(n, n + m)) if m > 0 else np.zeros(0, dtype=np.uint64)
 
 
+def distinct(items: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct items, by their bytes, in order of first appearance, and the place among them of each item."""
+    place = {w: k for k, w in enumerate(dict.fromkeys(items))}
+    return list(place), np.fromiter(map(place.__getitem__, items), np.int64, len(items))
+
+
 class Words:
     """The words of texts, one after the other: hash, first byte and end of each in buffer, and how many each text has. With
-    cut, up to MOST_SIGNS signs after a letter or digit (of ASCII or Latin-1) are a word of their own."""
+    cut, up to MOST_SIGNS signs after a letter or digit (of ASCII or Latin-1) are a word of their own.
+
+    first and of: one place of every distinct word, and for each word the place in first of its own. They are told apart by
+    their bytes: a sum of bytes groups them, and each word is compared with the first of its group. A word's hash is the XXH3 of
+    its bytes."""
 
     def __init__(self, texts: list[bytes], cut: bool = False):
         self.buffer = b"\n".join([*texts, b""])
@@ -93,14 +105,41 @@ class Words:
             self.ends = np.insert(self.ends, two, e[two])
         stops = np.cumsum([len(t) + 1 for t in texts]) if texts else np.zeros(0, dtype=np.int64)
         self.n = np.diff(np.searchsorted(self.starts, stops), prepend=0)
-        self.hash = np.empty(len(self.starts), dtype=np.uint64)
+        key = np.empty(len(self.starts), dtype=np.uint64)
+        for i, j, lo, hi in self._segments():
+            key[i:j] = _range_hashes(raw[lo:hi].astype(np.uint64) + np.uint64(1), self.starts[i:j] - lo, self.ends[i:j] - lo)
+        _, self.first, self.of = np.unique(key, return_index=True, return_inverse=True)
+        del key
+        if not self._same(raw):
+            every, self.of = distinct(self.at(np.arange(len(self.starts))))
+            self.first = np.zeros(len(every), dtype=np.int64)
+            self.first[self.of[::-1]] = np.arange(len(self.of))[::-1]
+
+    def _segments(self):
+        """Runs of words of about SEGMENT bytes: first, end, first byte and end."""
         i = 0
         while i < len(self.starts):
             j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + SEGMENT, side="right")))
-            lo, hi = int(self.starts[i]), int(self.ends[j - 1])
-            self.hash[i:j] = _range_hashes(raw[lo:hi].astype(np.uint64), self.starts[i:j] - lo, self.ends[i:j] - lo)
+            yield i, j, int(self.starts[i]), int(self.ends[j - 1])
             i = j
 
+    def _same(self, raw: np.ndarray) -> bool:
+        """Whether every word has the bytes of the first of its group."""
+        own = self.first[self.of]
+        size = self.ends - self.starts
+        if not (size == size[own]).all():
+            return False
+        for i, j, _, _ in self._segments():
+            n = size[i:j]
+            step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            if not (raw[np.repeat(self.starts[i:j], n) + step] == raw[np.repeat(self.starts[own[i:j]], n) + step]).all():
+                return False
+        return True
+
+    @property
+    def hash(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self.at(self.first)), np.uint64, len(self.first))[self.of]
+
     def __len__(self) -> int:
         return len(self.starts)
 

@@ -15,10 +15,13 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a temporary folder of this process."""
+    """The folder in spark.checkpoint.dir; where it is unset, a temporary folder of this process if Spark runs in it alone, as in
+    tests. A cluster's executors do not see that folder, so there it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own:
         _own["dir"] = tempfile.mkdtemp(prefix="granary-")
         atexit.register(shutil.rmtree, _own["dir"], True)
@@ -56,7 +59,7 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """(node, label) for every node of edges (a, b): label is the smallest node that it reaches.
 
     Alternating large-star and small-star rounds, each an aggregation and a join on the edges, until no edge
@@ -65,7 +68,7 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
     e = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo < hi").distinct()
     e = written(e, name)
     last = None
-    for _ in range(most_rounds):
+    while True:  # each round lowers labels or changes nothing, so it ends
         both = e.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(e.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("lo < hi").distinct()
@@ -79,7 +82,5 @@ def components(edges: DataFrame, name: str = "cc", most_rounds: int = 60) -> Dat
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError(f"components of {name} did not settle in {most_rounds} rounds")
     tops = e.select(F.col("lo").alias("node"), F.col("lo").alias("label")).distinct()
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("label")).union(tops)

@@ -129,8 +129,8 @@ def encode_texts(path: str, texts: list[bytes]) -> list[np.ndarray]:
             size += len(texts[k])
             k += 1
         words = Words([t if b"<|" in t else t.lower() for t in texts[first:k]], cut=True)
-        _, index, of = np.unique(words.hash, return_index=True, return_inverse=True)
-        got = v.ids(words.at(index))
+        of = words.of
+        got = v.ids(words.at(words.first))
         n = np.fromiter(map(len, got), np.int64, len(got)) // 4
         ids = np.frombuffer(b"".join(got), dtype="<u4")
         # Each word's ids, from where its distinct word has them.
@@ -282,13 +282,17 @@ def _blocks(path: str, end_id: int):
 def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None = None, end_id: int = END_ID) -> str:
     """Write docs' ids as a token folder and return its path.
 
-    Null texts are empty and hold the end id alone; rows are ordered by doc_id, null ids first, and repeated rows stay,
-    next to each other; an empty table gives a folder without blocks; columns beside doc_id and text are not read.
+    Null texts are empty and hold the end id alone; rows are ordered by doc_id, null ids first, rows with one id by a hash of
+    their text, and repeated rows stay, next to each other; a very long text is encoded whole, in one block; an empty table gives
+    a folder without blocks; columns beside doc_id and text are not read.
     """
     spark = docs.sparkSession
     path = path or vocabulary_path()
     folder = folder or f"{scratch_root(spark)}/tokens-{uuid.uuid4().hex}"
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # The text's hash parts rows without an id, or with the same one, between files.
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("tie"))
+    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     raw = written(rows.mapInArrow(_blocks(path, end_id), "file int, start long, doc_ids array<long>, doc_lens array<long>, n long, ids binary, counts binary"), "ids")
 
     def summed(t: pa.Table) -> pa.Table:

@@ -143,3 +143,22 @@ def test_words(texts):
     h = window_hashes(w.hash, 2)
     pairs = list(zip(every, every[1:]))
     assert len(set(pairs)) == len(set(h.tolist()))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("\0\1 a"), max_size=12), max_size=5))
+def test_words_with_null_characters(texts):
+    """NUL is a character of words; the words \\0, \\0\\0, a and a\\0 differ."""
+    w = Words([t.encode() for t in texts])
+    every = w.at(np.arange(len(w)))
+    assert every == [x for t in texts for x in t.encode().split()]
+    assert [w.at(w.first)[k] for k in w.of] == every and len(w.first) == len(set(every)) == len(set(w.hash.tolist()))
+
+
+def test_words_whose_sums_collide():
+    """Words that agree in the sum modulo 2**64, whatever its odd factor, are told apart by their bytes."""
+    a, b = b"a", b"b"
+    for _ in range(11):
+        a, b = a + b, b + a
+    w = Words([a + b" " + b + b" x " + a])
+    assert w.of[0] == w.of[3] and len({*w.of.tolist()}) == 3 and len(set(w.hash.tolist())) == 3

@@ -42,7 +42,7 @@ def test_odd_rows(spark, odd, none):
     assert tokens.digest(spark, tokens.write_tokens(none)).count() == 0
 
 
-WORDS = st.text(alphabet=st.sampled_from("aBcé.,!?'#$ \n\t»…1２ß漢<|>Σσ́"), max_size=30)
+WORDS = st.text(alphabet=st.sampled_from("aBcé.,!?'#$ \n\t»…1２ß漢<|>Σσ́\0"), max_size=30)
 
 
 @settings(max_examples=150, deadline=None)
@@ -88,3 +88,8 @@ def test_codes(counts, n, seed):
 def test_length_limit():
     lengths = tokens.code_lengths(2 ** np.arange(40))
     assert lengths.max() == tokens.MAX_LENGTH and (2.0 ** -lengths.astype(float)).sum() == 1
+
+
+def test_null_characters_are_part_of_words(tokenizer):
+    for x in ["a\0 a", "\0 a \0a", "a a\0\0 \0"]:
+        assert tokens.encode_texts(tokens.vocabulary_path(), [x.encode()])[0].tolist() == tokenizer.encode(x, add_special_tokens=False).ids
