@@ -1,13 +1,19 @@
 """Language-model scores of whole texts: a causal self-attention model over subword ids, trained in numpy.
 
-A text is its words and an end. Each word enters the model as the ids of its first and last subword, folded to
-CLASSES buckets; one layer of masked attention over the words before gives the distribution of the next word's bucket. The
-score of a word is P(bucket | words before) * P(word | bucket), the second from the training words' counts, so where the
-model has learned nothing the score is that of the counts alone.
+A text is the subword ids of its words, and an end. Every id of the vocabulary and the end belong to one of CLASSES classes, cut
+from the ids in order of whether they end a word and how often the training texts have them. One layer of masked self-attention over the
+ids before, by their classes, gives the distribution of the next id's class; an id's probability is P(class | ids before) *
+P(id | class), the second from the training texts' counts. Both sum to 1, so the score is the log probability of the text.
 
-Texts are scored in windows of LENGTH words that overlap by OVERLAP; the overlap is context only, so each word is scored once.
-Counts come from all training texts. The model is trained on all windows of the training texts, each word once a round, by
+Queries and keys depend on classes alone, and what attention adds for their distance is a learned bias, so the scores of all pairs
+of classes are a table, made once a batch.
+
+Texts are scored in windows of LENGTH ids that overlap by OVERLAP; the overlap is context only, so each id is scored once.
+Counts come from all training texts. The model is trained on all windows of the training texts, each id once a round, by
 each task on its own, and averaged after every round.
+
+Words are counted exactly, by their bytes. Each block of documents asks about each of its distinct words once; the words of all
+blocks are dealt by hash into parts of bounded size, added up there, and the counts go back to the blocks.
 """
 
 from __future__ import annotations
@@ -17,25 +23,29 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.blocks import NO_ID, Words, column, empty_table, pieces
+from granary.llm.blocks import NO_ID, Words, empty_table, pieces
 from granary.llm.common import forget, text_bytes, written
 from granary.llm.tokens import vocabulary, vocabulary_path
 
-CLASSES = 256
+CLASSES = 64
 WIDTH = 16
-LENGTH, OVERLAP = 64, 16
-#: One training window in SHARE is trained on, so all; rounds of averaging; groups in which tasks' models are summed.
-SHARE, ROUNDS, SUMS = 1, 1, 16
-BATCH, RATE = 64, 0.02
-BLOCK_BYTES = 8_000_000
-#: The end's hash; no word has it but by chance.
-END = np.uint64(0)
-START = CLASSES  # the bucket before the first word
+LENGTH, OVERLAP = 32, 8
+#: Rounds of averaging; groups in which tasks' models and counts are summed.
+ROUNDS, SUMS = 1, 16
+#: Windows in a step of training and in a step of scoring.
+BATCH, SCORED = 128, 96
+RATE = 0.02
+SMOOTH = 0.1
+BLOCK_BYTES = 2_000_000
+#: Distinct words of blocks in a part, on average, and blocks whose words meet in one task. More blocks are added up in groups first.
+PART_WORDS, GROUP_BLOCKS = 500_000, 4096
+START = CLASSES  # the class before the first id
 
 
 def held_out(doc_id: int, folds: int = 10) -> bool:
@@ -43,286 +53,438 @@ def held_out(doc_id: int, folds: int = 10) -> bool:
     return doc_id != NO_ID and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
-def buckets(path: str, words: list[bytes]) -> np.ndarray:
-    """First and last subword's bucket of each word: two columns. Bucket 0 is the end's alone."""
-    if not words:
-        return np.zeros((0, 2), dtype=np.int64)
-    # The words and the signs after them, each distinct one encoded once.
-    parts = Words([b"\n".join(words)], cut=True)
-    _, index, of = np.unique(parts.hash, return_index=True, return_inverse=True)
-    got = vocabulary(path).ids(parts.at(index))
-    n = np.fromiter(map(len, got), np.int64, len(got)) // 4
-    ids = np.append(np.frombuffer(b"".join(got), dtype="<u4"), 0).astype(np.int64)
+def _spread(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values[s:s + k] for every s, k of starts and n, one after the other."""
     ends = np.cumsum(n)
-    spread = lambda x: np.where(n == 0, 1, 1 + ((x * 2654435761 & 0xFFFFFFFF) * (CLASSES - 1) >> 32))
-    begins = np.cumsum([0] + [len(w) + 1 for w in words])
-    part = np.searchsorted(parts.starts, begins)
-    return np.stack([spread(ids[ends - n])[of[part[:-1]]], spread(ids[np.maximum(ends - 1, 0)])[of[part[1:] - 1]]], axis=1)
+    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - n), n)]
+
+
+def subwords(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of distinct words, one word after the other, and how many each has."""
+    parts = Words([b"\n".join(words)], cut=True)  # the words and the signs after them, each distinct one encoded once
+    got = vocabulary(path).ids(parts.at(parts.first))
+    n = np.fromiter(map(len, got), np.int64, len(got)) // 4
+    ids = np.frombuffer(b"".join(got), dtype="<u4")
+    m = n[parts.of]
+    every = _spread(ids, (np.cumsum(n) - n)[parts.of], m)
+    begins = np.cumsum([0] + [len(w) + 1 for w in words])[:-1]
+    first = np.searchsorted(parts.starts, begins)
+    total = np.cumsum(np.append(0, m))
+    return every, np.diff(np.append(total[first], total[-1]))
+
+
+def _planes(x: np.ndarray) -> list[bytes]:
+    """Unsigned 32-bit numbers byte by byte, which packs better."""
+    return [(x >> np.uint32(k)).astype(np.uint8).tobytes() for k in (0, 8, 16, 24)]
+
+
+def _unplaned(planes: list[bytes]) -> np.ndarray:
+    return sum(np.frombuffer(p, dtype=np.uint8).astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes))
 
 
 class Text:
-    """A block's documents as one run of tokens, each document's end after its words."""
+    """A block's documents: for each word its place among the block's distinct words, which are in order of their hash, and those words'
+    ids. The run of ids has the end after each document."""
 
     def __init__(self, ids: list[int], texts: list[bytes], path: str):
         words = Words([t.lower() for t in texts])
-        self.n = words.n + 1
-        self.starts = np.cumsum(self.n) - self.n
-        ends = self.starts + self.n - 1
-        h = np.full(int(self.n.sum()), END, dtype=np.uint64)
-        inner = np.ones(len(h), dtype=bool)
-        inner[ends] = False
-        h[inner] = words.hash
-        self.word, index, self.of = np.unique(h, return_index=True, return_inverse=True)
-        place = np.cumsum(inner) - 1
-        two = np.zeros((len(self.word), 2), dtype=np.int16)
-        real = np.flatnonzero(inner[index])
-        two[real] = buckets(path, words.at(place[index[real]]))
-        self.two = two[self.of]
-        self.first = two[:, 0]
+        every = words.at(words.first)
+        key = np.fromiter(map(xxhash.xxh3_64_intdigest, every), np.uint64, len(every))
+        by = np.argsort(key, kind="stable")
+        place = np.empty(len(by), dtype=np.int64)
+        place[by] = np.arange(len(by))
+        self.key, self.words = key[by], [every[k] for k in by]
+        self.of, self.n = place[words.of], words.n
+        self.sub, self.n_sub = subwords(path, self.words)
         self.ids = np.array(ids, dtype=np.int64)
         self.held = np.array([held_out(d) for d in ids], dtype=bool)
 
     def packed(self) -> bytes:
-        """What scored() needs of the texts: no words, but each token's place among the block's distinct words, and buckets."""
-        common = np.argsort(-np.bincount(self.of, minlength=len(self.word)), kind="stable")
+        """What scoring needs of the texts: no words, but places and ids."""
+        common = np.argsort(-np.bincount(self.of, minlength=len(self.n_sub)), kind="stable")
         rank = np.empty(len(common), dtype=np.uint32)
         rank[common] = np.arange(len(common), dtype=np.uint32)
-        of = rank[self.of]
-        planes = [(of >> np.uint32(k)).astype(np.uint8).tobytes() for k in (0, 8, 16, 24)]
-        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps((self.ids, self.n, self.held, common.astype(np.uint32), planes, self.first, self._last()), protocol=5))
-
-    def _last(self) -> np.ndarray:
-        last = np.zeros(len(self.word), dtype=np.int16)
-        last[self.of] = self.two[:, 1]
-        return last
+        state = (self.ids, self.n, self.held, _planes(common.astype(np.uint32)), _planes(rank[self.of]), self.sub.astype(np.uint32), self.n_sub.astype(np.int32))
+        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(state, protocol=5))
 
     @classmethod
     def unpacked(cls, blob: bytes) -> "Text":
         t = cls.__new__(cls)
-        t.ids, t.n, t.held, common, planes, t.first, last = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
-        t.starts = np.cumsum(t.n) - t.n
-        ranks = sum(np.frombuffer(p, dtype=np.uint8).astype(np.uint32) << np.uint32(8 * k) for k, p in enumerate(planes))
-        t.of = common[ranks]
-        t.two = np.stack([t.first, last], axis=1)[t.of]
-        t.word = t.first  # as many as distinct words; the hashes are not kept
+        t.ids, t.n, t.held, common, ranks, t.sub, n_sub = pickle.loads(zstandard.ZstdDecompressor().decompress(blob))
+        t.n_sub = n_sub.astype(np.int64)
+        t.of = _unplaned(common)[_unplaned(ranks)].astype(np.int64)
         return t
 
-    def windows(self, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of all windows of docs: document, first token, and the first token that is scored."""
-        step = LENGTH - OVERLAP
-        count = 1 + np.maximum(0, -(-(self.n[docs] - LENGTH) // step))
-        doc = np.repeat(docs, count)
-        k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        first = self.starts[doc] + k * step
-        return doc, first, np.where(k > 0, first + OVERLAP, first)
-
-    def filled(self, doc: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For windows: the two buckets before each place, the bucket at it, and its token (-1: after the end)."""
-        at = first[:, None] + np.arange(LENGTH)
-        ends = (self.starts + self.n)[doc][:, None]
-        two = self.two
-        before = two[np.minimum(np.maximum(at - 1, 0), len(two) - 1)]
-        before[at == self.starts[doc][:, None]] = START
-        return before, two[np.minimum(at, len(two) - 1), 0], np.where(at < ends, at, -1)
-
-
-MASK = np.where(np.tril(np.ones((LENGTH, LENGTH), dtype=bool)), 0, -1e9).astype(np.float32)
-
-
-def fresh(bias: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
-    """A model that predicts the buckets' shares whatever comes before."""
-    r = np.random.default_rng(seed)
-    draw = lambda *s: (r.standard_normal(s) * 0.1).astype(np.float32)
-    return {"first": draw(CLASSES + 1, WIDTH), "last": draw(CLASSES + 1, WIDTH), "place": draw(LENGTH, WIDTH), "q": draw(WIDTH, WIDTH), "k": draw(WIDTH, WIDTH), "v": draw(WIDTH, WIDTH), "o": draw(WIDTH, WIDTH), "out": np.zeros((WIDTH, CLASSES), dtype=np.float32), "bias": bias.astype(np.float32)}
-
-
-def _times(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """x @ w as one product of two matrices; numpy would take a small one for each window."""
-    return (x.reshape(-1, x.shape[-1]) @ w).reshape(*x.shape[:-1], w.shape[1])
-
-
-def forward(m: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Batched masked attention: hidden states (window, place, WIDTH) and what backward() needs."""
-    x = m["first"][before[..., 0]] + m["last"][before[..., 1]] + m["place"]
-    q, k, v = (_times(x, m[n]) for n in "qkv")
-    a = q @ k.transpose(0, 2, 1)
-    a *= np.float32(WIDTH**-0.5)
-    a += MASK
-    np.minimum(a, 60, out=a)
-    np.exp(a, out=a)
+    def run(self, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids with the end after each document, and where each document's begin and how many they are."""
+        m = self.n_sub[self.of]
+        flat = _spread(self.sub, (np.cumsum(self.n_sub) - self.n_sub)[self.of], m)
+        total = np.append(0, np.cumsum(m))
+        stops = total[np.cumsum(self.n)]
+        long = np.diff(stops, prepend=0) + 1
+        out = np.full(len(flat) + len(self.n), end, dtype=np.uint32)
+        inner = np.ones(len(out), dtype=bool)
+        inner[np.cumsum(long) - 1] = False
+        out[inner] = flat
+        return out, np.cumsum(long) - long, long
+
+
+def windows(starts: np.ndarray, n: np.ndarray, docs: np.ndarray, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all windows of docs: document, first place, and the first place that is scored."""
+    step = LENGTH - overlap
+    count = 1 + np.maximum(0, -(-(n[docs] - LENGTH) // step))
+    doc = np.repeat(docs, count)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    first = starts[doc] + k * step
+    return doc, first, np.where(k > 0, first + overlap, first)
+
+
+class Classes:
+    """Which class each id is in, and its log share of the class. Class 0 is the end's alone."""
+
+    def __init__(self, counts: np.ndarray, ends: np.ndarray):
+        """counts of all ids, the end's last; ends: which ids end a word."""
+        vocab = len(counts) - 1
+        by = np.lexsort((np.arange(vocab), -counts[:-1], ends))
+        mass = np.cumsum(counts[by] + SMOOTH)
+        self.of = np.zeros(vocab + 1, dtype=np.uint8)
+        self.of[by] = 1 + np.minimum((mass - mass[:1] / 2) * (CLASSES - 1) / max(mass[-1], 1e-9) if vocab else mass, CLASSES - 2).astype(np.int64)
+        weight = counts + SMOOTH
+        total = np.bincount(self.of, weight, CLASSES)
+        self.share = np.log(weight) - np.log(total[self.of])
+        self.log_mass = np.log(np.maximum(total, 1e-9) / total.sum())
+
+
+#: The model's arrays, in one vector.
+SHAPES = {"embed": (CLASSES + 1, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "near": (LENGTH,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
+SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
+#: The distance from each place of a window to each place before it; LENGTH: not before it.
+BACK = np.arange(LENGTH)[:, None] - np.arange(LENGTH)
+BACK[BACK < 0] = LENGTH
+PAIRS = CLASSES + 1
+
+
+def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
+    """The arrays, as views."""
+    out, at = {}, 0
+    for name, shape in SHAPES.items():
+        n = int(np.prod(shape))
+        out[name] = flat[at : at + n].reshape(shape)
+        at += n
+    return out
+
+
+def fresh(log_mass: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A model that predicts the classes' shares whatever comes before."""
+    flat = (np.random.default_rng(seed).standard_normal(SIZE) * 0.2).astype(np.float32)
+    m = parts(flat)
+    m["out"][:], m["near"][:] = 0, -0.1 * np.arange(LENGTH)
+    m["bias"][:] = log_mass
+    return flat
+
+
+def tables(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """What attention needs of all pairs of classes and of all distances."""
+    q, k = m["embed"] @ m["q"], m["embed"] @ m["k"]
+    raw = (q @ k.T) * np.float32(WIDTH**-0.5)
+    near = np.append(np.exp(np.clip(m["near"], -30, 30)), 0).astype(np.float32)
+    return {"q": q, "k": k, "raw": raw, "pair": np.exp(np.clip(raw, -30, 30)).reshape(-1), "near": near[BACK], "v": m["embed"] @ m["v"]}
+
+
+def attend(m: dict[str, np.ndarray], t: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Batched masked attention: hidden states (window, place, WIDTH), the places of pairs in the table, and the weights."""
+    pair = before[:, :, None] * PAIRS + before[:, None, :]
+    a = t["pair"][pair]
+    a *= t["near"]
     a /= a.sum(axis=2, keepdims=True)
-    c = a @ v
-    return x + _times(c, m["o"]), x, q, k, v, a, c
+    h = a @ t["v"][before]
+    h += m["embed"][before]
+    return h, pair, a
 
 
-def log_probs(m: dict[str, np.ndarray], hidden: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the buckets, for rows of hidden states."""
+def log_probs(m: dict[str, np.ndarray], hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the classes, for rows of hidden states."""
     z = hidden @ m["out"]
     z += m["bias"]
     np.clip(z, -80, 80, out=z)
-    own = z[np.arange(len(z)), bucket]
+    own = z[np.arange(len(z)), target]
     np.exp(z, out=z)
-    return own - np.log(z.sum(axis=1))
+    return own - np.log(z @ np.ones(CLASSES, dtype=np.float32))
 
 
-def gradients(m: dict[str, np.ndarray], before: np.ndarray, bucket: np.ndarray, real: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-    """Gradients of the mean log loss over real places, and that loss."""
-    h, x, q, k, v, a, c = forward(m, before)
-    flat = lambda t: t.reshape(-1, t.shape[-1])
+def gradients(m: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, float]:
+    """The gradient, as one vector, of the mean log loss over real places, and that loss."""
+    t = tables(m)
+    h, pair, a = attend(m, t, before)
+    flat = np.zeros(SIZE, dtype=np.float32)
+    g = parts(flat)
     rows = np.flatnonzero(real)
     n = max(1, len(rows))
-    seen, own = flat(h)[rows], (np.arange(len(rows)), bucket.reshape(-1)[rows])
+    seen, own = h.reshape(-1, WIDTH)[rows], (np.arange(len(rows)), target.reshape(-1)[rows])
     p = seen @ m["out"]
     p += m["bias"]
     np.clip(p, -80, 80, out=p)
     right = p[own].astype(np.float64)
     np.exp(p, out=p)
-    total = p.sum(axis=1)
+    total = p @ np.ones(CLASSES, dtype=np.float32)
     loss = float((np.log(total) - right).sum()) / n
     p *= (1 / (n * total))[:, None]
     p[own] -= np.float32(1 / n)
-    g = {"out": seen.T @ p, "bias": p.sum(axis=0)}
+    g["out"][:], g["bias"][:] = seen.T @ p, np.ones(len(p), dtype=np.float32) @ p
     dh = np.zeros_like(h)
-    flat(dh)[rows] = p @ m["out"].T
-    g["o"] = flat(c).T @ flat(dh)
-    dc = _times(dh, m["o"].T)
-    da = dc @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dc
-    da -= (da * a).sum(axis=2, keepdims=True)
+    dh.reshape(-1, WIDTH)[rows] = p @ m["out"].T
+    v = t["v"][before]
+    dv = a.transpose(0, 2, 1) @ dh
+    da = dh @ v.transpose(0, 2, 1)
+    da -= (da * a) @ np.ones((LENGTH, 1), dtype=np.float32)
     da *= a
-    da *= np.float32(WIDTH**-0.5)
-    dq, dk = da @ k, da.transpose(0, 2, 1) @ q
-    dx = dh + _times(dq, m["q"].T) + _times(dk, m["k"].T) + _times(dv, m["v"].T)
-    for name, d in (("q", dq), ("k", dk), ("v", dv)):
-        g[name] = flat(x).T @ flat(d)
-    g["place"] = dx.sum(axis=0)
-    for name, col in (("first", 0), ("last", 1)):
-        cell = before[..., col].reshape(-1, 1).astype(np.int64) * WIDTH + np.arange(WIDTH)
-        g[name] = np.bincount(cell.reshape(-1), dx.reshape(-1), m[name].size).reshape(m[name].shape).astype(np.float32)
-    return g, loss
+    g["near"][:] = np.bincount(BACK.reshape(-1), da.sum(axis=0).reshape(-1), LENGTH + 1)[:LENGTH]
+    # Masked pairs have weight 0, so they add nothing.
+    score = np.bincount(pair.reshape(-1), da.reshape(-1), PAIRS * PAIRS).reshape(PAIRS, PAIRS).astype(np.float32)
+    score[np.abs(t["raw"]) > 30] = 0
+    score *= np.float32(WIDTH**-0.5)
+    dq, dk = score @ t["k"], score.T @ t["q"]
+    one = np.zeros((PAIRS, before.size), dtype=np.float32)
+    one[before.reshape(-1), np.arange(before.size)] = 1
+    by_class = one @ np.concatenate([dh.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)], axis=1)
+    g["embed"][:] = by_class[:, :WIDTH] + by_class[:, WIDTH:] @ m["v"].T + dq @ m["q"].T + dk @ m["k"].T
+    g["v"][:], g["q"][:], g["k"][:] = m["embed"].T @ by_class[:, WIDTH:], m["embed"].T @ dq, m["embed"].T @ dk
+    return flat, loss
 
 
 class Adam:
-    def __init__(self, m: dict[str, np.ndarray], rate: float):
-        self.rate, self.t = rate, 0
-        self.one, self.two = ({k: np.zeros_like(v) for k, v in m.items()} for _ in range(2))
+    def __init__(self, rate: float):
+        self.rate, self.t = np.float32(rate), 0
+        self.one, self.two = np.zeros(SIZE, dtype=np.float32), np.zeros(SIZE, dtype=np.float32)
 
-    def step(self, m: dict[str, np.ndarray], g: dict[str, np.ndarray]) -> None:
+    def step(self, flat: np.ndarray, g: np.ndarray) -> None:
         self.t += 1
-        for k, d in g.items():
-            self.one[k] = 0.9 * self.one[k] + 0.1 * d
-            self.two[k] = 0.99 * self.two[k] + 0.01 * d * d
-            m[k] -= (self.rate * (self.one[k] / (1 - 0.9**self.t)) / (np.sqrt(self.two[k] / (1 - 0.99**self.t)) + 1e-6)).astype(np.float32)
-
-
-def _flat(m: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([m[k].reshape(-1) for k in sorted(m)])
+        self.one += np.float32(0.1) * (g - self.one)
+        self.two += np.float32(0.01) * (g * g - self.two)
+        flat -= self.rate * np.float32(1 / (1 - 0.9**self.t)) * self.one / (np.sqrt(self.two * np.float32(1 / (1 - 0.99**self.t))) + np.float32(1e-6))
 
 
-def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    out, at = {}, 0
-    for k in sorted(like):
-        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-        at += like[k].size
+def inputs(cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The class before each place."""
+    out = np.empty(len(cls), dtype=np.int64)
+    out[1:] = cls[:-1]
+    out[starts] = START
     return out
 
 
-def learn(t: Text, m: dict[str, np.ndarray], opt: Adam, share: int, seed: int) -> int:
-    """Train m on the windows of a block's training texts, each word once, in batches of equal size; their number."""
-    doc, first, begin = t.windows(np.flatnonzero(~t.held))
-    pick = (t.ids.view(np.uint64)[doc] * np.uint64(0x9E3779B97F4A7C15) + (first - t.starts[doc]).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(40)
-    some = np.random.default_rng(seed).permutation(np.flatnonzero(pick % np.uint64(share) == 0))
-    for w in np.array_split(some, -(-len(some) // BATCH)) if len(some) else []:
-        before, bucket, at = t.filled(doc[w], first[w])
-        opt.step(m, gradients(m, before, bucket, at >= begin[w, None])[0])
-    return len(some)
-
-
-def train(texts: DataFrame, model: dict[str, np.ndarray], rounds: int = ROUNDS, share: int = SHARE) -> dict[str, np.ndarray]:
+def learn(t: Text, classes: Classes, flat: np.ndarray, opt: Adam, seed: int) -> int:
+    """Train on the windows of a block's training texts, each id once, in batches of equal size; the number of ids."""
+    ids, starts, n = t.run(len(classes.of) - 1)
+    cls = classes.of[ids]
+    before = inputs(cls, starts)
+    doc, first, _ = windows(starts, n, np.flatnonzero(~t.held), 0)
+    ends = (starts + n)[doc]
+    m, seen = parts(flat), 0
+    order = np.random.default_rng(seed).permutation(len(doc))
+    for w in np.array_split(order, -(-len(order) // BATCH)) if len(order) else []:
+        at = first[w, None] + np.arange(LENGTH)
+        real = at < ends[w, None]
+        at[~real] = 0
+        seen += int(real.sum())
+        opt.step(flat, gradients(m, before[at], cls[at].astype(np.int64), real)[0])
+    return seen
+
+
+def train(texts: DataFrame, classes: Classes, model: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """The model after rounds of training on texts (packed blocks): each task trains a copy on its windows; copies are
-    averaged by their windows."""
+    averaged by their ids."""
     for k in range(rounds):
-        start, rate = model, RATE / (1 + k)
 
-        def local(batches, start=start, rate=rate, k=k):
-            m, seen = {n: v.copy() for n, v in start.items()}, 0
-            opt = Adam(m, rate)
+        def local(batches, start=model, rate=RATE / (1 + k), k=k):
+            m, seen, opt = start.copy(), 0, Adam(rate)
             for b in batches:
                 for blob in b.column(0):
-                    seen += learn(Text.unpacked(blob.as_py()), m, opt, share, k)
+                    seen += learn(Text.unpacked(blob.as_py()), classes, m, opt, k)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([seen], pa.int64()), pa.array([(_flat(m).astype(np.float64) * seen).tobytes()], pa.binary())], names=["part", "seen", "model"])
-
-        def total(copies: pa.Table) -> pa.Table:
-            flat = 0.0
-            for x in copies.column("model"):
-                flat = flat + np.frombuffer(x.as_py(), dtype=np.float64)
-            return pa.table({"part": pa.array(copies.column("part").to_pylist()[:1], pa.int32()), "seen": pa.array([sum(copies.column("seen").to_pylist())]), "model": pa.array([flat.tobytes()], pa.binary())})
+                yield _sums_row(seen, m.astype(np.float64) * seen)
 
-        ddl = "part int, seen long, model binary"
-        sums = texts.mapInArrow(local, ddl).groupBy("part").applyInArrow(total, ddl).collect()  # at most SUMS models
+        sums = _summed(texts.mapInArrow(local, SUMS_DDL))
         if not sums:
             return model
-        model = _shaped(sum(np.frombuffer(r["model"], dtype=np.float64) for r in sums) / sum(r["seen"] for r in sums), model)
+        model = (sum(x for _, x in sums) / sum(n for n, _ in sums)).astype(np.float32)
     return model
 
 
-def score(docs: DataFrame, path: str | None = None, share: int = SHARE, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
+SUMS_DDL = "part int, seen long, total binary"
+
+
+def _sums_row(seen: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([seen], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["part", "seen", "total"])
+
+
+def _summed(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """The tasks' vectors, added up in SUMS groups."""
+
+    def total(t: pa.Table) -> pa.Table:
+        flat = 0.0
+        for x in t.column("total"):
+            flat = flat + np.frombuffer(x.as_py(), dtype=np.float64)
+        return pa.table({"part": pa.array(t.column("part").to_pylist()[:1], pa.int32()), "seen": pa.array([sum(t.column("seen").to_pylist())]), "total": pa.array([flat.tobytes()], pa.binary())})
+
+    return [(r["seen"], np.frombuffer(r["total"], dtype=np.float64)) for r in rows.groupBy("part").applyInArrow(total, SUMS_DDL).collect()]
+
+
+def _joined(words: list[bytes]) -> bytes:
+    """Words as one string; none holds a line break."""
+    return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
+
 
-    Null and empty texts are an end alone; null ids are trained on; repeated rows are documents of their own; without
-    training texts every token is unknown; an empty table gives an empty result; columns beside doc_id and text are not read.
+def _cut(blob: bytes) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
+
+
+def _added(t: pa.Table) -> dict[bytes, int]:
+    total: dict[bytes, int] = {}
+    for words, counts in zip(t.column("words"), t.column("counts")):
+        for w, c in zip(_cut(words.as_py()), np.frombuffer(counts.as_py(), dtype=np.int64).tolist()):
+            total[w] = total.get(w, 0) + c
+    return total
+
+
+def counted(blocks: DataFrame, part_words: int = PART_WORDS, group_blocks: int = GROUP_BLOCKS) -> tuple[DataFrame, int, int]:
+    """For blocks (block, n_words, words, counts: the block's distinct words in order of their hash and how often its training texts
+    have them): rows (block, part, counts of the whole corpus for the words of the part, in the same order); and the number of
+    words and of distinct words of all training texts."""
+    sums = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
+    n_parts, n_groups = max(1, -(-sums[0] // part_words)), max(1, -(-sums[1] // group_blocks))
+    fences = [(k << 64) // n_parts for k in range(1, n_parts)]
+
+    def dealt(batches):
+        for b in batches:
+            for block, words, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                w, c = _cut(words.as_py()), np.frombuffer(counts.as_py(), dtype=np.int64)
+                key = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
+                cuts = [0, *np.searchsorted(key, np.array(fences, dtype=np.uint64)).tolist(), len(w)]
+                rows = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _, _ in rows], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(str(block)) % n_groups] * len(rows), pa.int64()), pa.array([block] * len(rows), pa.int64()),
+                     pa.array([_joined(w[lo:hi]) for _, lo, hi in rows], pa.binary()), pa.array([c[lo:hi].tobytes() for _, lo, hi in rows], pa.binary())],
+                    names=["part", "group", "block", "words", "counts"],
+                )
+
+    asked = written(blocks.where("n_words > 0").select("block", "words", "counts").mapInArrow(dealt, "part long, group long, block long, words binary, counts binary"), "asked")
+
+    def merged(t: pa.Table) -> pa.Table:
+        total = {w: c for w, c in _added(t).items() if c}
+        c = np.fromiter(total.values(), np.int64, len(total))
+        return pa.table({
+            "part": pa.array(t.column("part").to_pylist()[:1], pa.int64()), "words": pa.array([_joined(list(total))], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary()),
+            "n": pa.array([int(c.sum())]), "v": pa.array([len(c)]),
+        })
+
+    ddl = "part long, words binary, counts binary, n long, v long"
+    totals = asked.select("part", "group", "words", "counts").groupBy("part", "group").applyInArrow(merged, ddl)
+    if n_groups > 1:
+        totals = totals.groupBy("part").applyInArrow(merged, ddl)
+    totals = written(totals, "totals")
+    n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        total = _added(right)
+        got = []
+        for words in left.column("words"):
+            w = _cut(words.as_py())
+            got.append(np.fromiter((total.get(x, 0) for x in w), np.int64, len(w)).tobytes())
+        return pa.table({"block": left.column("block"), "part": left.column("part"), "counts": pa.array(got, pa.binary())})
+
+    sent = totals.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("group"), "words", "counts")
+    out = asked.select("part", "group", "block", "words").groupBy("part", "group").cogroup(sent.groupBy("part", "group")).applyInArrow(answered, "block long, part long, counts binary")
+    out = written(out, "answers")
+    forget(asked, totals)
+    return out, n, v
+
+
+def log10_ids(t: Text, classes: Classes, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The log10 probability of every id of a block's documents, their ends included, and where each document's begin."""
+    ids, starts, n = t.run(len(classes.of) - 1)
+    cls = classes.of[ids]
+    before = inputs(cls, starts)
+    m = parts(model)
+    table = tables(m)
+    out = classes.share[ids]
+    doc, first, scored_from = windows(starts, n, np.arange(len(n)), OVERLAP)
+    ends = (starts + n)[doc]
+    for lo in range(0, len(doc), SCORED):
+        at = first[lo : lo + SCORED, None] + np.arange(LENGTH)
+        once = (at >= scored_from[lo : lo + SCORED, None]) & (at < ends[lo : lo + SCORED, None])
+        place = at[once]
+        at[at >= len(ids)] = 0
+        out[place] += log_probs(m, attend(m, table, before[at])[0][once], cls[place])
+    return out / np.log(10), starts
+
+
+def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_ids of every document.
+
+    score is the log10 probability of the text's n_ids subword ids, its end included. Null and empty texts are an end alone; a
+    very long text is scored whole, in windows, and makes a block of its own; null ids are trained on; repeated rows are documents of
+    their own; without training texts every token is unknown; an empty table gives an empty result; columns beside doc_id and text
+    are not read.
     """
     path = path or vocabulary_path()
-
-    def block(k: int, ids: list[int], texts: list[bytes]) -> pa.RecordBatch:
-        """A row for each distinct word, then one with the packed texts."""
-        t = Text(ids, texts, path)
-        trained = np.repeat(~t.held, t.n)
-        c = np.append(np.bincount(t.of[trained], minlength=len(t.word)).astype(np.int64), 0)
-        n = len(t.word)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n + 1, k)), pa.array(np.arange(n + 1, dtype=np.int32)), pa.array(np.append(t.word.view(np.int64), 0)), pa.array(np.append(t.first, 0).astype(np.int16)), pa.array(c),
-             pa.array([*[None] * n, t.packed()], pa.binary())],
-            names=["block", "place", "word", "bucket", "c", "texts"],
-        )
+    word_ends = vocabulary(path).ends
+    vocab = len(word_ends)
+
+    def blocks(batches):
+        """A row for each block, then one with this task's counts of ids and its number of training texts."""
+        names = ["block", "texts", "n_words", "words", "counts", "seen", "total"]
+        every, trained = np.zeros(vocab + 1, dtype=np.int64), 0
+        for k, ids, texts in pieces(batches, block_bytes):
+            t = Text(ids, texts, path)
+            c = np.bincount(t.of[np.repeat(~t.held, t.n)], minlength=len(t.words))
+            every[:vocab] += np.bincount(t.sub, np.repeat(c, t.n_sub), vocab).astype(np.int64)
+            trained += int((~t.held).sum())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([k]), pa.array([t.packed()], pa.binary()), pa.array([len(t.words)]), pa.array([_joined(t.words)], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary())], names=names)
+        every[vocab] = trained
+        if trained:
+            blob = zstandard.ZstdCompressor(level=1).compress(every.astype("<i8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([trained]), pa.array([blob], pa.binary())], names=names)
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text")).alias("text"))
-    asked = written(rows.mapInArrow(lambda batches: (block(*b) for b in pieces(batches, block_bytes)), "block long, place int, word long, bucket short, c long, texts binary"), "words")
-    words = asked.where("texts IS NULL")
-    totals = written(words.where("c > 0").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c")), "counts")
-    shares = totals.groupBy("bucket").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas()  # CLASSES rows
-    n_all, v_all = int(shares["c"].sum()), int(shares["v"].sum())
-    mass = np.full(CLASSES, 0.1 / CLASSES)
-    mass[shares["bucket"].to_numpy(dtype=np.int64)] += shares["c"].to_numpy(dtype=np.float64) + 0.1 * shares["v"].to_numpy(dtype=np.float64)
-    whole = n_all + 0.1 * (v_all + 1)
-    log_share = np.log(mass / whole)
-    model = train(asked.where("texts IS NOT NULL").select("texts"), fresh(log_share), rounds, share)
-    found = written(words.select("block", "place", "word").join(totals.select("word", "c"), "word").select("block", "place", "c"), "found")
-    forget(totals)
-
-    def scored(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.concat_tables([one(Text.unpacked(x.as_py()), answers) for x in texts.column("texts")]) if texts.num_rows else empty
-
-    def one(t: Text, answers: pa.Table) -> pa.Table:
-        count = np.zeros(len(t.word), dtype=np.int64)
-        count[column(answers, "place")] = column(answers, "c")
-        base = np.log10((count + 0.1) / whole)[t.of]
-        more = np.zeros(len(t.of))
-        doc, first, scored_from = t.windows(np.arange(len(t.n)))
-        shares_at = log_share[t.two[:, 0]]
-        for lo in range(0, len(doc), 256):
-            before, bucket, at = t.filled(doc[lo : lo + 256], first[lo : lo + 256])
-            once = at >= scored_from[lo : lo + 256, None]
-            place = at[once]
-            more[place] = log_probs(model, forward(model, before)[0][once], bucket[once]) - shares_at[place]
-        sums = lambda x: np.add.reduceat(x, t.starts)
-        b = sums(base)
+    made = written(rows.mapInArrow(blocks, "block long, texts binary, n_words long, words binary, counts binary, seen long, total binary"), "words")
+
+    def widened(batches):
+        z = zstandard.ZstdDecompressor()
+        for b in batches:
+            for n, x in zip(b.column(0).to_pylist(), b.column(1)):
+                yield _sums_row(n, np.frombuffer(z.decompress(x.as_py()), dtype="<i8"))
+
+    sums = _summed(made.where("seen IS NOT NULL").select("seen", "total").mapInArrow(widened, SUMS_DDL))  # at most SUMS rows of the vocabulary's size
+    n_docs = sum(n for n, _ in sums)
+    classes = Classes(sum((x for _, x in sums), np.zeros(vocab + 1)), word_ends)
+    texts = made.where("texts IS NOT NULL")
+    model = train(texts.select("texts"), classes, fresh(classes.log_mass), rounds)
+    answers, n_words, v_words = counted(texts.select("block", "n_words", "words", "counts"))
+    n_all, v_all = n_words + n_docs, v_words + (n_docs > 0)
+    whole = np.log10(n_all + SMOOTH * (v_all + 1))
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return empty
+        t = Text.unpacked(left.column("texts")[0].as_py())
+        got = sorted(zip(right.column("part").to_pylist(), right.column("counts")), key=lambda x: x[0]) if right.num_rows else []
+        c = np.frombuffer(b"".join(x.as_py() for _, x in got), dtype=np.int64)
+        stops = np.append(0, np.cumsum(t.n))
+        sums = lambda x: np.diff(np.append(0, np.cumsum(x))[stops])
+        known, each = sums((c > 0)[t.of].astype(np.int64)), np.log10(c + SMOOTH)[t.of]
+        # A document's own sum, not a difference of two large ones.
+        some = np.flatnonzero(t.n)
+        base = np.zeros(len(t.n))
+        if len(some):
+            base[some] = np.add.reduceat(each, stops[:-1][some])
+        base += np.log10(n_docs + SMOOTH) - (t.n + 1) * whole
+        ids, starts = log10_ids(t, classes, model)
         return pa.table({
-            "doc_id": pa.array(t.ids, mask=t.ids == NO_ID), "held_out": pa.array(t.held), "n_tokens": pa.array(t.n), "n_known": pa.array(sums((count[t.of] > 0).astype(np.int64))),
-            "train_tokens": pa.array(np.full(len(t.n), n_all)), "base_score": pa.array(b), "score": pa.array(b + sums(more) / np.log(10)),
+            "doc_id": pa.array(t.ids, mask=t.ids == NO_ID), "held_out": pa.array(t.held), "n_tokens": pa.array(t.n + 1), "n_known": pa.array(known + (n_docs > 0)), "train_tokens": pa.array(np.full(len(t.n), n_all)),
+            "base_score": pa.array(base), "score": pa.array(np.add.reduceat(ids, starts)), "n_ids": pa.array(np.diff(np.append(starts, len(ids)))),
         })
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_ids long"
     empty = empty_table(schema)
-    return asked.where("texts IS NOT NULL").select("block", "texts").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(scored, schema)
+    return texts.select("block", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)

@@ -60,72 +60,126 @@ def test_mix_has_the_targets_with_a_hot_source(spark):
     assert mixing.repeated(many, t).count() == sums.n and mixed.where("copies > 0 AND NOT sampled").count() == 0
 
 
-def test_base_scores(docs, corpus, odd, none):
-    got = {r.doc_id: r for r in lmscore.score(docs, block_bytes=4000).collect()}
+def test_base_scores(docs, corpus, odd, none, monkeypatch):
     held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
     text = {d: [*(t or "").encode().lower().split(), None] for d, t, *_ in corpus}
     c = collections.Counter(w for d, ws in text.items() if not held(d) for w in ws)
     n, v = sum(c.values()), len(c)
-    for d, ws in text.items():
-        r = got[d]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(ws), sum(c[w] > 0 for w in ws), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
-    assert lmscore.score(odd).count() == 5 and lmscore.score(none).count() == 0
+    for values in ({}, {"PART_WORDS": 40, "GROUP_BLOCKS": 3}):  # many parts, and blocks added up in groups
+        monkeypatch.setattr(lmscore.counted, "__defaults__", (values.get("PART_WORDS", lmscore.PART_WORDS), values.get("GROUP_BLOCKS", lmscore.GROUP_BLOCKS)))
+        got = {r.doc_id: r for r in lmscore.score(docs, block_bytes=4000).collect()}
+        assert len(got) == len(text)
+        for d, ws in text.items():
+            r = got[d]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(ws), sum(c[w] > 0 for w in ws), n)
+            assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
+    rows = lmscore.score(odd).collect()
+    assert len(rows) == 5 and all(r.score < 0 for r in rows) and lmscore.score(none).count() == 0
+
+
+def a_model(seed=0, vocab=300):
+    r = np.random.default_rng(seed)
+    counts, ends = r.integers(0, 50, vocab + 1).astype(float), r.random(vocab) < 0.5
+    classes = lmscore.Classes(counts, ends)
+    flat = lmscore.fresh(classes.log_mass) + (r.standard_normal(lmscore.SIZE) * 0.2).astype(np.float32)
+    return classes, flat, counts
+
+
+def test_classes_hold_all_ids():
+    classes, _, counts = a_model()
+    assert np.allclose(np.bincount(classes.of, np.exp(classes.share), lmscore.CLASSES)[np.unique(classes.of)], 1)
+    assert (classes.of == 0).sum() == 1 and classes.of[-1] == 0 and np.isclose(np.exp(classes.log_mass).sum(), 1)
+    empty = lmscore.Classes(np.zeros(301), np.zeros(300, dtype=bool))  # no training texts
+    assert np.isfinite(empty.share).all() and np.isfinite(empty.log_mass).all()
+
+
+def plain_log10(classes, flat, ids):
+    """Each id's log10 probability by the definition, one place of one window at a time; and the probabilities of all ids at the last."""
+    m = {k: v.astype(float) for k, v in lmscore.parts(flat).items()}
+    x = [m["embed"][lmscore.START if k == 0 else classes.of[ids[k - 1]]] for k in range(len(ids))]
+    step, out = lmscore.LENGTH - lmscore.OVERLAP, []
+    for k in range(len(ids)):
+        w = 0 if k < lmscore.LENGTH else -(-(k + 1 - lmscore.LENGTH) // step)
+        e = np.array([math.exp(m["q"].T @ x[k] @ (m["k"].T @ x[j]) / math.sqrt(lmscore.WIDTH) + m["near"][k - j]) for j in range(w * step, k + 1)])
+        h = x[k] + sum(a * (m["v"].T @ x[j]) for a, j in zip(e / e.sum(), range(w * step, k + 1)))
+        z = np.exp(h @ m["out"] + m["bias"])
+        every = (z / z.sum())[classes.of] * np.exp(classes.share)
+        out.append(math.log10(every[ids[k]]))
+    return out, every
+
+
+def test_scores_against_a_plain_loop():
+    classes, flat, _ = a_model(1)
+    r = np.random.default_rng(5)
+    t = lmscore.Text.__new__(lmscore.Text)
+    t.n_sub, t.sub = r.integers(0, 4, 40), None
+    t.sub = r.integers(0, 300, int(t.n_sub.sum())).astype(np.uint32)
+    t.n = np.array([0, 5, 1, 90, 0, 33])
+    t.of = r.integers(0, 40, int(t.n.sum()))
+    got, starts = lmscore.log10_ids(t, classes, flat)
+    word = [t.sub[e - n : e].tolist() for n, e in zip(t.n_sub, np.cumsum(t.n_sub))]
+    at = 0
+    for n, s, e in zip(t.n, starts, np.append(starts[1:], len(got))):
+        ids = [i for k in t.of[at : at + n] for i in word[k]] + [300]
+        want, every = plain_log10(classes, flat, ids)
+        assert np.allclose(got[s:e], want, atol=1e-4) and np.isclose(every.sum(), 1)
+        at += n
 
 
 def test_gradients():
-    m, r = lmscore.fresh(np.zeros(lmscore.CLASSES)), np.random.default_rng(1)
-    m = {k: (v + r.standard_normal(v.shape) * 0.1).astype(np.float32) for k, v in m.items()}
-    before, bucket, real = r.integers(0, 256, (3, 64, 2)), r.integers(0, 256, (3, 64)), r.random((3, 64)) < 0.8
-    g, _ = lmscore.gradients(m, before, bucket, real)
-    for k in ("first", "last", "place", "v", "o", "out", "bias"):
+    flat, r = lmscore.fresh(np.zeros(lmscore.CLASSES)), np.random.default_rng(1)
+    flat += (r.standard_normal(flat.shape) * 0.1).astype(np.float32)
+    before, target, real = r.integers(0, 65, (3, 32)), r.integers(0, 64, (3, 32)), r.random((3, 32)) < 0.8
+    g = lmscore.parts(lmscore.gradients(lmscore.parts(flat), before, target, real)[0])
+    m = lmscore.parts(flat)
+    for k in m:
         i = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
         loss = []
         for step in (1e-2, -2e-2):
             m[k][i] += step
-            loss.append(lmscore.gradients(m, before, bucket, real)[1])
+            loss.append(lmscore.gradients(m, before, target, real)[1])
         m[k][i] += 1e-2
-        assert math.isclose(g[k][i], (loss[0] - loss[1]) / 2e-2, rel_tol=0.05)
+        assert math.isclose(g[k][i], (loss[0] - loss[1]) / 2e-2, rel_tol=0.05), k
 
 
 def test_attention_is_causal_and_windows_cover_once():
-    m, r = lmscore.fresh(np.zeros(256), 3), np.random.default_rng(2)
-    a = r.integers(0, 256, (1, 64, 2))
+    _, flat, _ = a_model(3)
+    m, r = lmscore.parts(flat), np.random.default_rng(2)
+    a = r.integers(0, 65, (1, 32))
     b = a.copy()
-    b[0, 40:] = r.integers(0, 256, (24, 2))
-    assert np.array_equal(lmscore.forward(m, a)[0][0, :40], lmscore.forward(m, b)[0][0, :40])
-    t = lmscore.Text([1, 2, 3], [b"w " * 500, b"", b"x " * 63], tokens.vocabulary_path())
-    doc, first, start = t.windows(np.arange(3))
-    at = t.filled(doc, first)[2]
-    assert sorted(at[at >= start[:, None]].tolist()) == list(range(int(t.n.sum())))
+    b[0, 20:] = r.integers(0, 65, 12)
+    x, y = (lmscore.attend(m, lmscore.tables(m), v)[0][0] for v in (a, b))
+    assert np.allclose(x[:20], y[:20], atol=1e-6) and not np.allclose(x[20:], y[20:])
+    t = lmscore.Text([1, 2, 3], [b"w " * 500, b"", b"x, " * 63], tokens.vocabulary_path())
+    ids, starts, n = t.run(49408)
+    for overlap in (0, lmscore.OVERLAP):
+        doc, first, begin = lmscore.windows(starts, n, np.arange(3), overlap)
+        at = first[:, None] + np.arange(lmscore.LENGTH)
+        assert sorted(at[(at >= begin[:, None]) & (at < (starts + n)[doc][:, None])].tolist()) == list(range(len(ids)))
     u = lmscore.Text.unpacked(t.packed())
-    assert (u.two == t.two).all() and (u.of == t.of).all() and (u.n == t.n).all()
-
-
-def test_model_learns_what_comes_next(spark):
-    """Texts of two vocabularies: what came before tells which words may follow."""
-    r = np.random.default_rng(0)
-    side = [[f"{c}{k}" for k in range(40)] for c in "ab"]
-    rows = [(k, " ".join(r.choice(side[k % 2], 200)), "en", "s", 0) for k in range(600)]
-    got = lmscore.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), share=1, rounds=3).where("held_out").collect()
-    assert np.mean([(x.score - x.base_score) / x.n_tokens for x in got]) > 0.15  # log10(2) is 0.30
+    assert all((p == q).all() for p, q in zip(u.run(49408), (ids, starts, n))) and (u.of == t.of).all() and (u.n == t.n).all()
+    tok = tokens.vocabulary(tokens.vocabulary_path()).tokenizer
+    assert ids.tolist() == [*tok.encode("w " * 500, add_special_tokens=False).ids, 49408, 49408, *tok.encode("x, " * 63, add_special_tokens=False).ids, 49408]
 
 
-def test_production_values_train_on_every_word(spark, monkeypatch):
+def test_training_takes_every_id_once(monkeypatch):
     t = lmscore.Text([1, 2, 3, 21], [b"w " * 500, b"", b"x " * 63, b"y " * 90], tokens.vocabulary_path())
     assert not t.held.all()
     learnt = []
-    monkeypatch.setattr(lmscore, "gradients", lambda m, before, bucket, real: (learnt.append(int(real.sum())), ({}, 0.0))[1])
-    m = lmscore.fresh(np.zeros(lmscore.CLASSES))
-    n = lmscore.learn(t, m, lmscore.Adam(m, 0.1), lmscore.SHARE, 0)
-    assert n == len(t.windows(np.flatnonzero(~t.held))[0]) and sum(learnt) == t.n[~t.held].sum()
-    monkeypatch.undo()
-    # As test_model_learns_what_comes_next, with what the query uses.
+    monkeypatch.setattr(lmscore, "gradients", lambda m, before, target, real: (learnt.append(int(real.sum())), (np.zeros(lmscore.SIZE, dtype=np.float32), 0.0))[1])
+    vocab = len(tokens.vocabulary(tokens.vocabulary_path()).ends)
+    classes = lmscore.Classes(np.ones(vocab + 1), np.zeros(vocab, dtype=bool))
+    n = lmscore.learn(t, classes, lmscore.fresh(classes.log_mass), lmscore.Adam(0.1), 0)
+    assert n == sum(learnt) == t.run(vocab)[2][~t.held].sum()
+
+
+def test_model_learns_what_comes_next(spark):
+    """Texts of two vocabularies: what came before tells which words may follow, which the shares of ids alone do not."""
     r = np.random.default_rng(0)
-    side = [[f"{c}{k}" for k in range(40)] for c in "ab"]
+    side = [["red", "green", "blue", "black", "white", "brown", "grey", "pink"], ["one", "two", "three", "four", "five", "six", "seven", "eight"]]
     rows = [(k, " ".join(r.choice(side[k % 2], 200))) for k in range(1600)]
     got = lmscore.score(spark.createDataFrame(rows, "doc_id long, text string")).where("held_out").collect()
-    assert np.mean([(x.score - x.base_score) / x.n_tokens for x in got]) > 0.15
+    assert np.mean([(x.score - x.base_score) / x.n_tokens for x in got]) > 0.2  # log10(2) is 0.30
 
 
 def test_shards(docs, corpus, odd, none):
