@@ -24,6 +24,8 @@ from granary.llm.common import text_bytes, written
 #: Stands for a null doc_id: such documents come after all others.
 NO_ID = (1 << 63) - 1
 BLOCK_BYTES = 4_000_000
+#: Blocks in a task that meets them with their answers, on average.
+BLOCKS_A_TASK = 6
 #: Bytes that are compared or hashed at once, which bounds the arrays that this takes.
 SEGMENT = 1 << 20
 ODD, BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -204,7 +206,10 @@ def each_with(blocks: DataFrame, answers: DataFrame, make, schema: str) -> DataF
         parts = [make(k, *unpack(blob.as_py()), right) for k, blob in zip(left.column("block").to_pylist(), left.column("blob"))]
         return pa.concat_tables(parts) if parts else empty
 
-    return blocks.select("block", "blob").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+    # A task's blocks are as many on any input.
+    n = max(1, -(-blocks.count() // BLOCKS_A_TASK))
+    left, right = (df.repartition(n, "block").groupBy("block") for df in (blocks.select("block", "blob"), answers))
+    return left.cogroup(right).applyInArrow(run, schema)
 
 
 def column(table: pa.Table, name: str, kind=np.int64) -> np.ndarray:

@@ -47,10 +47,12 @@ SELECT a AS doc_id, coalesce(max(n.n), 0)::BIGINT AS n_shingles, min(b) AS compo
 SUBSTRING = f"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
 windows AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + {substring.SPAN - 1}], ' ')) AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - {substring.SPAN - 2})) AS i FROM w)),
-later AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY x) AS first FROM windows) WHERE first < doc_id),
+firsts AS (SELECT x, min(doc_id) AS first, arg_min(i, (doc_id, i)) AS spot FROM windows GROUP BY 1),
+later AS (SELECT doc_id, i, first, spot FROM windows JOIN firsts USING (x) WHERE first < doc_id),
 gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(0, {substring.SPAN}) g(k)),
 lists AS (SELECT doc_id, list(i) AS g FROM gone GROUP BY 1),
-runs AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM later) WHERE p IS NULL OR i != p + 1 GROUP BY 1),
+copies AS (SELECT doc_id FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY w) AS first FROM w WHERE len(w) >= {substring.SPAN}) WHERE first < doc_id),
+runs AS (SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM copies) THEN 1 ELSE count(*) END AS n FROM (SELECT *, lag(i) OVER v AS p, lag(first) OVER v AS f, lag(spot) OVER v AS q FROM later WINDOW v AS (PARTITION BY doc_id ORDER BY i)) WHERE p IS NULL OR i != p + 1 OR first != f OR spot != q + 1 GROUP BY 1),
 kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(g), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(n, 0)::BIGINT AS n_factors
 FROM w LEFT JOIN lists USING (doc_id) LEFT JOIN runs USING (doc_id) LEFT JOIN kept USING (doc_id)

@@ -1,14 +1,16 @@
 """Removal of passages that stand in an earlier document, by relative Lempel-Ziv parsing.
 
-Documents lie in reference blocks. A document is factored against the blocks: a factor begins where the SPAN words from
-there stand in a document with a smaller id, and grows word by word while that holds for the SPAN words that end with the next
-one, whatever document they are from, so that the words around the boundary between two documents' factors are looked up
-like any others. Only factors of SPAN words or more exist; their words are removed.
-
-Each block's index answers for its own documents. Between blocks, anchors tell which windows are worth asking
-about: the least hash of the K-word sequences in a window is the same wherever the window stands, so a window in two
-blocks has an anchor in two blocks. Windows with such an anchor are looked up exactly, by hash, across all blocks. A document
-that equals an earlier one word for word is one factor, and is looked up as a whole.
+The reference is the corpus itself: every run of SPAN words is indexed at its first place, in the document with the smallest
+id. A document is factored against it: a factor begins at the next word from which SPAN words stand in an earlier document,
+and is the longest match from there, that is, it grows as long as the SPAN words that end with the next one are indexed at the
+next place of the same document. As every run has one place in the index, there is one such match. Where a factor ends, the SPAN
+words that begin in it and reach beyond its boundary are looked up like any others, so that the next factor may overlap it. Only
+factors of SPAN words or more exist; their words are removed.
+
+The index is kept by blocks of documents, each for its own. Between blocks, anchors tell which runs are worth asking
+about: the least hash of the K-word sequences in a run is the same wherever the run stands, so a run in two blocks has an
+anchor in two blocks. Runs with such an anchor are looked up exactly, by hash, across all blocks. A document that equals an earlier
+one word for word is one factor, and is looked up as a whole.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ class Parsed:
 
     def __init__(self, ids: list[int], texts: list[bytes], span: int, anchors: bool = True):
         words = Words(texts)
-        self.n = words.n
+        self.n, self.span = words.n, span
         self.starts = np.cumsum(self.n) - self.n
         h = words.hash
         k = min(K, span)
@@ -47,6 +49,7 @@ class Parsed:
         self.window = window_hashes(h, span)[self.at]
         self.doc = np.repeat(np.arange(len(ids)), self.n)[self.at]
         self.id = self.ids[self.doc]
+        self.place = self.at - self.starts[self.doc]
         if anchors:
             g = window_hashes(h, k)
             self.anchor = _least(g, span - k + 1)[self.at] if len(self.at) else g[:0]
@@ -61,13 +64,13 @@ def _least(g: np.ndarray, n: int) -> np.ndarray:
     return np.minimum(m[: len(m) - (n - width)], m[n - width :]) if n > width else m
 
 
-def _first(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and the smallest id of each."""
-    by = np.lexsort((ids, keys))
-    keys, ids = keys[by], ids[by]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = keys[1:] != keys[:-1]
-    return keys[new], ids[new]
+def _first(keys: np.ndarray, ids: np.ndarray, places: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct keys, the smallest id of each, and the first of that one's places."""
+    by = np.lexsort((ids, keys) if places is None else (places, ids, keys))
+    new = np.ones(len(by), dtype=bool)
+    new[1:] = keys[by[1:]] != keys[by[:-1]]
+    by = by[new]
+    return (keys[by], ids[by]) if places is None else (keys[by], ids[by], places[by])
 
 
 def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -79,35 +82,35 @@ def _in(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[k] == x
 
 
-def factors(doc: np.ndarray, at: np.ndarray, found: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors of each document: document, first word and length. at: the windows' first words, ascending;
-    found: which stand in an earlier document."""
-    f = np.flatnonzero(found)
+def factors(p: Parsed, source: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Greedy longest factors: document, first word and length, source's id and first word there. source and place: the
+    first place of each window of p; windows of which that is no earlier document begin no factor and are in none but by others'
+    words."""
+    f = np.flatnonzero(source < p.id)
     if not len(f):
-        return f, f, f
+        return f, f, f, f, f
+    a, b = f[1:], f[:-1]
     begins = np.ones(len(f), dtype=bool)
-    begins[1:] = (at[f[1:]] != at[f[:-1]] + 1) | (doc[f[1:]] != doc[f[:-1]])
+    begins[1:] = (p.at[a] != p.at[b] + 1) | (p.doc[a] != p.doc[b]) | (source[a] != source[b]) | (place[a] != place[b] + 1)
     b = np.flatnonzero(begins)
     e = np.append(b[1:], len(f)) - 1
-    return doc[f[b]], at[f[b]], at[f[e]] - at[f[b]] + span
+    return p.doc[f[b]], p.at[f[b]], p.at[f[e]] - p.at[f[b]] + p.span, source[f[b]], place[f[b]]
 
 
-def _copies(p: Parsed, keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """Which documents equal one with a smaller id, by the answers about whole documents."""
-    out = np.zeros(len(p.ids), dtype=bool)
+def _owners(p: Parsed, keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+    """The smallest id of a document with the same words as each, by the answers about whole documents and p's own."""
+    real = p.whole != 0
+    keys, owners = _first(np.concatenate([keys, p.whole[real]]), np.concatenate([owners, p.ids[real]]))
+    out = p.ids.copy()
     if len(keys):
-        by = np.argsort(keys)
-        keys, owners = keys[by], owners[by]
-        k = np.searchsorted(keys, p.whole)
-        k[k == len(keys)] = 0
-        out = (keys[k] == p.whole) & (p.n > 0) & (p.whole != 0) & (owners[k] < p.ids)
+        out[real] = owners[np.searchsorted(keys, p.whole[real])]
     return out
 
 
 def earlier(blocks: DataFrame, span: int = SPAN) -> DataFrame:
-    """Answers for each block: (block, window, null) for the windows of the block that stand in another block's document with
-    a smaller id than any document that has them in this one, and (block, hash, owner) for its whole documents that are in
-    other blocks too, owner being the smallest id."""
+    """Answers for each block: (block, key, whole, owner, place) for the windows of the block that stand in another block's
+    document with a smaller id than any document that has them in this one, and for its whole documents that are in other blocks
+    too; owner is the smallest id, place the first there."""
 
     def anchors(k, ids, texts):
         p = Parsed(ids, texts, span)
@@ -128,15 +131,17 @@ def earlier(blocks: DataFrame, span: int = SPAN) -> DataFrame:
         p = Parsed(ids, texts, span)
         key = column(answers, "key").view(np.uint64)
         anchor = np.asarray(answers.column("owner").is_null()) if answers.num_rows else np.zeros(0, dtype=bool)
-        copy = _copies(p, key[~anchor], _longs(answers, "owner"))
+        copy = _owners(p, key[~anchor], _longs(answers, "owner")) < p.ids
         hot = _in(p.anchor, np.sort(key[anchor])) & ~copy[p.doc]
-        w, d = _first(p.window[hot], p.id[hot])
-        return pa.table({"block": pa.array(np.full(len(w), k), pa.int64()), "window": pa.array(w.view(np.int64)), "first": pa.array(d)})
-
-    w = written(each_with(blocks, asked, windows, "block long, window long, first long"), "windows")
-    owner = w.groupBy("window").agg(F.min("first").alias("owner"), F.max("first").alias("last")).where("owner < last").select("window", "owner")
-    found = w.join(owner, "window").where("owner < first").select("block", "window", F.lit(None).cast("long").alias("owner"))
-    out = written(found.union(asked.where("owner IS NOT NULL").select("block", F.col("key").alias("window"), "owner")), "earlier")
+        w, d, at = _first(p.window[hot], p.id[hot], p.place[hot])
+        return pa.table({"block": pa.array(np.full(len(w), k), pa.int64()), "window": pa.array(w.view(np.int64)), "first": pa.array(d), "place": pa.array(at.astype(np.int32))})
+
+    w = written(each_with(blocks, asked, windows, "block long, window long, first long, place int"), "windows")
+    spot = F.struct("first", "place")
+    owner = w.groupBy("window").agg(F.min(spot).alias("owner"), F.max("first").alias("last")).where("owner.first < last").select("window", "owner")
+    found = w.join(owner, "window").where("owner.first < first").select("block", F.col("window").alias("key"), F.lit(False).alias("whole"), F.col("owner.first").alias("owner"), F.col("owner.place").alias("place"))
+    copies = asked.where("owner IS NOT NULL").select("block", "key", F.lit(True), "owner", F.lit(0))
+    out = written(found.union(copies), "earlier")
     forget(w, asked)
     return out
 
@@ -148,25 +153,26 @@ def _longs(answers: pa.Table, name: str) -> np.ndarray:
 
 def _parse(ids, texts, answers, span):
     p = Parsed(ids, texts, span, anchors=False)
-    w, d = _first(p.window, p.id)
-    found = d[np.searchsorted(w, p.window)] < p.id if len(w) else np.zeros(0, dtype=bool)
-    null = np.asarray(answers.column("owner").is_null()) if answers.num_rows else np.zeros(0, dtype=bool)
-    key = column(answers, "window").view(np.uint64)
-    found |= _in(p.window, np.sort(key[null]))
-    found |= _copies(p, key[~null], _longs(answers, "owner"))[p.doc]
-    return p, *factors(p.doc, p.at, found, span)
+    whole = np.asarray(answers.column("whole"), dtype=bool) if answers.num_rows else np.zeros(0, dtype=bool)
+    key, owner, place = column(answers, "key").view(np.uint64), column(answers, "owner"), column(answers, "place")
+    w, d, at = _first(np.concatenate([p.window, key[~whole]]), np.concatenate([p.id, owner[~whole]]), np.concatenate([p.place, place[~whole]]))
+    k = np.searchsorted(w, p.window)
+    source, at = d[k], at[k]
+    first = _owners(p, key[whole], owner[whole])
+    copy = (first < p.ids)[p.doc]
+    return p, *factors(p, np.where(copy, first[p.doc], source), np.where(copy, p.place, at))
 
 
 def removed_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
-    """The factors: doc_id, first_word and n_words (word places from 0 in the document)."""
+    """The factors: doc_id, first_word and n_words (word places from 0 in the document), source_id and source_word."""
     blocks = pack(docs)
 
     def make(k, ids, texts, answers):
-        p, doc, at, n = _parse(ids, texts, answers, span)
-        every = np.array(ids, dtype=np.int64)
-        return pa.table({"doc_id": pa.array(every[doc], mask=every[doc] == NO_ID), "first_word": pa.array(at - p.starts[doc]), "n_words": pa.array(n)})
+        p, doc, at, n, source, place = _parse(ids, texts, answers, span)
+        every = p.ids[doc]
+        return pa.table({"doc_id": pa.array(every, mask=every == NO_ID), "first_word": pa.array(at - p.starts[doc]), "n_words": pa.array(n), "source_id": pa.array(source), "source_word": pa.array(place)})
 
-    return each_with(blocks, earlier(blocks, span), make, "doc_id long, first_word long, n_words long")
+    return each_with(blocks, earlier(blocks, span), make, "doc_id long, first_word long, n_words long, source_id long, source_word long")
 
 
 def deduplicated(docs: DataFrame, span: int = SPAN) -> DataFrame:
@@ -189,7 +195,7 @@ def _deduplicated(docs: DataFrame, span: int, show, column_ddl: str) -> DataFram
     name, kind = column_ddl.split()
 
     def make(k, ids, texts, answers):
-        p, doc, at, n = _parse(ids, texts, answers, span)
+        p, doc, at, n, _, _ = _parse(ids, texts, answers, span)
         cover = np.zeros(int(p.n.sum()) + 1, dtype=np.int64)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + n, -1)

@@ -118,11 +118,33 @@ def test_removed(docs, corpus, monkeypatch):
     for size in (4_000_000, 3000):
         monkeypatch.setattr(substring.pack, "__defaults__", (size,))
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.digested(docs).collect()} == want
-    spans = collections.Counter()
-    for r in substring.removed_spans(docs).collect():
-        assert r.n_words >= 50
-        spans[r.doc_id] += r.n_words
-    assert all(spans[d] >= n for d, (_, n, _) in want.items())
+
+
+def test_factors_rebuild_the_texts(docs, corpus, monkeypatch):
+    """Every factor is what its source holds there, is as long as it can be, and the factors cover what is removed."""
+    words = {r[0]: (r[1] or "").encode().split() for r in corpus}
+    first = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - 49):
+            first.setdefault(tuple(words[d][i : i + 50]), (d, i))
+    want = brute_removed([(r[0], r[1]) for r in corpus])
+    copies = {d for d in words if len(words[d]) >= 50 and any(words[e] == words[d] for e in words if e < d)}
+    found = []
+    for size in (4_000_000, 3000):
+        monkeypatch.setattr(substring.pack, "__defaults__", (size,))
+        rows = sorted(map(tuple, substring.removed_spans(docs).collect()))
+        found.append(rows)
+        cover = collections.defaultdict(set)
+        for d, at, n, source, there in rows:
+            assert n >= 50 and source < d and words[d][at : at + n] == words[source][there : there + n]
+            cover[d].update(range(at, at + n))
+            if d not in copies:
+                assert first[tuple(words[d][at : at + 50])] == (source, there)
+                assert first.get(tuple(words[d][at + n - 49 : at + n + 1])) != (source, there + n - 49)
+            else:
+                assert n == len(words[d])
+        assert {d: len(c) for d, c in cover.items()} == {d: n for d, (_, n, _) in want.items() if n}
+    assert found[0] == found[1]
 
 
 def test_kept_text(docs, corpus):
