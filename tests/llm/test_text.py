@@ -98,24 +98,55 @@ def least_edits(a, t):
 
 
 def test_decontamination_against_alignment():
+    """Counted in bands, with rare q-grams only, searched by bits, and in pieces: all as by plain alignment."""
     rnd = random.Random(2)
-    text = lambda n: b" ".join(bytes(rnd.choice(b"abcd efgh") for _ in range(n)).split())
-    for _ in range(200):
-        item = text(rnd.choice([5, 14, 20, 40, 80, 200])) or b"a"
-        index = decontam.Index.of([(7, item)])
+    text = lambda n, of=b"abcd efgh": b" ".join(bytes(rnd.choice(of) for _ in range(n)).split())
+    some = collections.Counter()
+    for k in range(300):
+        of = rnd.choice([b"abcd efgh", b"aab ", b"a"])
+        item = text(rnd.choice([5, 14, 20, 40, 80, 200]), of) or b"a"
+        index = decontam.Index.of([(7, item), (8, item), (9, item[:7] + b"zz")], postings=rnd.choice([0, 1, 16]))
         edits = int(index.edits[0])
         b = bytearray(item)
         for _ in range(rnd.randrange(edits + 3)):
             b[rnd.randrange(len(b))] = rnd.choice(b"abcd")
-        t = b" ".join((text(rnd.randrange(200)) + b" " + bytes(b) + b" " + text(rnd.randrange(200))).split())
+        t = b" ".join((text(rnd.randrange(200), of) + b" " + bytes(b) + b" " + text(rnd.randrange(200), of)).split())
         want = least_edits(item, t) <= edits if len(item) >= decontam.Q else b" " + item + b" " in b" " + t + b" "
-        assert decontam.find([b"other", t, b""], index)[1] == ([0] if want else [])
+        got = decontam.find([b"other", t, b"", t], index)
+        assert (0 in got[1], 0 in got[3]) == (want, want) and index.ids[0] == [7, 8]
+        some[want, 0 in index.dense] += 1
+    assert all(some[w, d] > 10 for w in (True, False) for d in (True, False))
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    monkeypatch.setattr(decontam, "PIECE", 300)
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6)).encode()
+    item = b" ".join(word() for _ in range(12))
+    for at in range(0, 700, 7):
+        words = [word() for _ in range(700)]
+        t = b" ".join(words[:at]) + b" " + item + b" " + b" ".join(words[at:])
+        assert decontam.find([t.strip()], decontam.Index.of([(1, item)])) == [[0]] and decontam.find([b" ".join(words)], decontam.Index.of([(1, item)])) == [[]]
+
+
+def test_texts_of_one_letter_take_little():
+    import resource
+    import time
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    tail = bytes(97 + k * 7 % 25 for k in range(140))
+    for item in (b"a" * 200, b"a" * 60 + tail, b"a" * 24 + tail):
+        index = decontam.Index.of([(1, item), (2, b"ab")])
+        start = time.process_time()
+        got = decontam.find([b"a" * 1_000_000], index)
+        assert got == [[0] if item == b"a" * 200 else []]
+        assert time.process_time() - start < 20 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
 
 
 def test_decontamination_tables(spark, docs, odd, none):
     item = " ".join(f"W{k}," for k in range(120))
     bench = spark.createDataFrame([(9, item), (4, item), (3, None), (2, ""), (8, "not in any of them at all")], "item_id long, text string")
-    for size in (16_000_000, 1):  # one pass, and a pass an item
+    for size in (16_000_000, 1):  # one pass, and a pass for each item
         got = [(r.doc_id, r.contaminated, r.item_ids) for r in decontam.leaks(odd, bench, pass_bytes=size).collect()]
         assert collections.Counter(map(str, got)) == collections.Counter(map(str, [(None, True, [4, 9]), (None, False, []), (5, True, [4, 9]), (5, True, [4, 9]), (2, False, [])]))
     kept = decontam.clean(odd, bench)
