@@ -11,6 +11,8 @@ with it, but not the targets.
 from __future__ import annotations
 
 import functools
+import uuid
+import warnings
 from collections.abc import Mapping
 
 import numpy as np
@@ -51,22 +53,33 @@ def topic_of(text: Column, words: Column) -> Column:
     )
 
 
-def attributes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, lang, topic and n_tokens (words) of every document."""
-    d = docs.select("doc_id", "source", "lang", F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t")))
+def targets_of(table: DataFrame) -> dict[str, dict[str, float]]:
+    """Targets from a table: marginal, category, target."""
+    out: dict[str, dict[str, float]] = {}
+    for m, k, x in table.select("marginal", "category", F.col("target").cast("double")).collect():  # as many rows as there are targets
+        out.setdefault(m, {})[k] = x
+    return out
+
+
+def attributes(docs: DataFrame, topic: str | None = None) -> DataFrame:
+    """doc_id, source, lang, topic and n_tokens (words) of every document. topic names a column with topics, by a classifier or
+    from the source; without it a document's topic is its form."""
+    given = F.lit(None).cast("string") if topic is None else F.col(topic)
+    d = docs.select("doc_id", "source", "lang", given.alias("given"), F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t")))
     n = F.when(F.get("w", F.lit(0)) == "", 0).otherwise(F.size("w"))
-    return d.select("doc_id", "source", "lang", topic_of(F.col("t"), F.col("w")).alias("topic"), n.cast("long").alias("n_tokens"), row_key("t").alias("row_key"))
+    topic_ = topic_of(F.col("t"), F.col("w")) if topic is None else F.col("given")
+    return d.select("doc_id", "source", "lang", topic_.alias("topic"), n.cast("long").alias("n_tokens"), row_key("t", "given").alias("row_key"))
 
 
-def row_key(text: str) -> Column:
+def row_key(text: str, topic: str | None = None) -> Column:
     """With doc_id it names a row by what decides its cell, also where ids are null or repeated."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), "source", "lang")
+    return F.xxhash64(*(F.coalesce(c, F.lit("")) for c in (text, "source", "lang")), *([] if topic is None else [F.coalesce(topic, F.lit(""))]))
 
 
 def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray], tolerance: float = 1e-10, rounds: int = 1000) -> np.ndarray:
     """Cell weights, sum 1, that begin as the cells' shares of tokens and are scaled to one marginal after another until
     all hold. groups: of each marginal, the category of every cell; targets: shares of the categories; those of categories
-    without tokens are spread over the others in proportion."""
+    without tokens are spread over the others in proportion. Warns if the corpus lacks cells that the targets need together."""
     total = tokens.sum()
     if not total:
         return np.zeros(len(tokens))
@@ -83,6 +96,9 @@ def rake(tokens: np.ndarray, groups: list[np.ndarray], targets: list[np.ndarray]
             w = w * np.divide(t, have, out=np.zeros(len(t)), where=have > 0)[g]
         if off < tolerance:
             break
+    else:
+        if off > 1e-4:
+            warnings.warn(f"marginals are up to {off:.2g} from their targets after {rounds} rounds", stacklevel=2)
     return w / w.sum() if w.sum() else w
 
 
@@ -112,9 +128,9 @@ def _category(col: str, targets: Mapping[str, float]) -> Column:
     return F.when(F.col(col).isin(named), F.col(col)).otherwise(OTHER)
 
 
-def unit(doc_id: Column, seed: int) -> Column:
-    """A number from 0 to 1 by the id alone: 52 bits of the MD5 of seed and digits. Null ids count as empty."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def unit(doc_id: Column, key: Column, seed: int) -> Column:
+    """A number from 0 to 1 by the id alone, by the row's key where it is null: 52 bits of the MD5 of seed and digits."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.concat(F.lit("key:"), key.cast("string")))).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
@@ -147,38 +163,48 @@ def marginals(rows: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARG
     return out.join(named, ["marginal", "category"], "full").select("marginal", "category", "target", share(F.col("a")).alias("corpus"), share(F.col("b")).alias("mix"))
 
 
-def _decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
-    attrs = written(attributes(docs), "attributes")
+def _decided(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED, topic: str | None = None) -> DataFrame:
+    attrs = written(attributes(docs, topic), "attributes")
     keyed = attrs.withColumns({f"{m}_cell": _category(m, t) for m, t in targets.items()})
     cells = calibrated(attrs, targets, budget).select(*[f"{m}_cell" for m in targets], "weight", "prob", "expected")
     out = keyed.join(F.broadcast(cells), [f"{m}_cell" for m in targets], "left")  # bounded by the tables of targets
-    whole = F.floor("expected")
-    out = out.withColumn("copies", whole + (unit(F.col("doc_id"), seed) < F.col("expected") - whole).cast("long"))
-    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "row_key", (unit(F.col("doc_id"), seed) < F.col("prob")).alias("sampled"), "copies")
+    whole, u = F.floor("expected"), unit(F.col("doc_id"), F.col("row_key"), seed)
+    out = out.withColumn("copies", whole + (u < F.col("expected") - whole).cast("long"))
+    return out.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "prob", "row_key", (u < F.col("prob")).alias("sampled"), "copies")
 
 
-def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED, topic: str | None = None) -> DataFrame:
     """Every document with its attributes, its cell's weight (share of the mix), prob, whether it is sampled and its copies
     in the mix. sampled takes no document twice and misses targets that the corpus can't fill; copies meet them.
 
-    Null and unnamed sources, languages and topics count as OTHER; null and empty texts have no tokens; a cell without
-    tokens keeps its documents; repeated rows share their fate; an empty table gives an empty result; columns beside
-    doc_id, text, source and lang are not read.
+    Null and unnamed sources, languages and topics count as OTHER; null and empty texts have no tokens, and a very long one counts with
+    all its words; a cell without tokens keeps its documents; a document whose number equals its probability is left out;
+    repeated rows share their fate, as do rows without an id whose texts, sources and languages are equal; an empty table gives an
+    empty result; columns beside doc_id, text, source, lang and topic, if one is named, are not read.
     """
-    return _decided(docs, targets, budget, seed).drop("row_key")
+    return _decided(docs, targets, budget, seed, topic).drop("row_key")
+
+
+def _keys(decided: DataFrame, docs: DataFrame, topic: str | None, *more: Column) -> tuple[DataFrame, Column]:
+    """The keys of decided rows under names that no column of docs has, and the condition that joins docs with them."""
+    name, key = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "key"))
+    out = written(decided.select(F.col("doc_id").alias(name), F.col("row_key").alias(key), *more).distinct(), "keys")
+    # The topic's place in the key is taken even where none is named.
+    own = F.xxhash64(*(F.coalesce(docs[c], F.lit("")) for c in ("text", "source", "lang")), F.lit("") if topic is None else F.coalesce(docs[topic], F.lit("")))
+    return out, docs["doc_id"].eqNullSafe(out[name]) & (own == out[key])
 
 
-def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED, at_once: int = 2_000_000) -> DataFrame:
+def sample(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED, at_once: int = 2_000_000, topic: str | None = None) -> DataFrame:
     """The sampled documents with all their columns. The keys of those left out go to the documents if they are at_once or
     fewer, otherwise both sides are shuffled by key."""
-    out = written(_decided(docs, targets, budget, seed).where("NOT sampled").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("row_key").alias("_key")).distinct(), "left-out")
-    return docs.join(bounded(out, at_once), (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (row_key("text") == F.col("_key")), "left_anti")
+    out, same = _keys(_decided(docs, targets, budget, seed, topic).where("NOT sampled"), docs, topic)
+    return docs.join(bounded(out, at_once), same, "left_anti")
 
 
-def repeated(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED, at_once: int = 2_000_000) -> DataFrame:
+def repeated(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] = TARGETS, budget: float = BUDGET, seed: int = SEED, at_once: int = 2_000_000, topic: str | None = None) -> DataFrame:
     """The mix with the target marginals: documents with all their columns, each as often as it has copies. The keys of those
     whose copies are not 1 go to the documents if they are at_once or fewer, otherwise both sides are shuffled by key."""
-    other = _decided(docs, targets, budget, seed).where("copies != 1").select(F.col("doc_id").alias("_id"), F.col("row_key").alias("_key"), F.col("copies").cast("int").alias("_copies"))
-    other = written(other.distinct(), "copies")
-    out = docs.join(bounded(other, at_once), docs["doc_id"].eqNullSafe(F.col("_id")) & (row_key("text") == F.col("_key")), "left")
-    return out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.coalesce("_copies", F.lit(1))))).select(*[docs[c] for c in docs.columns])
+    n, copy = (f"{x}_{uuid.uuid4().hex}" for x in ("copies", "copy"))
+    other, same = _keys(_decided(docs, targets, budget, seed, topic).where("copies != 1"), docs, topic, F.col("copies").cast("int").alias(n))
+    out = docs.join(bounded(other, at_once), same, "left")
+    return out.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.coalesce(n, F.lit(1))))).select(*[docs[c] for c in docs.columns])

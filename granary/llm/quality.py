@@ -7,6 +7,8 @@ document is joined with the thresholds of its own group.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +44,8 @@ def _windows(words: Column, n: Column) -> Column:
 
 
 def text_key() -> Column:
-    """With doc_id it names a row, also where ids are null or repeated."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+    """With doc_id it names a row by all that decides its verdict, also where ids are null or repeated."""
+    return F.xxhash64(*(F.coalesce(c, F.lit("")) for c in ("text", "lang", "source")))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -113,8 +115,9 @@ def judge(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """Every document's statistics, base_failed and kept.
 
     A document stays if it passes the fixed part and none of its statistics is above its group's fence. Null texts
-    are empty and fail; null languages and sources form groups of their own; repeated rows are judged alike; an empty
-    table gives an empty result; columns beside doc_id, text, lang and source are not read.
+    are empty and fail; null languages and sources form groups of their own; repeated rows are judged alike; a statistic
+    that equals its fence is not above it; very long texts are counted whole; an empty table gives an empty result; columns beside
+    doc_id, text, lang and source are not read.
     """
     f = written(features(docs), "quality")
     r = rates(f)
@@ -132,6 +135,8 @@ def judge(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
 
 def accepted(docs: DataFrame, least_docs: int = LEAST_DOCS, at_once: int = 2_000_000) -> DataFrame:
     """docs, all columns, without the rejected documents. The rejected rows' keys go to the documents if they are
-    at_once or fewer, otherwise both sides are shuffled by key."""
-    bad = written(judge(docs, least_docs).where("NOT kept").select(F.coalesce("doc_id", F.lit(-1)).alias("_id"), F.col("text_key").alias("_key")).distinct(), "rejected")
-    return docs.join(bounded(bad, at_once), (F.coalesce(docs["doc_id"], F.lit(-1)) == F.col("_id")) & (text_key() == F.col("_key")), "left_anti")
+    at_once or fewer, otherwise both sides are shuffled by key. Rows with one id, or without, share a fate only if text, language and
+    source are equal; docs may have columns of any name."""
+    name, key = (f"{n}_{uuid.uuid4().hex}" for n in ("id", "key"))
+    bad = written(judge(docs, least_docs).where("NOT kept").select(F.col("doc_id").alias(name), F.col("text_key").alias(key)).distinct(), "rejected")
+    return docs.join(bounded(bad, at_once), docs["doc_id"].eqNullSafe(bad[name]) & (text_key() == bad[key]), "left_anti")

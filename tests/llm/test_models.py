@@ -1,13 +1,16 @@
 """Mixing, language-model scores, sharding, and the pipeline as a whole."""
 
 import collections
+import hashlib
 import math
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from granary.llm import lmscore, mixing, sharding, tokens
+from granary.llm import lmscore, mixing, quality, sharding, tokens
 from tests.llm import test_dedup, test_text
 
 
@@ -196,6 +199,78 @@ def test_shards(docs, corpus, odd, none):
     assert sharding.assign(odd, 3)[0].count() == 5 and sharding.assign(none, 3)[0].count() == 0
 
 
+def test_shards_by_hand(spark, tmp_path):
+    """shard and grown_shard recomputed from the ids' hashes; the stored map is read, edited and kept."""
+    rows = [(None if k % 3 == 0 else k, "x" * (k % 50)) for k in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    folder = f"{tmp_path}/map"
+    out, maps, _ = sharding.assign(docs, 5, folder=folder)
+    first = out.collect()
+    slot = lambda d: 0 if d is None else int(hashlib.md5(str(d).encode()).hexdigest()[:8], 16) % sharding.SLOTS
+    even = [s % 5 for s in range(sharding.SLOTS)]
+    assert maps.shard_of[0] == even
+    for r in first:
+        assert r.shard == even[slot(r.doc_id)] and r.grown_shard == maps.shard_of[1][slot(r.doc_id)] and r.grown_shard in (r.shard, 5)
+    by = collections.defaultdict(list)
+    for r in first:
+        by[r.shard].append(r.slot)
+    assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(first) == 900
+    # The next run takes the grown version; rebalanced, it is one version more.
+    again = sharding.assign(docs, 6, folder=folder)
+    assert {(r.doc_id, r.shard) for r in again[0].collect()} == {(r.doc_id, r.grown_shard) for r in first}
+    weight = {r.vslot: r.bytes for r in sharding.slot_bytes(sharding.sized(docs)).collect()}
+    more = sharding.SlotMap.load(spark, folder).rebalance(weight)
+    more.store(spark, folder)
+    assert sharding.SlotMap.load(spark, folder).shard_of == more.shard_of and len(more.shard_of) == len(again[1].shard_of) + 1
+    with pytest.raises(ValueError):
+        sharding.assign(docs, 30, folder=folder)
+
+
+def test_probabilities_against_a_plain_version(spark, docs, corpus):
+    """Cells, raked weights, probabilities and who is sampled, in plain Python."""
+    t = {"source": {"s0": 0.3, "s1": 0.6, "other": 0.1}, "lang": {"en": 0.7, "other": 0.3}}
+    rows = mixing.mixed(docs, t, 0.5).collect()
+    name = lambda m, x: x if x in t[m] and x != "other" else "other"
+    n = {d: len((x or "").split()) for d, x, *_ in corpus}
+    cell = {d: (name("source", s), name("lang", g)) for d, _, g, s, _ in corpus}
+    tokens_ = collections.Counter()
+    for d in n:
+        tokens_[cell[d]] += n[d]
+    w = {c: k / sum(tokens_.values()) for c, k in tokens_.items()}
+    for _ in range(500):
+        for k, m in enumerate(t):
+            have = collections.Counter()
+            for c, x in w.items():
+                have[c[k]] += x
+            w = {c: x * t[m][c[k]] / have[c[k]] for c, x in w.items()}
+    total, full = sum(tokens_.values()), set()
+    while True:
+        scale = (0.5 * total - sum(tokens_[c] for c in full)) / sum(w[c] for c in w if c not in full)
+        over = {c for c in w if c not in full and scale * w[c] / tokens_[c] > 1}
+        if not over:
+            break
+        full |= over
+    for r in rows:
+        c = cell[r.doc_id]
+        p = 1.0 if c in full else scale * w[c] / tokens_[c]
+        u = int(hashlib.md5(f"{mixing.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
+        x = 0.5 * total * w[c] / tokens_[c]
+        assert math.isclose(r.weight, w[c], rel_tol=1e-6) and math.isclose(r.prob, p, rel_tol=1e-6)
+        assert r.sampled == (u < p) and r.copies == math.floor(x) + (u < x - math.floor(x))
+
+
+def test_targets_from_a_table_and_topics_from_a_column(spark, docs):
+    table = spark.createDataFrame([("topic", "a", 0.5), ("topic", "b", 0.5)], "marginal string, category string, target double")
+    t = mixing.targets_of(table)
+    assert t == {"topic": {"a": 0.5, "b": 0.5}}
+    d = docs.withColumn("subject", F.when(F.col("doc_id") % 4 == 0, "a").otherwise("b"))
+    rows = mixing.mixed(d, t, topic="subject").collect()
+    assert {r.topic for r in rows} == {"a", "b"}
+    assert {r.doc_id for r in mixing.sample(d, t, topic="subject").collect()} == {r.doc_id for r in rows if r.sampled}
+    with pytest.warns(UserWarning):  # targets that no weights have
+        mixing.rake(np.array([1.0, 1.0]), [np.array([0, 1]), np.array([0, 1])], [np.array([0.5, 0.5]), np.array([0.9, 0.1])])
+
+
 def test_slot_maps():
     m = sharding.SlotMap.even(40).grow()
     old, new = m.shard_of
@@ -233,3 +308,36 @@ def test_pipeline_against_brute_force(spark, tmp_path, docs, corpus):
         want.append((d, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in got] == want and want
+
+
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Null, repeated and distinct rows with columns named as operators name theirs."""
+    a, b = (" ".join(f"{x}{k}" for k in range(90)) for x in "ab")
+    rows = [(None, a, "en", "s", 1), (5, a, "en", "s", 1), (5, a, "en", "s", 1), (7, a, "en", "s", 1), (8, b, "en", "s", 1), (8, b, "fr", None, 1), (9, "too short", "en", "s", 1), (None, None, None, None, None), (10, "", "en", "s", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return d.withColumns({c: F.lit("x") for c in ("_id", "_key", "_row", "_n", "_again", "_copy", "t", "w", "salt", "key", "id", "node", "label", "item_ids", "vslot", "place", "n", "same", "block", "text_key", "row_key", "fence")})
+
+
+def test_every_stage_with_clashing_names(spark, clashing, tmp_path):
+    spark.createDataFrame([(1, " ".join(f"b{k}" for k in range(30)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sizes = []
+    for docs in (clashing, clashing.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:4]:
+            kept = stage(spark, docs, str(tmp_path))
+            assert kept.columns == docs.columns
+            sizes.append(kept.count())
+        assert corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path)).count() == docs.count()
+    # Rejected: the short, the empty and the null; one of (null, 5, 5, 7), one of the two with id 8, and those without words; not those with b.
+    assert sizes[:3] == [6, 5, 7] and sizes[4:] == [0, 0, 0, 0]
+    assert mixing.repeated(clashing).columns == clashing.columns
+
+
+def test_verdicts_follow_language_and_source(spark):
+    """Rows with one id and text are judged by their own group's fences."""
+    even = [(k, " ".join(f"w{k}x{j}" for j in range(60)), "en", "a") for k in range(300)]
+    loud = [(1000 + k, " ".join(f"w{k}x{j} #" for j in range(60)), "en", "b") for k in range(300)]
+    text = " ".join(f"z{j} #" for j in range(60))
+    d = spark.createDataFrame([*even, *loud, (5000, text, "en", "a"), (5000, text, "en", "b"), (None, text, "en", "a"), (None, text, "en", "b")], "doc_id long, text string, lang string, source string")
+    kept = quality.accepted(d).where("doc_id = 5000 OR doc_id IS NULL").collect()
+    assert sorted((str(r.doc_id), r.source) for r in kept) == [("5000", "b"), ("None", "b")]
