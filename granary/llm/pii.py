@@ -1,8 +1,9 @@
 """Personal data: detection over the text as written, and over a normalised copy whose spans map back to it.
 
-A first pass finds emails, IP addresses, card and phone numbers in the text. A transducer then rewrites disguises
-(look-alike letters, spelled digits, "at" and "dot" in words or brackets, invisible characters) and remembers where each
-rewritten piece came from; what is detected only there is mapped back to source characters and added.
+A first pass finds emails, IP addresses, card and phone numbers in the text. Three transducers then rewrite disguises, one after
+the other: look-alike letters and invisible characters; "at" and "dot" in words or brackets, and signs set off by white space; digits
+spelled as words. Each remembers where its rewritten pieces came from; what is detected only in the last one's output is mapped back
+through all of them to source characters and added. All take time in proportion to the text, whatever is in it.
 """
 
 from __future__ import annotations
@@ -88,71 +89,118 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _digit = "(?:" + "|".join(sorted(SPELLED, key=len, reverse=True)) + ")"
-_at, _dot = "(?:at|ät|arroba|arobase|@)", r"(?:dot|punkt|point|punto|\.)"
-_o, _c = r"[\[({<]\s{0,3}", r"\s{0,3}[\])}>]"
-#: What the transducer rewrites. Words for signs without brackets count only between words of an address.
-DISGUISE = re.compile(
-    rf"(?P<at>\s{{0,3}}{_o}{_at}{_c}\s{{0,3}}|\s{{1,3}}@\s{{0,3}}|(?<=\S)\s{{0,3}}@\s{{1,3}}(?=\S)|(?<=[A-Za-z0-9])\s{{1,3}}(?:at|arroba|arobase)\s{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\s{{0,3}}{_o}{_dot}{_c}\s{{0,3}}|\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}}|\.)[A-Za-z0-9-]))"
-    rf"|(?P<dot>\s{{0,3}}{_o}{_dot}{_c}\s{{0,3}}|(?<=[A-Za-z0-9])\s{{1,3}}(?:dot|punkt|point|punto)\s{{1,3}}(?=[A-Za-z0-9]))"
-    rf"|(?P<spelled>(?<!\w)(?:plus[\s-]{{1,3}})?(?:{_digit}[\s,-]{{1,3}}){{3,}}{_digit}(?!\w))"
-    rf"|(?P<gone>[{INVISIBLE}]+)",
-    re.I,
-)
+_dot = "(?:dot|punkt|point|punto)"
+GONE = re.compile(f"[{INVISIBLE}]+")
+#: Signs in brackets, words for them between white space, and the sign @. White space before is looked for from the match.
+SIGN = re.compile(rf"[\[({{<]\s*(?:(?P<at>at|ät|arroba|arobase|@)|(?P<dot>{_dot}|\.))\s*[\])}}>]|(?<=\s)(?:(?P<wat>at|arroba|arobase)|(?P<wdot>{_dot}))(?=\s)|(?P<bare>@)", re.I)
+#: What follows a word for @: a name, and a sign for its dot.
+DOTTED = re.compile(rf"\s+[A-Za-z0-9-]++(?:\s*[\[({{<]\s*(?:{_dot}|\.)\s*[\])}}>]\s*|\s+{_dot}\s+|\.)[A-Za-z0-9-]", re.I)
+DIGITS = re.compile(rf"(?<!\w)(?:plus[\s-]++)?(?:{_digit}[\s,-]++){{3,}}{_digit}(?!\w)", re.I)
+BLANKS = re.compile(r"\s*")
+NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 #: Texts without any of these have nothing to rewrite.
-HINT = re.compile(rf"[{INVISIBLE}]|{_o}(?:{_at}|{_dot}){_c}|\s@|@\s|\s(?:dot|punkt|point|punto)\s|(?<!\w)(?:{_digit}[\s,-]{{1,3}}){{3}}|\s(?:at|arroba|arobase)\s{{1,3}}[a-z0-9-]{{1,63}}\.[a-z0-9]", re.I)
+HINT = re.compile(rf"[{INVISIBLE}]|[\[({{<]\s*(?:at|ät|arroba|arobase|@|{_dot}|\.)\s*[\])}}>]|@\s|\s(?:{_dot}|at|arroba|arobase)\s|(?<!\w)(?:{_digit}[\s,-]++){{3}}", re.I)
 WORD = re.compile(r"\w+")
 
 
-def normalise(t: str) -> tuple[str, list[int], list[int], list[int]] | None:
-    """The normalised text, and for each of its pieces the start there, the start in t and the end in t of a piece that
-    was rewritten (-1: copied, character for character). None if nothing changes."""
-    folded = t if t.isascii() or not FOLDED.search(t) else t.translate(TABLE)
-    if folded is t and not HINT.search(t):
-        return None
-    out, at_norm, at_src, ends = [], [0], [0], [-1]
-    n = src = 0
-    for m in DISGUISE.finditer(folded):
+class Rewritten:
+    """A text with pieces replaced: for each piece the start here, the start in the source, and the end there of one that was
+    replaced (-1: copied, character for character)."""
+
+    def __init__(self, source: str, edits: list[tuple[int, int, str]]):
+        """edits: start, end and replacement, ascending."""
+        out, self.here, self.there, self.ends = [], [0], [0], [-1]
+        n = at = 0
+        for s, e, new in edits:
+            out += [source[at:s], new]
+            n += s - at
+            self.here += [n, n + len(new)]
+            self.there += [s, e]
+            self.ends += [e, -1]
+            n += len(new)
+            at = e
+        self.text = "".join([*out, source[at:]])
+
+    def _place(self, k: int) -> tuple[int, int]:
+        """Where the character at k stands in the source: first and end."""
+        i = bisect_right(self.here, k) - 1
+        if self.ends[i] >= 0:
+            return self.there[i], self.ends[i]
+        at = self.there[i] + k - self.here[i]
+        return at, at + 1
+
+    def back(self, s: int, e: int) -> Span:
+        return self._place(s)[0], self._place(e - 1)[1]
+
+
+def _before(t: str, k: int, stop: int) -> int:
+    """Where the white space that ends at k begins, not before stop."""
+    while k > stop and t[k - 1].isspace():
+        k -= 1
+    return k
+
+
+def signs(t: str) -> list[tuple[int, int, str]]:
+    """Rewrite signs written as words or in brackets, and @ followed by white space, with the white space around them."""
+    out, free = [], 0
+    for m in SIGN.finditer(t):
         s, e = m.span()
+        if s < free:
+            continue
+        left, right = _before(t, s, free), BLANKS.match(t, e).end()
+        named = left > 0 and t[left - 1] in NAME and right < len(t)
         if m["at"] is not None:
-            new = "@"
+            out.append((left, right, "@"))
         elif m["dot"] is not None:
-            new = "."
-        elif m["gone"] is not None:
-            new = ""
+            out.append((left, right, "."))
+        elif m["wat"] is not None:
+            if not named or not DOTTED.match(t, e):
+                continue
+            out.append((left, right, "@"))
+        elif m["wdot"] is not None:
+            if not named or t[right] not in NAME:
+                continue
+            out.append((left, right, "."))
         else:
-            words = WORD.findall(m[0].lower())
-            new = "".join("+" if w == "plus" else SPELLED[w] for w in words)
-        out.append(folded[src:s])
-        n += s - src
-        at_norm += [n, n + len(new)]
-        at_src += [s, e]
-        ends += [e, -1]
-        out.append(new)
-        n += len(new)
-        src = e
-    out.append(folded[src:])
-    return "".join(out), at_norm, at_src, ends
-
-
-def _back(k: int, end: bool, at_norm: list[int], at_src: list[int], ends: list[int]) -> int:
-    """Where position k of the normalised text is in the source; for ends, just after the character before it."""
-    if end:
-        return _back(k - 1, False, at_norm, at_src, ends) + 1 if ends[(i := bisect_right(at_norm, k - 1) - 1)] < 0 else ends[i]
-    i = bisect_right(at_norm, k) - 1
-    return at_src[i] + (k - at_norm[i] if ends[i] < 0 else 0)
+            # A name before it and white space after; white space before it alone may be a mention of someone.
+            if right == e or not named or t[right] not in NAME:
+                continue
+            out.append((left, right, "@"))
+        free = right
+    return out
+
+
+def digits(t: str) -> list[tuple[int, int, str]]:
+    """Rewrite four and more spelled digits in a row."""
+    return [(*m.span(), "".join("+" if w == "plus" else SPELLED[w] for w in WORD.findall(m[0].lower()))) for m in DIGITS.finditer(t)]
+
+
+def normalise(t: str) -> list[Rewritten]:
+    """The transducers' outputs, the last the normalised text; none if nothing changes."""
+    folded = t if t.isascii() or not FOLDED.search(t) else t.translate(TABLE)
+    if folded is t and not HINT.search(t):
+        return []
+    chain = [Rewritten(folded, [(*m.span(), "") for m in GONE.finditer(folded)])]
+    for rule in (signs, digits):
+        if edits := rule(chain[-1].text):
+            chain.append(Rewritten(chain[-1].text, edits))
+    return chain
 
 
 def added(t: str, base: dict[str, list[Span]]) -> dict[str, list[Span]]:
-    """Spans that only the normalised text shows, in source characters, none overlapping a base span of its kind."""
-    got = normalise(t)
-    if got is None:
+    """Spans that only the normalised text shows, in source characters: those that reach beyond the base spans of their kind. One
+    may hold a base span, of which only a part was written plainly."""
+    chain = normalise(t)
+    if not chain:
         return {}
-    norm, *maps = got
     more: dict[str, list[Span]] = {}
-    for kind, spans in detect(norm).items():
-        for s, e in spans:
-            a, b = _back(s, False, *maps), _back(e, True, *maps)
-            if all(b <= x or a >= y for x, y in base[kind]) and all(b <= x or a >= y for x, y in more.get(kind, [])):
+    for kind, spans in detect(chain[-1].text).items():
+        plain = base[kind]  # ascending, without overlap
+        for a, b in spans:
+            for r in reversed(chain):
+                a, b = r.back(a, b)
+            k = bisect_right(plain, (a, len(t) + 1)) - 1
+            if k < 0 or b > plain[k][1]:
                 more.setdefault(kind, []).append((a, b))
     return more
 
@@ -165,8 +213,9 @@ def scan(docs: DataFrame) -> DataFrame:
     """One row a document: how many spans of each kind the text as written has, the SHA-256 of their list, the list of
     all spans with those of the normalised text, and how many those are.
 
-    Null texts are empty; repeated rows give repeated rows; an empty table an empty result; columns beside doc_id and
-    text are not read. Each row is read alone, so there is no shuffle.
+    Null texts are empty; repeated rows give repeated rows; an empty table an empty result; very long texts are read whole, in
+    linear time; of matches that begin together the longest counts; columns beside doc_id and text are not read. Each row is read
+    alone, so there is no shuffle.
     """
 
     def run(batches):
