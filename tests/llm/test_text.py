@@ -28,6 +28,63 @@ def test_layout_names_and_unnamed_articles():
     assert html.main_text(page, html.trained())[0] == f"On words\n\n{words}\n\nNo.\n\n{words}"
 
 
+def test_sections_of_an_article_stay():
+    words = lambda n, w: " ".join([w] * n)
+    page = f"""<body><nav><a href="/">Home</a></nav><article><h1>Title</h1><p>{words(60, 'one')}</p><div class="related-work"><p>{words(50, 'two')}</p></div><section id="follow-up"><p>{words(50, 'three')}</p></section>
+    <ul><li><a href="a">First link</a></li><li><a href="b">First link</a></li></ul><p>where <math><mi>x</mi></math> is <object data="f">a figure</object></p><div class="section-header"><h2>Part two</h2></div><p>{words(30, 'four')}</p></article>
+    <div class="related-posts"><p>{words(40, 'gone')}</p></div><div id="post-comments"><p>{words(40, 'gone')}</p></div></body>"""
+    text = html.main_text(page, html.trained())[0]
+    assert text == "\n\n".join(["Title", words(60, "one"), words(50, "two"), words(50, "three"), "First link", "First link", "where x is a figure", "Part two", words(30, "four")])
+
+
+def gold(rnd):
+    """A page of a random layout, and its main blocks and the others, all with words of their own."""
+    serial = iter(range(10**6))
+    text = lambda n: " ".join(f"w{next(serial)}" for _ in range(n))
+    main, other = [], []
+
+    def block(kept, n, tag="p", link=False):
+        t = text(n)
+        (main if kept else other).append(t)
+        return f"<{tag}>" + (f'<a href="/{n}">{t}</a>' if link else t) + f"</{tag}>"
+
+    some = lambda f, lo, hi: "".join(f() for _ in range(rnd.randint(lo, hi)))
+    links = lambda: "<ul>" + some(lambda: block(False, rnd.randint(1, 4), "li", True), 2, 8) + "</ul>"
+    body = block(True, rnd.randint(2, 10), "h1") + some(lambda: block(True, rnd.randint(3, 90)), 2, 9)
+    body += rnd.choice([lambda: "", lambda: block(True, 4, "h2") + some(lambda: block(True, rnd.randint(10, 60)), 1, 4), lambda: "<ul>" + some(lambda: block(True, rnd.randint(2, 20), "li"), 2, 5) + "</ul>", lambda: "<blockquote>" + block(True, 20) + "</blockquote>"])()
+    holder = rnd.choice(["<article>{}</article>", '<main class="content">{}</main>', '<div id="main-content"><div class="post">{}</div></div>', '<div class="entry-content">{}</div>', "<div><div>{}</div></div>", '<section role="main">{}</section>'])
+    top = rnd.choice([lambda: "<nav>" + links() + "</nav>", lambda: '<div class="menu">' + links() + "</div>", lambda: "<header>" + block(False, 3) + links() + "</header>", lambda: '<div id="topNav">' + links() + "</div>"])
+    ad = lambda c: f'<div class="{c}">' + block(False, rnd.randint(5, 30)) + "</div>"
+    side = rnd.choice([lambda: "<aside>" + links() + block(False, 20) + "</aside>", lambda: '<div class="sidebar-right">' + links() + "</div>", lambda: "", lambda: '<div class="widget newsletter-signup"><form>' + block(False, 12) + "</form></div>"])
+    said = rnd.choice([lambda: "", lambda: '<div id="comments">' + some(lambda: block(False, rnd.randint(5, 60)), 1, 6) + "</div>", lambda: '<section class="comment-list">' + block(False, 40) + "</section>"])
+    foot = rnd.choice([lambda: "<footer>" + block(False, 12) + links() + "</footer>", lambda: '<div class="site-footer">' + block(False, 9) + "</div>"])
+    ads = rnd.choice(["ad", "advert", "adBanner", "cookie-notice", "sponsored-content", "promo"])
+    return f"<html><head><title>{text(3)}</title></head><body>{top()}{ad(ads)}{holder.format(body)}{side()}{said()}{foot()}</body></html>", main, other
+
+
+def test_precision_and_recall_over_layouts():
+    rnd, tree = random.Random(21), html.trained()
+    right = wrong = missed = 0
+    for _ in range(400):
+        page, main, other = gold(rnd)
+        got = html.main_text(page, tree)[0].split("\n\n")
+        n = lambda blocks: sum(len(b.split()) for b in blocks)
+        right, wrong, missed = right + n(b for b in got if b in main), wrong + n(b for b in got if b and b not in main), missed + n(b for b in main if b not in got)
+    assert right / (right + wrong) >= 0.95 and right / (right + missed) >= 0.95, (right, wrong, missed)
+
+
+HOSTILE_PAGES = ["</div>" * 150_000, "<div>" * 200_000 + "</p>" * 50_000, "<div>" * 100_000 + "</div></section>" * 50_000, "<head>" * 150_000, "<!--" * 200_000, "<a \"" * 200_000 + ">", "<p><b>" * 120_000, "<section><div></section>" * 40_000, "&#x41;" * 150_000, "<div class='a b c'>" * 50_000, "<" * 1_000_000, "<li>x" * 200_000]
+
+
+@pytest.mark.parametrize("k", range(len(HOSTILE_PAGES)))
+def test_hostile_pages_take_linear_time(k):
+    import time
+
+    start = time.process_time()
+    html.main_text(HOSTILE_PAGES[k], html.trained())
+    assert time.process_time() - start < 20
+
+
 @pytest.mark.parametrize("page", ["", "plain text of a few words and no markup, which is a page too, if a poor one", "<p", "<a href='x", "<!-- open", "<script>x", "<div>" * 3000 + "x" + "</div>" * 10, "<p>&#1234567890;&bogus;</p>", "<![CDATA[a < b]]>"])
 def test_bad_markup(page):
     text, n, k = html.main_text(page, html.trained())
