@@ -39,8 +39,11 @@ def directory_of(path: Column) -> Column:
 
 
 def fold(path: Column, ignore_case: bool = True) -> Column:
-    """What two paths are compared by. Upper case, character for character where one stays one."""
-    return F.when(F.length(F.upper(path)) == F.length(path), F.upper(path)).otherwise(F.translate(path, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")) if ignore_case else path
+    """What two paths are compared by. Upper case, character for character: one that would become several stays as it is."""
+    if not ignore_case:
+        return path
+    each = F.array_join(F.transform(F.split(path, ""), lambda c: F.when(F.length(F.upper(c)) == 1, F.upper(c)).otherwise(c)), "")
+    return F.when(F.length(F.upper(path)) == F.length(path), F.upper(path)).otherwise(each)
 
 
 def depth(path: Column) -> Column:

@@ -62,12 +62,14 @@ def last_written(entries: DataFrame, order: str) -> DataFrame:
 
 
 def with_parents(entries: DataFrame, attribute: int = fields.DIRECTORY, modified: str = fields.MIN_TIME, order: str | None = None) -> DataFrame:
-    """archive_key, internal_path, is_directory, size, attributes, synthesized: entries and all their missing ancestors.
+    """archive_key, internal_path, is_directory, size, attributes, synthesized, and compressed_size if entries have it: entries and all
+    their missing ancestors.
 
     With order (compatible mode), an ancestor is made only from files, and only as far up as no directory entry with a smaller
     order is on the way.
     """
-    base = entries.select("archive_key", "internal_path", "is_directory", "size", *([order] if order else []))
+    packed = ["compressed_size"] * ("compressed_size" in entries.columns)
+    base = entries.select("archive_key", "internal_path", "is_directory", "size", *packed, *([order] if order else []))
     bare = F.regexp_replace("internal_path", "/$", "")
     up = base.where("NOT is_directory") if order else base
     up = up.withColumn("dir", F.explode(paths.prefixes(bare, whole=False))).withColumn("dir", F.concat("dir", F.lit("/")))
@@ -77,8 +79,8 @@ def with_parents(entries: DataFrame, attribute: int = fields.DIRECTORY, modified
         up = up.join(own, ["archive_key", "dir"], "left")
         up = up.withColumn("_stop", F.coalesce(F.max(F.when(F.col("_at") < F.col(order), F.length("dir"))).over(far), F.lit(0))).where(F.length("dir") > F.col("_stop"))
     made = up.select("archive_key", "dir").distinct().join(own.select("archive_key", "dir").distinct(), ["archive_key", "dir"], "left_anti")
-    made = made.select("archive_key", F.col("dir").alias("internal_path"), F.lit(True).alias("is_directory"), F.lit(0).cast("long").alias("size"), F.lit(attribute).alias("attributes"), F.lit(True).alias("synthesized"))
-    kept = base.select("archive_key", "internal_path", "is_directory", "size", F.when(F.col("is_directory"), attribute).otherwise(fields.NORMAL).alias("attributes"), F.lit(False).alias("synthesized"))
+    made = made.select("archive_key", F.col("dir").alias("internal_path"), F.lit(True).alias("is_directory"), F.lit(0).cast("long").alias("size"), F.lit(attribute).alias("attributes"), F.lit(True).alias("synthesized"), *[F.lit(0).cast("long").alias(c) for c in packed])
+    kept = base.select("archive_key", "internal_path", "is_directory", "size", F.when(F.col("is_directory"), attribute).otherwise(fields.NORMAL).alias("attributes"), F.lit(False).alias("synthesized"), *packed)
     return kept.unionByName(made)
 
 
@@ -130,9 +132,11 @@ def volume(archives: DataFrame, label: str) -> DataFrame:
 
 
 def totals(entries: DataFrame, format_id: str = "zip") -> DataFrame:
-    """Per archive: entries (synthesized ones too), bytes of files, estimated memory."""
+    """Per archive: entries (synthesized ones too), bytes of files, unpacked and (if entries tell) packed, estimated memory."""
+    total = lambda c: F.coalesce(F.sum(F.when(~F.col("is_directory"), F.col(c))), F.lit(0)).cast("long")
+    sums = [total("size").alias("total_uncompressed")] + [total("compressed_size").alias("total_compressed")] * ("compressed_size" in entries.columns)
     return entries.groupBy("archive_key").agg(
-        F.count("*").alias("n_entries"), F.coalesce(F.sum(F.when(~F.col("is_directory"), F.col("size"))), F.lit(0)).cast("long").alias("total_uncompressed")
+        F.count("*").alias("n_entries"), *sums
     ).withColumn("memory_bytes", fields.structure_bytes(F.col("n_entries"), F.lit(format_id)))
 
 

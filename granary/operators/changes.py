@@ -42,8 +42,8 @@ def changes(events: DataFrame, keys: list[str], compatible: bool = True) -> Data
 
 
 def delta(changed: DataFrame) -> DataFrame:
-    """Per kind its paths in order."""
-    return changed.groupBy("kind").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+    """The lists of paths of each kind, as rows: kind and path."""
+    return changed.select("kind", "path")
 
 
 def applied(archives: DataFrame, changed: DataFrame, disk: DataFrame) -> DataFrame:

@@ -12,17 +12,33 @@ from pyspark.sql import functions as F
 from granary.functions import paths
 
 
-def candidates(layout: DataFrame, triggers: DataFrame, most_bytes: int) -> DataFrame:
-    """For every trigger the files beside it in its directory of at most most_bytes, the trigger left out."""
-    t = triggers.select("archive_key", "trigger_offset", paths.directory_of(F.col("internal_path")).alias("directory"))
-    small = layout.where(~F.col("is_directory") & (F.col("size") <= most_bytes)).withColumn("directory", paths.directory_of(F.col("internal_path")))
-    return small.join(t, ["archive_key", "directory"])
-
-
-def nearest(found: DataFrame, most_files: int) -> DataFrame:
-    """Of each trigger's candidates those nearest by offset, the lower first at equal distance."""
-    by = Window.partitionBy("archive_key", "trigger_offset").orderBy(F.abs(F.col("offset") - F.col("trigger_offset")), "offset")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most_files)
+def candidates(layout: DataFrame, most_bytes: int) -> DataFrame:
+    """The files of at most most_bytes, with their directory: what may be read with any other file of it."""
+    return layout.where(~F.col("is_directory") & (F.col("size") <= most_bytes)).withColumn("directory", paths.directory_of(F.col("internal_path")))
+
+
+def nearest(layout: DataFrame, triggers: DataFrame, most_bytes: int, most_files: int) -> DataFrame:
+    """Of each trigger's directory the most_files candidates nearest by offset, the lower first at equal distance, as rows with rank.
+
+    A directory is sorted by offset once, which numbers its files and tells how many stand before each trigger. The files lie in
+    chunks of most_files; a trigger meets the chunks around its place, three at most, so no trigger meets its whole directory.
+    """
+    keys = ["archive_key", "directory"]
+    files = candidates(layout, most_bytes)
+    columns = [c for c in files.columns if c not in keys]
+    asks = triggers.select("archive_key", paths.directory_of(F.col("internal_path")).alias("directory"), "trigger_offset").distinct()
+    one = files.select(*keys, F.col("offset").alias("at"), F.struct("offset", *[c for c in columns if c != "offset"]).alias("file"))
+    both = one.unionByName(asks.select(*keys, F.col("trigger_offset").alias("at")), allowMissingColumns=True)
+    earlier = Window.partitionBy(*keys).orderBy("at", F.col("file").isNotNull(), "file.internal_path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = both.withColumn("place", F.coalesce(F.count("file").over(earlier), F.lit(0)))
+    chunk = lambda c: F.floor(c / most_files)
+    chunks = placed.where("file IS NOT NULL").groupBy(*keys, chunk(F.col("place")).alias("chunk")).agg(F.collect_list("file").alias("files"))  # most_files a row
+    place = F.col("place")
+    asked = placed.where("file IS NULL").select(*keys, F.col("at").alias("trigger_offset"), F.explode(F.sequence(chunk(F.greatest(place - most_files, F.lit(0))), chunk(place + most_files - 1))).alias("chunk"))
+    near = asked.join(chunks, [*keys, "chunk"]).groupBy(*keys, "trigger_offset").agg(F.flatten(F.collect_list("files")).alias("files"))  # three chunks
+    by_distance = F.array_sort(F.transform("files", lambda x: F.struct(F.abs(x["offset"] - F.col("trigger_offset")).alias("distance"), x["offset"].alias("lower"), x.alias("file"))))
+    out = near.select(*keys, "trigger_offset", F.posexplode(F.slice(by_distance, 1, most_files)).alias("rank", "x"))
+    return out.select(*keys, "trigger_offset", (F.col("rank") + 1).alias("rank"), "x.file.*")
 
 
 def centered(found: DataFrame, most_files: int) -> DataFrame:
@@ -62,7 +78,7 @@ def shrunk(found: DataFrame, least_ratio: float) -> DataFrame:
 
 
 def span_plan(layout: DataFrame, triggers: DataFrame, most_bytes: int = 10 * 1024 * 1024, most_listed: int = 300, most_files: int = 20, least_ratio: float = 0.8) -> DataFrame:
-    near = nearest(candidates(layout, triggers, most_bytes), most_listed).where("offset != trigger_offset")
+    near = nearest(layout, triggers, most_bytes, most_listed).where("offset != trigger_offset")
     return shrunk(centered(near, most_files), least_ratio)
 
 
@@ -72,9 +88,10 @@ def still_wanted(wanted: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def trigger_by_stat(candidates_: DataFrame, asked: DataFrame) -> DataFrame:
-    """For asked rows (ask, size, modified) whose path is unknown: the candidate with the same size and time, the first by offset."""
-    first = Window.partitionBy("ask").orderBy("offset", "archive_key")
-    return asked.join(candidates_, ["size", "modified"]).withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
+    """For asked rows (ask, size, modified) whose path is unknown: the candidate with the same size and time, the first by offset.
+    Candidates are reduced to one for each size and time before they meet what is asked."""
+    one = candidates_.groupBy("size", "modified").agg(F.min(F.struct("offset", "archive_key")).alias("first"))
+    return asked.join(one, ["size", "modified"]).select("ask", "size", "modified", "first.archive_key", "first.offset")
 
 
 def fill_ratio(found: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import struct
 import zipfile
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from granary.functions import fields, paths
 from granary.operators import caching, catalog, changes, planning
 from granary.plans import derive as D
-from granary.sources import rarscan, zipscan
+from granary.sources import rarscan, registry, zipscan
 from granary.streaming import consolidate
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -188,9 +190,10 @@ def volume_info(spark, sf_dir):
     return catalog.volume(D.archives(spark, sf_dir), "corpus of pages from the open web")
 
 
-@query(f"WITH {_PARENTS} SELECT archive_key, count(*)::BIGINT AS n_entries, coalesce(sum(CASE WHEN NOT is_directory THEN size END), 0)::BIGINT AS total_uncompressed, (1024 + count(*) * 114)::BIGINT AS memory_bytes FROM entries GROUP BY 1")
+@query(f"WITH {_PARENTS} SELECT archive_key, count(*)::BIGINT AS n_entries, coalesce(sum(CASE WHEN NOT is_directory THEN size END), 0)::BIGINT AS total_uncompressed, coalesce(sum(CASE WHEN NOT is_directory THEN (size * 2 // 5) + 1 END), 0)::BIGINT AS total_compressed, (1024 + count(*) * 114)::BIGINT AS memory_bytes FROM entries GROUP BY 1")
 def archive_totals(spark, sf_dir):
-    return catalog.totals(_entries(spark, sf_dir))
+    packed_ = D.page_entries(spark, sf_dir).withColumn("compressed_size", F.floor(F.col("size") * 2 / 5) + 1)
+    return catalog.totals(catalog.with_parents(packed_))
 
 
 _TWO = """memory AS (SELECT virtual_path FROM archives WHERE size_bytes % 3 != 0), disk AS (SELECT upper(virtual_path) AS virtual_path FROM archives WHERE size_bytes % 3 != 1)"""
@@ -312,23 +315,23 @@ bound AS (SELECT *, least(n, greatest(0, least(pos, n - 1) - 5) + 10) AS e FROM
 win AS (SELECT archive_key, internal_path, trigger_offset, "offset", compressed_size FROM bound WHERE place >= greatest(0, e - 10) AND place < e)"""
 
 
-def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = D.layout(spark, sf_dir)
-    return planning.candidates(d, D.triggers(d), 20000)
+    return planning.nearest(d, D.triggers(d), 20000, 30)
 
 
 def _window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return planning.centered(planning.nearest(_found(spark, sf_dir), 30).where("offset != trigger_offset"), 10)
+    return planning.centered(_near(spark, sf_dir).where("offset != trigger_offset"), 10)
 
 
-@query(f"WITH {_NEAR} SELECT archive_key, trigger_offset, internal_path FROM found")
+@query(f"WITH {D.LAYOUT} SELECT archive_key, regexp_replace(internal_path, '/[^/]*$', '') AS directory, internal_path, \"offset\" FROM layout WHERE size <= 20000")
 def prefetch_candidates(spark, sf_dir):
-    return _found(spark, sf_dir).select("archive_key", "trigger_offset", "internal_path")
+    return planning.candidates(D.layout(spark, sf_dir), 20000).select("archive_key", "directory", "internal_path", "offset")
 
 
 @query(f'WITH {_NEAR} SELECT archive_key, trigger_offset, "offset", r::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY archive_key, trigger_offset ORDER BY abs("offset" - trigger_offset), "offset") AS r FROM found) WHERE r <= 30')
 def nearest_k_offsets(spark, sf_dir):
-    return planning.nearest(_found(spark, sf_dir), 30).select("archive_key", "trigger_offset", "offset", "rank")
+    return _near(spark, sf_dir).select("archive_key", "trigger_offset", "offset", "rank")
 
 
 @query(f'WITH {_NEAR} SELECT archive_key, trigger_offset, "offset", compressed_size FROM win')
@@ -356,10 +359,10 @@ def not_cached(spark, sf_dir):
     return planning.still_wanted(w, w.where("compressed_size % 3 = 0").select("archive_key", "internal_path")).select("archive_key", "trigger_offset", "internal_path")
 
 
-@query(f"""WITH {D.LAYOUT}, asked AS (SELECT DISTINCT size AS ask FROM layout WHERE doc_id % 5 = 0) SELECT ask, archive_key, "offset" FROM (SELECT ask, l.*, row_number() OVER (PARTITION BY ask ORDER BY "offset", archive_key) AS k FROM asked JOIN layout l ON l.size = ask AND l.doc_id % 2 = ask % 2) WHERE k = 1""")
+@query(f"""WITH {D.LAYOUT}, asked AS (SELECT DISTINCT size AS ask FROM layout) SELECT ask, archive_key, "offset" FROM (SELECT ask, l.*, row_number() OVER (PARTITION BY ask ORDER BY "offset", archive_key) AS k FROM asked JOIN layout l ON l.size = ask AND l.doc_id % 2 = ask % 2) WHERE k = 1""")
 def trigger_by_stat(spark, sf_dir):
     d = D.layout(spark, sf_dir).withColumn("modified", F.col("doc_id") % 2)
-    asked = d.where("doc_id % 5 = 0").select(F.col("size").alias("ask"), "size", (F.col("size") % 2).alias("modified")).distinct()
+    asked = d.select(F.col("size").alias("ask"), "size", (F.col("size") % 2).alias("modified")).distinct()
     return planning.trigger_by_stat(d, asked).select("ask", "archive_key", "offset")
 
 
@@ -395,7 +398,7 @@ def session_deltas(spark, sf_dir):
 SELECT kind, count(*)::BIGINT AS n, min(root || '/' || path) AS first_path FROM folded WHERE k = n AND kind != 'Noop' GROUP BY 1""")
 def delta_lists(spark, sf_dir):
     c = changes.changes(D.events(spark, sf_dir), ["root", "path"]).withColumn("path", F.concat_ws("/", "root", "path"))
-    return changes.delta(c).select("kind", F.size("paths").cast("long").alias("n"), F.element_at("paths", 1).alias("first_path"))
+    return changes.delta(c).groupBy("kind").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
 
 
 @query("""WITH r AS (SELECT 'root' AS root, ts, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'a' || user_id || '.zip' END AS o, CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'b' || user_id || '.zip' END AS n FROM events WHERE event_type = 'error')
@@ -532,10 +535,58 @@ def zip_read_range(spark, sf_dir):
     return zipscan.extracted(files, wanted).select("archive_key", "internal_path", F.sha2("data", 256).alias("sha256"))
 
 
-@query()
+def _vint(n: int) -> bytes:
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def _rar(files: list[tuple[str, bytes]], five: bool) -> bytes:
+    """A RAR archive of stored files, in the format of either version, without checksums of its headers."""
+    if not five:
+        out = rarscan.RAR4 + struct.pack("<HBHHHL", 0, 0x73, 0, 13, 0, 0)
+        for name, data in files:
+            n = name.encode()
+            out += struct.pack("<HBHH", 0, 0x74, 0x8000, 32 + len(n)) + struct.pack("<LLBLLBBHL", len(data), len(data), 3, zlib.crc32(data), 0, 20, 0x30, len(n), 0) + n + data
+        return out
+    block = lambda body, data=b"": bytes(4) + _vint(len(body)) + body + data
+    out = rarscan.RAR5 + block(_vint(1) + _vint(0) + _vint(0))
+    for name, data in files:
+        n = name.encode()
+        out += block(_vint(2) + _vint(2) + _vint(len(data)) + _vint(4) + _vint(len(data)) + _vint(32) + struct.pack("<L", zlib.crc32(data)) + _vint(0) + _vint(1) + _vint(len(n)) + n, data)
+    return out
+
+
+def packed_rar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """archive_key and content: every archive of pages as a RAR file, of version 5 or 4 by the length of its key."""
+
+    def build(key, pdf):
+        import pandas as pd
+
+        files = [(r.internal_path, (r.html or "").encode()) for r in pdf.sort_values("page_id").itertuples()]
+        return pd.DataFrame({"archive_key": [key[0]], "content": [_rar(files, len(key[0]) % 2 == 1)]})
+
+    p = D.page_entries(spark, sf_dir).join(D.table(spark, sf_dir, "pages").select("page_id", "html"), "page_id")
+    return p.select("page_id", "archive_key", "internal_path", "html").groupBy("archive_key").applyInPandas(build, "archive_key string, content binary")
+
+
+@query(f"WITH {D.PAGE_ENTRIES} SELECT archive_key, internal_path, is_directory, size, size AS compressed_size, true AS stored, NULL::VARCHAR AS error, CASE WHEN length(archive_key) % 2 = 1 THEN 5 ELSE 4 END::INT AS version FROM page_entries")
 def rar_scan(spark, sf_dir):
-    """Headers of small archives of both versions and of one that is no archive."""
-    four = rarscan.RAR4 + bytes.fromhex("00007300000d00000000000000")
-    rows = [("a4.rar", bytearray(four)), ("s4.rar", bytearray(four[:10] + b"\x08" + four[11:])), ("x.rar", bytearray(b"no archive"))]
-    got = rarscan.entries(spark.createDataFrame(rows, "archive_key string, content binary"))
-    return got.withColumn("modified", F.col("modified").cast("string"))
+    files = packed_rar(spark, sf_dir)
+    e = rarscan.entries(files).join(files.select("archive_key", rarscan.version(F.col("content")).alias("version")), "archive_key")
+    return e.select("archive_key", "internal_path", "is_directory", "size", "compressed_size", "stored", "error", "version")
+
+
+@query(f"WITH {D.PAGE_ENTRIES} SELECT e.archive_key, e.internal_path, sha256(coalesce(p.html, '')) AS sha256, NULL::VARCHAR AS error FROM page_entries e JOIN pages p USING (page_id)")
+def rar_extract(spark, sf_dir):
+    files = packed_rar(spark, sf_dir)
+    wanted = rarscan.entries(files).withColumns({"read_at": F.lit(None).cast("long"), "read_length": F.lit(None).cast("long")})
+    return registry.RAR.read(files, wanted).select("archive_key", "internal_path", F.sha2("data", 256).alias("sha256"), "error")
+
+
+@query(f"WITH {D.PAGE_ENTRIES} SELECT e.archive_key, e.internal_path, sha256(coalesce(p.html, '')) AS sha256, NULL::VARCHAR AS error FROM page_entries e JOIN pages p USING (page_id)")
+def prefetch_read(spark, sf_dir):
+    """Every file of every archive, read by spans: one sequential read a span, from which its entries are taken and the holes dropped."""
+    files = packed(spark, sf_dir)
+    return zipscan.read_spans(files, zipscan.entries(files), 16_384).select("archive_key", "internal_path", F.sha2("data", 256).alias("sha256"), "error")

@@ -58,11 +58,11 @@ layout AS (SELECT *, coalesce(sum(compressed_size + (doc_id * 37) % 400 + 40) OV
 
 
 def triggers(layout_: DataFrame) -> DataFrame:
-    """Reads of every fiftieth document."""
-    return layout_.where("doc_id % 50 = 0").select("archive_key", "internal_path", F.col("offset").alias("trigger_offset"))
+    """Reads of every document."""
+    return layout_.select("archive_key", "internal_path", F.col("offset").alias("trigger_offset"))
 
 
-TRIGGERS = LAYOUT + """, triggers AS (SELECT archive_key, regexp_replace(internal_path, '/[^/]*$', '') AS directory, "offset" AS trigger_offset FROM layout WHERE doc_id % 50 = 0)"""
+TRIGGERS = LAYOUT + """, triggers AS (SELECT archive_key, regexp_replace(internal_path, '/[^/]*$', '') AS directory, "offset" AS trigger_offset FROM layout)"""
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,24 +71,21 @@ class VirtualFileSystem:
         return True
 
     def _take(self, found: DataFrame, label: str) -> None:
-        content = self._contents(found)
-        probed = found.join(self.formats.probed(content).select(F.col("archive_key").alias("virtual_path"), "supported"), "virtual_path", "left").fillna({"supported": True})
-        none = found.limit(0)
-        self.archives = catalog.add(none, probed, self.hide).persist()
+        self.archives = catalog.add(found.limit(0), self._probed(found), self.hide).persist()
         self.label = label
 
+    def _probed(self, found: DataFrame) -> DataFrame:
+        got = self.formats.probed(self._contents(found)).select(F.col("archive_key").alias("virtual_path"), "supported")
+        return found.join(got, "virtual_path", "left").fillna({"supported": True})
+
     def unmount(self) -> None:
         if self.archives is not None:
             self.archives.unpersist()
         self.archives = None
 
     def _contents(self, archives: DataFrame) -> DataFrame:
-        """Contents of archives, read by path from where they were found."""
-        files = [r.physical_path for r in archives.select("physical_path").toLocalIterator()]
-        if not files:
-            return archives.select(F.col("virtual_path").alias("archive_key"), "format_id", F.lit(b"").alias("content")).limit(0)
-        b = self.spark.read.format("binaryFile").load(files).select(F.col("path").alias("physical_path"), "content")
-        return archives.join(b, "physical_path").select(F.col("virtual_path").alias("archive_key"), "format_id", "content")
+        """Where archives' bytes are; they are read there, by the workers, as far as a query needs them."""
+        return archives.select(F.col("virtual_path").alias("archive_key"), "format_id", "physical_path")
 
     def _mounted(self) -> DataFrame:
         if self.archives is None:
@@ -167,12 +164,17 @@ class VirtualFileSystem:
         return self._mounted().select("virtual_path", "physical_path", "size_bytes", "modified", "format_id")
 
     def add(self, found: DataFrame) -> None:
-        """Add archives (as discover() gives them), the last of one path staying."""
-        self.archives = catalog.add(self._mounted(), found.withColumn("supported", F.lit(True)), self.hide).persist()
+        """Add archives (as discover() gives them), the last of one path staying. They are probed as mounted ones are."""
+        self.archives = catalog.add(self._mounted(), self._probed(found), self.hide).persist()
 
     def remove(self, *virtual_paths: str) -> None:
         gone = self.spark.createDataFrame([(p,) for p in virtual_paths], "virtual_path string")
         self.archives = catalog.remove(self._mounted(), gone).persist()
+        self.formats.cleaned(list(virtual_paths))
+
+    def broken(self) -> DataFrame:
+        """archive_key and error of mounted archives that can't be listed to their end."""
+        return self.formats.broken(self._contents(self._mounted()))
 
     def write(self, *_, **__):
         raise AccessDenied("the file system is read-only")

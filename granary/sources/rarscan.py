@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import fields, paths
+from granary.sources.ranged import located, sources
 
 #: Magic of the two versions. Fixed values.
 RAR5, RAR4 = b"Rar!\x1a\x07\x01\x00", b"Rar!\x1a\x07\x00"
@@ -109,10 +110,10 @@ def probed(archives: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            s = [solid(c.as_py()) for c in b.column(1)]
+            s = [not isinstance(x, OSError) and solid(x.read(0, x.size)) for _, x in sources(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([not x for x in s]), pa.array(["solid archive" if x else None for x in s], pa.string())], names=["archive_key", "supported", "reason"])
 
-    return archives.select("archive_key", "content").mapInArrow(run, "archive_key string, supported boolean, reason string")
+    return located(archives).mapInArrow(run, "archive_key string, supported boolean, reason string")
 
 
 def entries(archives: DataFrame) -> DataFrame:
@@ -121,20 +122,23 @@ def entries(archives: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for key, content in zip(b.column(0).to_pylist(), b.column(1)):
-                blob, rows = content.as_py(), []
+            for key, src in sources(b):
+                rows = []
                 try:
+                    if isinstance(src, OSError):
+                        raise src
+                    blob = src.read(0, src.size)
                     if solid(blob):
                         rows.append((key, WARNING, False, len(WARNING_TEXT), len(WARNING_TEXT), 0, None, True, -1, None))
                     else:
                         rows += [(key, *h[1:5], h[7], h[8], h[5], h[6], None) for h in headers(blob) if h[0] == "file"]
-                except (ValueError, IndexError, struct.error) as e:
+                except (ValueError, IndexError, OSError, struct.error) as e:
                     rows.append((key, None, None, None, None, None, None, None, None, str(e) or "cut off"))
                 if rows:
                     kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["archive_key", "name", "is_directory", "size", "compressed_size", "crc32", "unix", "stored", "offset", "error"])
 
-    got = archives.select("archive_key", "content").mapInArrow(run, "archive_key string, name string, is_directory boolean, size long, compressed_size long, crc32 long, unix long, stored boolean, offset long, error string")
+    got = located(archives).mapInArrow(run, "archive_key string, name string, is_directory boolean, size long, compressed_size long, crc32 long, unix long, stored boolean, offset long, error string")
     path = F.regexp_replace(paths.entry_name(F.col("name")), "/+$", "")
     return got.where("error IS NOT NULL OR regexp_replace(name, '[/\\\\\\\\]+$', '') != ''").select(
         "archive_key", F.when(F.col("is_directory"), F.concat(path, F.lit("/"))).otherwise(path).alias("internal_path"), "is_directory", "size", "compressed_size", "crc32",

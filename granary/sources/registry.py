@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from granary.operators.catalog import with_parents
 from granary.functions import fields
 from granary.sources import rarscan, zipscan
+from granary.sources.ranged import located, sources
 
 COMMON = ["archive_key", "internal_path", "is_directory", "size", "attributes", "modified", "crc32"]
 
@@ -19,7 +20,8 @@ COMMON = ["archive_key", "internal_path", "is_directory", "size", "attributes",
 @dataclass(frozen=True)
 class Format:
     """extensions; entries(archives) with COMMON columns at least; read(archives, wanted) with data and error; probe(archives) with supported
-    and reason, None if all are supported; the attribute of synthesized directories."""
+    and reason, None if all are supported; the attribute of synthesized directories; broken(archives) with error; cleanup(keys), called
+    when archives go."""
 
     name: str
     extensions: tuple[str, ...]
@@ -27,6 +29,8 @@ class Format:
     read: Callable[[DataFrame, DataFrame], DataFrame]
     probe: Callable[[DataFrame], DataFrame] | None = None
     directory: int = fields.DIRECTORY
+    broken: Callable[[DataFrame], DataFrame] | None = None
+    cleanup: Callable[[list[str]], None] | None = None
 
 
 class Registry:
@@ -63,6 +67,26 @@ class Registry:
             out = e if out is None else out.unionByName(e)
         return out
 
+    def broken(self, archives: DataFrame) -> DataFrame:
+        """archive_key and error of archives that can't be listed to their end."""
+        out = archives.select("archive_key", F.lit("").alias("error")).limit(0)
+        for f in self._by_name.values():
+            if f.broken:
+                out = out.unionByName(f.broken(archives.where(F.col("format_id") == f.name)))
+        return out
+
+    def cleaned(self, keys: list[str]) -> None:
+        """Tell every format that archives are gone; one that fails doesn't keep the others from being told."""
+        failed = []
+        for f in self._by_name.values():
+            if f.cleanup:
+                try:
+                    f.cleanup(keys)
+                except Exception as e:  # noqa: BLE001
+                    failed.append(e)
+        if failed:
+            raise ExceptionGroup("cleanup", failed)
+
     def probed(self, archives: DataFrame) -> DataFrame:
         """archive_key, supported, reason."""
         out = None
@@ -78,21 +102,27 @@ def _read_rar(archives: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for key, content, asks in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+            for (key, src), asks in zip(sources(b), b.column(2)):
+                blob = None if isinstance(src, OSError) else src.read(0, src.size)
                 for a in asks.as_py():
                     data = error = None
                     try:
+                        if blob is None:
+                            raise src
                         at = a["read_at"] or 0
-                        data = rarscan.read_entry(content.as_py(), a["internal_path"])[at : None if a["read_length"] is None else at + a["read_length"]]
-                    except (ValueError, IndexError) as e:
+                        data = rarscan.read_entry(blob, a["internal_path"])[at : None if a["read_length"] is None else at + a["read_length"]]
+                    except (ValueError, IndexError, OSError) as e:
                         error = str(e)
                     yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([a["internal_path"]]), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=["archive_key", "internal_path", "data", "error"])
 
-    return archives.join(w, "archive_key").select("archive_key", "content", "wanted").mapInArrow(run, "archive_key string, internal_path string, data binary, error string")
+    return located(archives.join(w, "archive_key"), "wanted").mapInArrow(run, "archive_key string, internal_path string, data binary, error string")
 
 
-ZIP = Format("zip", (".zip",), zipscan.entries, zipscan.extracted)
-RAR = Format("rar", (".rar",), lambda a: rarscan.entries(a).where("error IS NULL"), _read_rar, rarscan.probed, fields.DIRECTORY | fields.READ_ONLY)
+ZIP = Format("zip", (".zip",), zipscan.entries, zipscan.extracted, broken=zipscan.broken)
+RAR = Format(
+    "rar", (".rar",), lambda a: rarscan.entries(a).where("error IS NULL"), _read_rar, rarscan.probed, fields.DIRECTORY | fields.READ_ONLY,
+    lambda a: rarscan.entries(a).where("error IS NOT NULL").select("archive_key", "error"),
+)
 
 
 def default() -> Registry:

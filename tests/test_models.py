@@ -97,3 +97,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(seen) == [("b.zip", "Added"), ("c.zip", "Removed")]
+
+
+def test_nearest_by_chunks_is_nearest_of_all(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [("a", f"{rnd.choice('xy')}/{k}", False, o, 5, rnd.choice([10, 10, 99])) for k, o in enumerate(rnd.sample(range(1000), 80))]
+    layout = spark.createDataFrame(rows, "archive_key string, internal_path string, is_directory boolean, offset long, compressed_size long, size long")
+    triggers = layout.select("archive_key", "internal_path", F.col("offset").alias("trigger_offset"))
+    for k in (1, 3, 100):
+        got = {}
+        for r in planning.nearest(layout, triggers, 50, k).collect():
+            got.setdefault(r.trigger_offset, []).append((r.rank, r.offset))
+        for _, path, _, at, _, _ in rows:
+            want = sorted((abs(r[3] - at), r[3]) for r in rows if r[1][0] == path[0] and r[5] <= 50)[:k]
+            assert [o for _, o in sorted(got.get(at, []))] == [o for _, o in want]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.sources import charset, discovery, rarscan, zipscan
+from granary.sources.ranged import File, Held
 
 FILES = {"a.txt": b"hello " * 50, "dir/b.bin": bytes(range(256)) * 9, "dir/empty": b"", "ünï/c.txt": b"x"}
 
@@ -46,11 +47,11 @@ def test_broken_archives(spark):
     rows = {r.archive_key: r.error for r in zipscan.raw_entries(frame(spark, short=b"PK", none=b"x" * 100, cut=good[:40] + good[60:])).where("error IS NOT NULL").collect()}
     assert set(rows) == {"short", "none", "cut"}
     with pytest.raises(zipscan.BadArchive):
-        zipscan.read_entry(good, zipscan.ENCRYPTED, 0, 1, 1, 0)
+        zipscan.read_entry(Held(good), zipscan.ENCRYPTED, 0, 1, 1, 0)
     with pytest.raises(zipscan.BadArchive):
-        zipscan.read_entry(good, 0, 99, 1, 1, 0)
+        zipscan.read_entry(Held(good), 0, 99, 1, 1, 0)
     with pytest.raises(zipscan.BadArchive):
-        zipscan.data_start(good, len(good))
+        zipscan.data_start(Held(good), len(good))
 
 
 def test_wide_fields():
@@ -114,3 +115,51 @@ def test_charset_of_an_archive_from_all_its_names(spark):
     rows = spark.createDataFrame([("a.zip", bytearray(n.encode("cp1251"))) for n in names], "archive_key string, n binary")
     got = charset.decoded(rows, "archive_key", "n", F.lit(False)).collect()
     assert sorted(r.name for r in got) == sorted(names)
+
+
+def test_listing_a_large_archive_reads_its_ends_alone(spark, tmp_path):
+    """A sparse file of 5 GB with 64-bit records: 5,000 entries, of which the last lies beyond 4 GB."""
+    path, far = f"{tmp_path}/big.zip", 5_000_000_000
+    names = [f"d/f{k:05}.txt".encode() for k in range(5000)]
+    data = b"at the end"
+    local = zipscan.LOCAL + struct.pack("<5H3L2H", 45, 0, 0, 0, 33, 0, len(data), len(data), len(names[-1]), 0) + names[-1]
+    directory = b""
+    for k, n in enumerate(names):
+        wide = struct.pack("<2HQ", 1, 8, far) if n == names[-1] else b""
+        directory += zipscan.CENTRAL + struct.pack("<6H3L5H2L", 45, 45, 0, 0, 0, 33, 0, len(data), len(data), len(n), len(wide), 0, 0, 0, 0, 0xFFFFFFFF if wide else k) + n + wide
+    with open(path, "wb") as f:
+        f.seek(far)
+        f.write(local + data)
+        at = f.tell()
+        f.write(directory)
+        end64 = f.tell()
+        f.write(zipscan.END64 + struct.pack("<Q2H2L4Q", 44, 45, 45, 0, 0, 5000, 5000, len(directory), at) + zipscan.LOCATOR64 + struct.pack("<LQL", 0, end64, 1))
+        f.write(zipscan.END + struct.pack("<4H2LH", 0, 0, 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF, 0))
+    src = File("file:" + path)
+    listed = list(zipscan.central_directory(src, zipscan.end_record(src)))
+    assert [e[0] for e in listed] == names and listed[-1][-1] == far and src.read_bytes < 1_000_000
+    archives = spark.createDataFrame([("big", path), ("gone", f"{tmp_path}/no.zip")], "archive_key string, physical_path string")
+    e = zipscan.entries(archives)
+    w = e.where("internal_path = 'd/f04999.txt'").withColumns({"read_at": F.lit(3).cast("long"), "read_length": F.lit(3).cast("long")})
+    assert e.count() == 5000 and bytes(zipscan.extracted(archives, w).first().data) == b"the"
+    assert [r.archive_key for r in zipscan.broken(archives).collect()] == ["gone"]
+
+
+@pytest.mark.parametrize("step", [1, 7, 1000])
+def test_streams_in_pieces(step):
+    for method in (zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED):
+        src = Held(made(method))
+        for e in zipscan.central_directory(src, zipscan.end_record(src), step=60):
+            want = FILES.get(e[0].decode("utf-8"), b"")
+            for at, most in ((0, None), (5, 100), (2300, 50), (9999, 1)):
+                pieces = list(zipscan.stream(src, e[2], e[3], e[7], e[8], e[10], at, most, step))
+                assert b"".join(pieces) == want[at : None if most is None else at + most] and all(len(p) <= step for p in pieces)
+
+
+def test_spans_are_read_once(spark):
+    files = frame(spark, one=made(), two=made(zipfile.ZIP_STORED))
+    for most in (1, 300, 10**6):
+        got = {(r.archive_key, r.internal_path): bytes(r.data) for r in zipscan.read_spans(files, zipscan.entries(files), most).collect()}
+        assert got == {(k, n): d for k in ("one", "two") for n, d in FILES.items()}
+    asks = [{"offset": o, "compressed_size": 10} for o in (0, 100, 5000)]
+    assert [(low, [a["offset"] for a in some]) for low, _, some in zipscan.spans(asks, 1000, 50)] == [(0, [0, 100]), (5000, [5000])]
