@@ -3,7 +3,13 @@
 A text is the subword ids of its words, and an end. Every id of the vocabulary and the end belong to one of CLASSES classes, cut
 from the ids in order of whether they end a word and how often the training texts have them. One layer of masked self-attention over the
 ids before, by their classes, gives the distribution of the next id's class; an id's probability is P(class | ids before) *
-P(id | class), the second from the training texts' counts. Both sum to 1, so the score is the log probability of the text.
+P(id | class), the second from the training texts' counts. Both sum to 1.
+
+A word comes about in one of two ways, and its probability is the sum of both. It is spelled, id by id as above, each id of it
+being the word's last or not with the share that id has of this in the training texts. Or it is a word of the training texts,
+taken whole: P(class of its first id | ids before) * its share of the training words whose first id is of that class. How often
+words are spelled is the Good-Turing estimate of new words: the share of training words that occur once. The words and the end
+that may come next have a sum of at most 1, so the score is a log probability of the text.
 
 Queries and keys depend on classes alone, and what attention adds for their distance is a learned bias, so the scores of all pairs
 of classes are a table, made once a batch.
@@ -36,8 +42,8 @@ from granary.llm.tokens import vocabulary, vocabulary_path
 CLASSES = 64
 WIDTH = 16
 LENGTH, OVERLAP = 32, 8
-#: Rounds of averaging; groups in which tasks' models and counts are summed.
-ROUNDS, SUMS = 1, 16
+#: Rounds of averaging; groups in which tasks' models and counts are summed, and then those groups.
+ROUNDS, SUMS = 1, (4096, 16)
 #: Windows in a step of training and in a step of scoring.
 BATCH, SCORED = 128, 96
 RATE = 0.02
@@ -155,6 +161,24 @@ class Classes:
         self.log_mass = np.log(np.maximum(total, 1e-9) / total.sum())
 
 
+class Spelling:
+    """Log10 probabilities that a word ends with an id, and that it goes on; the log10 number of training words by the class of
+    their first id; and how often words are spelled (new) or taken whole."""
+
+    def __init__(self, classes: Classes, every: np.ndarray, first: np.ndarray, last: np.ndarray, n_words: int, n_once: int):
+        """every, first, last: how often training texts have each id, as a word's first and as a word's last."""
+        self.stop, self.go = np.log10(last + SMOOTH) - np.log10(every + 2 * SMOOTH), np.log10(every - last + SMOOTH) - np.log10(every + 2 * SMOOTH)
+        self.mass = np.log10(np.maximum(np.bincount(classes.of, first, CLASSES), 1))
+        self.new = (n_once + 1) / (n_words + 2)
+
+    def tails(self, sub: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """For distinct words of n ids each: that they go on to their last id and end there."""
+        out = self.go[sub]
+        last = (np.cumsum(n) - 1)[n > 0]
+        out[last] = self.stop[sub[last]]
+        return np.bincount(np.repeat(np.arange(len(n)), n), out, len(n))
+
+
 #: The model's arrays, in one vector.
 SHAPES = {"embed": (CLASSES + 1, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "near": (LENGTH,), "out": (WIDTH, CLASSES), "bias": (CLASSES,)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
@@ -314,19 +338,19 @@ SUMS_DDL = "part int, seen long, total binary"
 
 
 def _sums_row(seen: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS], pa.int32()), pa.array([seen], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["part", "seen", "total"])
+    return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS[0]], pa.int32()), pa.array([seen], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["part", "seen", "total"])
 
 
 def _summed(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """The tasks' vectors, added up in SUMS groups."""
+    """The tasks' vectors, added up in groups, and those in fewer, so that no task adds up many."""
 
     def total(t: pa.Table) -> pa.Table:
         flat = 0.0
         for x in t.column("total"):
             flat = flat + np.frombuffer(x.as_py(), dtype=np.float64)
-        return pa.table({"part": pa.array(t.column("part").to_pylist()[:1], pa.int32()), "seen": pa.array([sum(t.column("seen").to_pylist())]), "total": pa.array([flat.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([p % SUMS[1] for p in t.column("part").to_pylist()[:1]], pa.int32()), "seen": pa.array([sum(t.column("seen").to_pylist())]), "total": pa.array([flat.tobytes()], pa.binary())})
 
-    return [(r["seen"], np.frombuffer(r["total"], dtype=np.float64)) for r in rows.groupBy("part").applyInArrow(total, SUMS_DDL).collect()]
+    return [(r["seen"], np.frombuffer(r["total"], dtype=np.float64)) for r in rows.groupBy("part").applyInArrow(total, SUMS_DDL).groupBy("part").applyInArrow(total, SUMS_DDL).collect()]
 
 
 def _joined(words: list[bytes]) -> bytes:
@@ -346,10 +370,10 @@ def _added(t: pa.Table) -> dict[bytes, int]:
     return total
 
 
-def counted(blocks: DataFrame, part_words: int = PART_WORDS, group_blocks: int = GROUP_BLOCKS) -> tuple[DataFrame, int, int]:
+def counted(blocks: DataFrame, part_words: int = PART_WORDS, group_blocks: int = GROUP_BLOCKS) -> tuple[DataFrame, int, int, int]:
     """For blocks (block, n_words, words, counts: the block's distinct words in order of their hash and how often its training texts
     have them): rows (block, part, counts of the whole corpus for the words of the part, in the same order); and the number of
-    words and of distinct words of all training texts."""
+    words, of distinct words and of words that occur once in all training texts."""
     sums = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
     n_parts, n_groups = max(1, -(-sums[0] // part_words)), max(1, -(-sums[1] // group_blocks))
     fences = [(k << 64) // n_parts for k in range(1, n_parts)]
@@ -374,15 +398,15 @@ def counted(blocks: DataFrame, part_words: int = PART_WORDS, group_blocks: int =
         c = np.fromiter(total.values(), np.int64, len(total))
         return pa.table({
             "part": pa.array(t.column("part").to_pylist()[:1], pa.int64()), "words": pa.array([_joined(list(total))], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary()),
-            "n": pa.array([int(c.sum())]), "v": pa.array([len(c)]),
+            "n": pa.array([int(c.sum())]), "v": pa.array([len(c)]), "once": pa.array([int((c == 1).sum())]),
         })
 
-    ddl = "part long, words binary, counts binary, n long, v long"
+    ddl = "part long, words binary, counts binary, n long, v long, once long"
     totals = asked.select("part", "group", "words", "counts").groupBy("part", "group").applyInArrow(merged, ddl)
     if n_groups > 1:
         totals = totals.groupBy("part").applyInArrow(merged, ddl)
     totals = written(totals, "totals")
-    n, v = totals.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
+    n, v, once = totals.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "once")]).first()
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
         total = _added(right)
@@ -396,7 +420,7 @@ def counted(blocks: DataFrame, part_words: int = PART_WORDS, group_blocks: int =
     out = asked.select("part", "group", "block", "words").groupBy("part", "group").cogroup(sent.groupBy("part", "group")).applyInArrow(answered, "block long, part long, counts binary")
     out = written(out, "answers")
     forget(asked, totals)
-    return out, n, v
+    return out, n, v, once
 
 
 def log10_ids(t: Text, classes: Classes, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -418,10 +442,35 @@ def log10_ids(t: Text, classes: Classes, model: np.ndarray) -> tuple[np.ndarray,
     return out / np.log(10), starts
 
 
+def log10_words(t: Text, classes: Classes, spelling: Spelling, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The log10 probability of every word of a block's documents, from those of its ids and the counts of its distinct words in the
+    training texts. Words without ids are not seen by the model and have 0."""
+    n = t.n_sub[t.of]
+    inner = np.ones(len(ids), dtype=bool)
+    inner[np.append(starts[1:], len(ids))[: len(starts)] - 1] = False  # the ends
+    own = ids[inner]
+    out = np.bincount(np.repeat(np.arange(len(n)), n), own, len(n))
+    begin = np.cumsum(t.n_sub) - t.n_sub
+    some, known = n > 0, counts > 0
+    each = spelling.tails(t.sub, t.n_sub) + np.log10(spelling.new)
+    out[some] += each[t.of[some]]
+    # What a word taken whole has in place of the share of its first id.
+    whole = np.full(len(counts), -np.inf)
+    known &= t.n_sub > 0
+    first = t.sub[begin[known]]
+    whole[known] = np.log10(counts[known]) - spelling.mass[classes.of[first]] - classes.share[first] / np.log(10) + np.log10(1 - spelling.new)
+    at = (np.cumsum(n) - n)[some]
+    taken = own[at] + whole[t.of[some]]
+    high = np.maximum(out[some], taken)
+    out[some] = high + np.log10(10 ** (out[some] - high) + 10 ** (taken - high))
+    return out
+
+
 def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and n_ids of every document.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_ids and id_score of every document.
 
-    score is the log10 probability of the text's n_ids subword ids, its end included. Null and empty texts are an end alone; a
+    score is the log10 probability of the text's words and its end; id_score is that of its n_ids subword ids by attention alone, its
+    end included. Null and empty texts are an end alone; a
     very long text is scored whole, in windows, and makes a block of its own; null ids are trained on; repeated rows are documents of
     their own; without training texts every token is unknown; an empty table gives an empty result; columns beside doc_id and text
     are not read.
@@ -433,15 +482,17 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
     def blocks(batches):
         """A row for each block, then one with this task's counts of ids and its number of training texts."""
         names = ["block", "texts", "n_words", "words", "counts", "seen", "total"]
-        every, trained = np.zeros(vocab + 1, dtype=np.int64), 0
+        every, trained = np.zeros((3, vocab + 1), dtype=np.int64), 0  # of ids, of words' first ids, of their last
         for k, ids, texts in pieces(batches, block_bytes):
             t = Text(ids, texts, path)
             c = np.bincount(t.of[np.repeat(~t.held, t.n)], minlength=len(t.words))
-            every[:vocab] += np.bincount(t.sub, np.repeat(c, t.n_sub), vocab).astype(np.int64)
+            stops, some = np.cumsum(t.n_sub), t.n_sub > 0
+            for row, at, n in ((0, slice(None), np.repeat(c, t.n_sub)), (1, (stops - t.n_sub)[some], c[some]), (2, stops[some] - 1, c[some])):
+                every[row, :vocab] += np.bincount(t.sub[at], n, vocab).astype(np.int64)
             trained += int((~t.held).sum())
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k]), pa.array([t.packed()], pa.binary()), pa.array([len(t.words)]), pa.array([_joined(t.words)], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary())], names=names)
-        every[vocab] = trained
+        every[0, vocab] = trained
         if trained:
             blob = zstandard.ZstdCompressor(level=1).compress(every.astype("<i8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([trained]), pa.array([blob], pa.binary())], names=names)
@@ -455,12 +506,14 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
             for n, x in zip(b.column(0).to_pylist(), b.column(1)):
                 yield _sums_row(n, np.frombuffer(z.decompress(x.as_py()), dtype="<i8"))
 
-    sums = _summed(made.where("seen IS NOT NULL").select("seen", "total").mapInArrow(widened, SUMS_DDL))  # at most SUMS rows of the vocabulary's size
+    sums = _summed(made.where("seen IS NOT NULL").select("seen", "total").mapInArrow(widened, SUMS_DDL))  # at most SUMS[1] rows of thrice the vocabulary's size
     n_docs = sum(n for n, _ in sums)
-    classes = Classes(sum((x for _, x in sums), np.zeros(vocab + 1)), word_ends)
+    every, first, last = sum((x for _, x in sums), np.zeros(3 * (vocab + 1))).reshape(3, -1)
+    classes = Classes(every, word_ends)
     texts = made.where("texts IS NOT NULL")
     model = train(texts.select("texts"), classes, fresh(classes.log_mass), rounds)
-    answers, n_words, v_words = counted(texts.select("block", "n_words", "words", "counts"))
+    answers, n_words, v_words, n_once = counted(texts.select("block", "n_words", "words", "counts"))
+    spelling = Spelling(classes, every, first, last, n_words, n_once)
     n_all, v_all = n_words + n_docs, v_words + (n_docs > 0)
     whole = np.log10(n_all + SMOOTH * (v_all + 1))
 
@@ -480,11 +533,15 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
             base[some] = np.add.reduceat(each, stops[:-1][some])
         base += np.log10(n_docs + SMOOTH) - (t.n + 1) * whole
         ids, starts = log10_ids(t, classes, model)
+        ends = np.append(starts[1:], len(ids))
+        total = ids[ends - 1]
+        if len(some):
+            total[some] += np.add.reduceat(log10_words(t, classes, spelling, ids, starts, c), stops[:-1][some])
         return pa.table({
             "doc_id": pa.array(t.ids, mask=t.ids == NO_ID), "held_out": pa.array(t.held), "n_tokens": pa.array(t.n + 1), "n_known": pa.array(known + (n_docs > 0)), "train_tokens": pa.array(np.full(len(t.n), n_all)),
-            "base_score": pa.array(base), "score": pa.array(np.add.reduceat(ids, starts)), "n_ids": pa.array(np.diff(np.append(starts, len(ids)))),
+            "base_score": pa.array(base), "score": pa.array(total), "n_ids": pa.array(ends - starts), "id_score": pa.array(np.add.reduceat(ids, starts)),
         })
 
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_ids long"
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_ids long, id_score double"
     empty = empty_table(schema)
     return texts.select("block", "texts").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(scored, schema)

@@ -77,7 +77,7 @@ def test_base_scores(docs, corpus, odd, none, monkeypatch):
             assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held(d), len(ws), sum(c[w] > 0 for w in ws), n)
             assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel_tol=1e-9)
     rows = lmscore.score(odd).collect()
-    assert len(rows) == 5 and all(r.score < 0 for r in rows) and lmscore.score(none).count() == 0
+    assert len(rows) == 5 and all(r.score < 0 and r.id_score < 0 for r in rows) and lmscore.score(none).count() == 0
 
 
 def a_model(seed=0, vocab=300):
@@ -129,6 +129,50 @@ def test_scores_against_a_plain_loop():
         at += n
 
 
+def test_words_against_a_plain_loop():
+    """Each word is spelled or taken whole; all words that may come next have at most 1 together."""
+    classes, flat, counts = a_model(1)
+    r = np.random.default_rng(6)
+    t = lmscore.Text.__new__(lmscore.Text)
+    word = [[], *([k] for k in range(30)), *(r.integers(0, 300, r.integers(2, 5)).tolist() for _ in range(30))]
+    c = np.append(r.integers(0, 4, 60), 0)
+    t.n_sub, t.sub = np.array([len(w) for w in word]), np.array([k for w in word for k in w], dtype=np.uint32)
+    t.n = np.array([0, 61, 40, 0, 7, 1])
+    t.of = np.concatenate([np.arange(61), r.integers(0, 61, 48)])
+    every, first, last = np.zeros((3, 301))
+    for w, n in zip(word, c):
+        for k in w:
+            every[k] += n
+        if w:
+            first[w[0]] += n
+            last[w[-1]] += n
+    spelling = lmscore.Spelling(classes, every, first, last, int(c.sum()), int((c == 1).sum()))
+    ids, starts = lmscore.log10_ids(t, classes, flat)
+    got = lmscore.log10_words(t, classes, spelling, ids, starts, c)
+    new, at, place = (int((c == 1).sum()) + 1) / (int(c.sum()) + 2), 0, 0
+    for n in t.n:
+        for k in t.of[at : at + n]:
+            p, w = 10 ** ids[place : place + len(word[k])], word[k]
+            place += len(w)
+            if w:
+                stops = [(last[i] + 0.1) / (every[i] + 0.2) for i in w]
+                spelled = np.prod(p) * np.prod([1 - x for x in stops[:-1]]) * stops[-1]
+                of_class = sum(n for v, n in zip(word, c) if v and classes.of[v[0]] == classes.of[w[0]])
+                whole = p[0] / math.exp(classes.share[w[0]]) * c[k] / of_class if c[k] else 0
+                assert math.isclose(got[at], math.log10(new * spelled + (1 - new) * whole), abs_tol=1e-9)
+            else:
+                assert got[at] == 0
+            at += 1
+        place += 1
+    assert at == len(got) and place == len(ids)
+    _, all_first = plain_log10(classes, flat, [5, 6, 300])
+    stop = (last + 0.1) / (every + 0.2)
+    by_class = np.bincount(classes.of, all_first, lmscore.CLASSES)
+    taken = sum(by_class[classes.of[w[0]]] * n / max(1, np.bincount(classes.of, first, lmscore.CLASSES)[classes.of[w[0]]]) for w, n in zip(word, c) if w)
+    assert np.allclose(10**spelling.stop, stop) and np.allclose(10**spelling.stop + 10**spelling.go, 1)
+    assert taken <= 1 - by_class[0] + 1e-6 and all_first[-1] + new * (1 - all_first[-1]) + (1 - new) * taken <= 1 + 1e-6
+
+
 def test_gradients():
     flat, r = lmscore.fresh(np.zeros(lmscore.CLASSES)), np.random.default_rng(1)
     flat += (r.standard_normal(flat.shape) * 0.1).astype(np.float32)
