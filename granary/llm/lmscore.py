@@ -5,8 +5,9 @@ from the ids in order of whether they end a word and how often the training text
 ids before, by their classes, gives the distribution of the next id's class; an id's probability is P(class | ids before) *
 P(id | class), the second from the training texts' counts. Both sum to 1.
 
-A word comes about in one of two ways, and its probability is the sum of both. It is spelled, id by id as above, each id of it
-being the word's last or not with the share that id has of this in the training texts. Or it is a word of the training texts,
+A word comes about in one of two ways, and its probability is the sum of both. It is spelled id by id, each id of it being the
+word's last or not with the share that id has of this in the training texts; the first id has the probability above, and so have
+the others, mixed with how often the training texts have that id after the one before inside a word. Or the word is a word of the training texts,
 taken whole: P(class of its first id | ids before) * its share of the training words whose first id is of that class. How often
 words are spelled is the Good-Turing estimate of new words: the share of training words that occur once. The words and the end
 that may come next have a sum of at most 1, so the score is a log probability of the text.
@@ -18,8 +19,9 @@ Texts are scored in windows of LENGTH ids that overlap by OVERLAP; the overlap i
 Counts come from all training texts. The model is trained on all windows of the training texts, each id once a round, by
 each task on its own, and averaged after every round.
 
-Words are counted exactly, by their bytes. Each block of documents asks about each of its distinct words once; the words of all
-blocks are dealt by hash into parts of bounded size, added up there, and the counts go back to the blocks.
+Words are counted exactly, by their bytes, and so are pairs of ids inside words. Each block of documents asks about each of its
+distinct words and pairs once; those of all blocks are dealt by hash into parts of bounded size, added up there, and the counts go
+back to the blocks.
 """
 
 from __future__ import annotations
@@ -49,8 +51,10 @@ BATCH, SCORED = 128, 96
 RATE = 0.02
 SMOOTH = 0.1
 BLOCK_BYTES = 2_000_000
-#: Distinct words of blocks in a part, on average, and blocks whose words meet in one task. More blocks are added up in groups first.
+#: Distinct words or pairs of blocks in a part, on average, and blocks whose words meet in one task. More blocks are added up in groups first.
 PART_WORDS, GROUP_BLOCKS = 500_000, 4096
+#: Pairs of ids are dealt by their product with this odd number, modulo 2 ** 64.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
 START = CLASSES  # the class before the first id
 
 
@@ -105,6 +109,15 @@ class Text:
         self.ids = np.array(ids, dtype=np.int64)
         self.held = np.array([held_out(d) for d in ids], dtype=bool)
 
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct pairs of ids inside distinct words, as numbers in order; for each id of the words after another its pair, and
+        its place."""
+        inner = np.ones(len(self.sub), dtype=bool)
+        inner[(np.cumsum(self.n_sub) - self.n_sub)[self.n_sub > 0]] = False
+        inner = np.flatnonzero(inner)
+        both = (self.sub[inner - 1].astype(np.uint64) << np.uint64(32)) | self.sub[inner].astype(np.uint64)
+        return *np.unique(both * SPREAD, return_inverse=True), inner
+
     def packed(self) -> bytes:
         """What scoring needs of the texts: no words, but places and ids."""
         common = np.argsort(-np.bincount(self.of, minlength=len(self.n_sub)), kind="stable")
@@ -167,10 +180,20 @@ class Spelling:
 
     def __init__(self, classes: Classes, every: np.ndarray, first: np.ndarray, last: np.ndarray, n_words: int, n_once: int):
         """every, first, last: how often training texts have each id, as a word's first and as a word's last."""
+        self.follows = every - last  # ids inside words that come after each id
         self.stop, self.go = np.log10(last + SMOOTH) - np.log10(every + 2 * SMOOTH), np.log10(every - last + SMOOTH) - np.log10(every + 2 * SMOOTH)
         self.mass = np.log10(np.maximum(np.bincount(classes.of, first, CLASSES), 1))
         self.new = (n_once + 1) / (n_words + 2)
 
+    def mixed(self, sub: np.ndarray, inner: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For the ids of distinct words, where inner are those after another id and pairs how often training texts have them so: what
+        the counts say of the id, and the weight of what attention says. The weight falls as the id before is seen more often."""
+        seen, rest = np.zeros(len(sub)), np.ones(len(sub))
+        n = self.follows[sub[inner - 1]]
+        a = 1 + np.sqrt(n)
+        seen[inner], rest[inner] = pairs / (n + a), a / (n + a)
+        return seen, rest
+
     def tails(self, sub: np.ndarray, n: np.ndarray) -> np.ndarray:
         """For distinct words of n ids each: that they go on to their last id and end there."""
         out = self.go[sub]
@@ -362,62 +385,110 @@ def _cut(blob: bytes) -> list[bytes]:
     return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
 
 
-def _added(t: pa.Table) -> dict[bytes, int]:
-    total: dict[bytes, int] = {}
-    for words, counts in zip(t.column("words"), t.column("counts")):
-        for w, c in zip(_cut(words.as_py()), np.frombuffer(counts.as_py(), dtype=np.int64).tolist()):
-            total[w] = total.get(w, 0) + c
-    return total
+class WordItems:
+    """Words as what is counted."""
+
+    cut, joined = staticmethod(_cut), staticmethod(_joined)
+
+    @staticmethod
+    def keys(items: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
+
+    @staticmethod
+    def added(rows: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
+        total: dict[bytes, int] = {}
+        for items, counts in rows:
+            for w, c in zip(items, counts.tolist()):
+                if c:
+                    total[w] = total.get(w, 0) + c
+        return list(total), np.fromiter(total.values(), np.int64, len(total))
+
+    @staticmethod
+    def finder(items: list[bytes], counts: np.ndarray):
+        total = dict(zip(items, counts.tolist()))
+        return lambda asked: np.fromiter((total.get(x, 0) for x in asked), np.int64, len(asked))
+
+
+class PairItems:
+    """Pairs of ids, as numbers, as what is counted."""
+
+    @staticmethod
+    def cut(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, dtype="<u8")
+
+    @staticmethod
+    def joined(items: np.ndarray) -> bytes:
+        return np.asarray(items).astype("<u8").tobytes()
+
+    @staticmethod
+    def keys(items: np.ndarray) -> np.ndarray:
+        return items
+
+    @staticmethod
+    def added(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        items, counts = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
+        items, counts = items[counts > 0], counts[counts > 0]
+        by = np.argsort(items, kind="stable")
+        items, counts = items[by], counts[by]
+        first = np.flatnonzero(np.append(True, items[1:] != items[:-1])[: len(items)])
+        return items[first], np.add.reduceat(counts, first) if len(first) else counts
+
+    @staticmethod
+    def finder(items: np.ndarray, counts: np.ndarray):
+        def find(asked: np.ndarray) -> np.ndarray:
+            at = np.minimum(np.searchsorted(items, asked), max(0, len(items) - 1))
+            return np.where(items[at] == asked, counts[at], 0) if len(items) else np.zeros(len(asked), dtype=np.int64)
+
+        return find
+
+
+def _added(t: pa.Table, kind):
+    return kind.added([(kind.cut(x.as_py()), np.frombuffer(c.as_py(), dtype=np.int64)) for x, c in zip(t.column("items"), t.column("counts"))])
 
 
-def counted(blocks: DataFrame, part_words: int = PART_WORDS, group_blocks: int = GROUP_BLOCKS) -> tuple[DataFrame, int, int, int]:
-    """For blocks (block, n_words, words, counts: the block's distinct words in order of their hash and how often its training texts
-    have them): rows (block, part, counts of the whole corpus for the words of the part, in the same order); and the number of
-    words, of distinct words and of words that occur once in all training texts."""
-    sums = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.count("*")).first()
+def counted(blocks: DataFrame, kind, part_words: int = PART_WORDS, group_blocks: int = GROUP_BLOCKS) -> tuple[DataFrame, int, int, int]:
+    """For blocks (block, n, items, counts: the block's distinct items in order of their keys and how often its training texts
+    have them): rows (block, part, counts of the whole corpus for the items of the part, in the same order); and the number of
+    items, of distinct items and of items that occur once in all training texts."""
+    sums = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_parts, n_groups = max(1, -(-sums[0] // part_words)), max(1, -(-sums[1] // group_blocks))
     fences = [(k << 64) // n_parts for k in range(1, n_parts)]
 
     def dealt(batches):
         for b in batches:
-            for block, words, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                w, c = _cut(words.as_py()), np.frombuffer(counts.as_py(), dtype=np.int64)
-                key = np.fromiter(map(xxhash.xxh3_64_intdigest, w), np.uint64, len(w))
-                cuts = [0, *np.searchsorted(key, np.array(fences, dtype=np.uint64)).tolist(), len(w)]
+            for block, blob, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                x, c = kind.cut(blob.as_py()), np.frombuffer(counts.as_py(), dtype=np.int64)
+                cuts = [0, *np.searchsorted(kind.keys(x), np.array(fences, dtype=np.uint64)).tolist(), len(x)]
                 rows = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _, _ in rows], pa.int64()), pa.array([xxhash.xxh3_64_intdigest(str(block)) % n_groups] * len(rows), pa.int64()), pa.array([block] * len(rows), pa.int64()),
-                     pa.array([_joined(w[lo:hi]) for _, lo, hi in rows], pa.binary()), pa.array([c[lo:hi].tobytes() for _, lo, hi in rows], pa.binary())],
-                    names=["part", "group", "block", "words", "counts"],
+                     pa.array([kind.joined(x[lo:hi]) for _, lo, hi in rows], pa.binary()), pa.array([c[lo:hi].tobytes() for _, lo, hi in rows], pa.binary())],
+                    names=["part", "group", "block", "items", "counts"],
                 )
 
-    asked = written(blocks.where("n_words > 0").select("block", "words", "counts").mapInArrow(dealt, "part long, group long, block long, words binary, counts binary"), "asked")
+    asked = written(blocks.where("n > 0").select("block", "items", "counts").mapInArrow(dealt, "part long, group long, block long, items binary, counts binary"), "asked")
 
     def merged(t: pa.Table) -> pa.Table:
-        total = {w: c for w, c in _added(t).items() if c}
-        c = np.fromiter(total.values(), np.int64, len(total))
+        items, c = _added(t, kind)
         return pa.table({
-            "part": pa.array(t.column("part").to_pylist()[:1], pa.int64()), "words": pa.array([_joined(list(total))], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary()),
+            "part": pa.array(t.column("part").to_pylist()[:1], pa.int64()), "items": pa.array([kind.joined(items)], pa.binary()), "counts": pa.array([c.tobytes()], pa.binary()),
             "n": pa.array([int(c.sum())]), "v": pa.array([len(c)]), "once": pa.array([int((c == 1).sum())]),
         })
 
-    ddl = "part long, words binary, counts binary, n long, v long, once long"
-    totals = asked.select("part", "group", "words", "counts").groupBy("part", "group").applyInArrow(merged, ddl)
+    ddl = "part long, items binary, counts binary, n long, v long, once long"
+    totals = asked.select("part", "group", "items", "counts").groupBy("part", "group").applyInArrow(merged, ddl)
     if n_groups > 1:
         totals = totals.groupBy("part").applyInArrow(merged, ddl)
     totals = written(totals, "totals")
     n, v, once = totals.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "once")]).first()
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        total = _added(right)
-        got = []
-        for words in left.column("words"):
-            w = _cut(words.as_py())
-            got.append(np.fromiter((total.get(x, 0) for x in w), np.int64, len(w)).tobytes())
+        find = kind.finder(*_added(right, kind))
+        got = [find(kind.cut(x.as_py())).astype(np.int64).tobytes() for x in left.column("items")]
         return pa.table({"block": left.column("block"), "part": left.column("part"), "counts": pa.array(got, pa.binary())})
 
-    sent = totals.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("group"), "words", "counts")
-    out = asked.select("part", "group", "block", "words").groupBy("part", "group").cogroup(sent.groupBy("part", "group")).applyInArrow(answered, "block long, part long, counts binary")
+    sent = totals.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("group"), "items", "counts")
+    out = asked.select("part", "group", "block", "items").groupBy("part", "group").cogroup(sent.groupBy("part", "group")).applyInArrow(answered, "block long, part long, counts binary")
     out = written(out, "answers")
     forget(asked, totals)
     return out, n, v, once
@@ -442,15 +513,17 @@ def log10_ids(t: Text, classes: Classes, model: np.ndarray) -> tuple[np.ndarray,
     return out / np.log(10), starts
 
 
-def log10_words(t: Text, classes: Classes, spelling: Spelling, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The log10 probability of every word of a block's documents, from those of its ids and the counts of its distinct words in the
-    training texts. Words without ids are not seen by the model and have 0."""
+def log10_words(t: Text, classes: Classes, spelling: Spelling, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The log10 probability of every word of a block's documents, from those of its ids and the counts of its distinct words and of
+    their distinct pairs of ids in the training texts. Words without ids are not seen by the model and have 0."""
     n = t.n_sub[t.of]
     inner = np.ones(len(ids), dtype=bool)
     inner[np.append(starts[1:], len(ids))[: len(starts)] - 1] = False  # the ends
     own = ids[inner]
-    out = np.bincount(np.repeat(np.arange(len(n)), n), own, len(n))
     begin = np.cumsum(t.n_sub) - t.n_sub
+    _, pair, after = t.pairs()
+    seen, rest = (_spread(x, begin[t.of], n) for x in spelling.mixed(t.sub, after, pairs[pair]))
+    out = np.bincount(np.repeat(np.arange(len(n)), n), np.log10(seen + rest * 10**own), len(n))
     some, known = n > 0, counts > 0
     each = spelling.tails(t.sub, t.n_sub) + np.log10(spelling.new)
     out[some] += each[t.of[some]]
@@ -481,7 +554,8 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
 
     def blocks(batches):
         """A row for each block, then one with this task's counts of ids and its number of training texts."""
-        names = ["block", "texts", "n_words", "words", "counts", "seen", "total"]
+        names = ["block", "texts", "n_words", "words", "counts", "n_pairs", "pairs", "times", "seen", "total"]
+        schema = pa.schema([(x, pa.binary() if x in ("texts", "words", "counts", "pairs", "times", "total") else pa.int64()) for x in names])
         every, trained = np.zeros((3, vocab + 1), dtype=np.int64), 0  # of ids, of words' first ids, of their last
         for k, ids, texts in pieces(batches, block_bytes):
             t = Text(ids, texts, path)
@@ -490,15 +564,17 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
             for row, at, n in ((0, slice(None), np.repeat(c, t.n_sub)), (1, (stops - t.n_sub)[some], c[some]), (2, stops[some] - 1, c[some])):
                 every[row, :vocab] += np.bincount(t.sub[at], n, vocab).astype(np.int64)
             trained += int((~t.held).sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k]), pa.array([t.packed()], pa.binary()), pa.array([len(t.words)]), pa.array([_joined(t.words)], pa.binary()), pa.array([c.astype(np.int64).tobytes()], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary())], names=names)
+            two, pair, after = t.pairs()
+            times = np.bincount(pair, np.repeat(c, t.n_sub)[after], len(two)).astype(np.int64)
+            row = [k, t.packed(), len(t.words), _joined(t.words), c.astype(np.int64).tobytes(), len(two), PairItems.joined(two), times.tobytes(), None, None]
+            yield pa.RecordBatch.from_pylist([dict(zip(names, row))], schema)
         every[0, vocab] = trained
         if trained:
             blob = zstandard.ZstdCompressor(level=1).compress(every.astype("<i8").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.int64()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([trained]), pa.array([blob], pa.binary())], names=names)
+            yield pa.RecordBatch.from_pylist([{"seen": trained, "total": blob}], schema)
 
     rows = docs.select(F.col("doc_id").cast("long"), text_bytes(F.col("text")).alias("text"))
-    made = written(rows.mapInArrow(blocks, "block long, texts binary, n_words long, words binary, counts binary, seen long, total binary"), "words")
+    made = written(rows.mapInArrow(blocks, "block long, texts binary, n_words long, words binary, counts binary, n_pairs long, pairs binary, times binary, seen long, total binary"), "words")
 
     def widened(batches):
         z = zstandard.ZstdDecompressor()
@@ -512,7 +588,9 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
     classes = Classes(every, word_ends)
     texts = made.where("texts IS NOT NULL")
     model = train(texts.select("texts"), classes, fresh(classes.log_mass), rounds)
-    answers, n_words, v_words, n_once = counted(texts.select("block", "n_words", "words", "counts"))
+    answers, n_words, v_words, n_once = counted(texts.selectExpr("block", "n_words n", "words items", "counts"), WordItems)
+    paired = counted(texts.selectExpr("block", "n_pairs n", "pairs items", "times counts"), PairItems)[0]
+    answers = answers.withColumn("kind", F.lit(0)).unionByName(paired.withColumn("kind", F.lit(1)))
     spelling = Spelling(classes, every, first, last, n_words, n_once)
     n_all, v_all = n_words + n_docs, v_words + (n_docs > 0)
     whole = np.log10(n_all + SMOOTH * (v_all + 1))
@@ -521,8 +599,8 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
         if not left.num_rows:
             return empty
         t = Text.unpacked(left.column("texts")[0].as_py())
-        got = sorted(zip(right.column("part").to_pylist(), right.column("counts")), key=lambda x: x[0]) if right.num_rows else []
-        c = np.frombuffer(b"".join(x.as_py() for _, x in got), dtype=np.int64)
+        got = sorted(zip(right.column("kind").to_pylist(), right.column("part").to_pylist(), right.column("counts")), key=lambda x: x[:2]) if right.num_rows else []
+        c, pairs = (np.frombuffer(b"".join(x.as_py() for k, _, x in got if k == kind), dtype=np.int64) for kind in (0, 1))
         stops = np.append(0, np.cumsum(t.n))
         sums = lambda x: np.diff(np.append(0, np.cumsum(x))[stops])
         known, each = sums((c > 0)[t.of].astype(np.int64)), np.log10(c + SMOOTH)[t.of]
@@ -536,7 +614,7 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
         ends = np.append(starts[1:], len(ids))
         total = ids[ends - 1]
         if len(some):
-            total[some] += np.add.reduceat(log10_words(t, classes, spelling, ids, starts, c), stops[:-1][some])
+            total[some] += np.add.reduceat(log10_words(t, classes, spelling, ids, starts, c, pairs), stops[:-1][some])
         return pa.table({
             "doc_id": pa.array(t.ids, mask=t.ids == NO_ID), "held_out": pa.array(t.held), "n_tokens": pa.array(t.n + 1), "n_known": pa.array(known + (n_docs > 0)), "train_tokens": pa.array(np.full(len(t.n), n_all)),
             "base_score": pa.array(base), "score": pa.array(total), "n_ids": pa.array(ends - starts), "id_score": pa.array(np.add.reduceat(ids, starts)),

@@ -148,7 +148,13 @@ def test_words_against_a_plain_loop():
             last[w[-1]] += n
     spelling = lmscore.Spelling(classes, every, first, last, int(c.sum()), int((c == 1).sum()))
     ids, starts = lmscore.log10_ids(t, classes, flat)
-    got = lmscore.log10_words(t, classes, spelling, ids, starts, c)
+    two = collections.Counter()
+    for w, n in zip(word, c):
+        for x in zip(w, w[1:]):
+            two[x] += n
+    back = pow(int(lmscore.SPREAD), -1, 2**64)
+    asked = [divmod(int(x) * back % 2**64, 2**32) for x in t.pairs()[0]]
+    got = lmscore.log10_words(t, classes, spelling, ids, starts, c, np.array([two[x] for x in asked]))
     new, at, place = (int((c == 1).sum()) + 1) / (int(c.sum()) + 2), 0, 0
     for n in t.n:
         for k in t.of[at : at + n]:
@@ -156,6 +162,10 @@ def test_words_against_a_plain_loop():
             place += len(w)
             if w:
                 stops = [(last[i] + 0.1) / (every[i] + 0.2) for i in w]
+                for i, (x, y) in enumerate(zip(w, w[1:])):
+                    follows = sum(n for (z, _), n in two.items() if z == x)
+                    a = 1 + math.sqrt(follows)
+                    p[i + 1] = (two[x, y] + a * p[i + 1]) / (follows + a)
                 spelled = np.prod(p) * np.prod([1 - x for x in stops[:-1]]) * stops[-1]
                 of_class = sum(n for v, n in zip(word, c) if v and classes.of[v[0]] == classes.of[w[0]])
                 whole = p[0] / math.exp(classes.share[w[0]]) * c[k] / of_class if c[k] else 0
@@ -173,6 +183,22 @@ def test_words_against_a_plain_loop():
     assert taken <= 1 - by_class[0] + 1e-6 and all_first[-1] + new * (1 - all_first[-1]) + (1 - new) * taken <= 1 + 1e-6
 
 
+def test_pairs_are_added_up():
+    r = np.random.default_rng(3)
+    rows = [(np.unique(r.integers(0, 90, 40)).astype(np.uint64), None) for _ in range(5)]
+    rows = [(x, r.integers(0, 3, len(x))) for x, _ in rows]
+    want = collections.Counter()
+    for x, n in rows:
+        for k, c in zip(x.tolist(), n.tolist()):
+            want[k] += c
+    items, counts = lmscore.PairItems.added(rows)
+    assert dict(zip(items.tolist(), counts.tolist())) == {k: c for k, c in want.items() if c}
+    asked = np.arange(100, dtype=np.uint64)
+    assert lmscore.PairItems.finder(items, counts)(asked).tolist() == [want[k] for k in range(100)]
+    nothing = lmscore.PairItems.added([(x, n * 0) for x, n in rows])
+    assert len(nothing[0]) == len(nothing[1]) == 0 and lmscore.PairItems.finder(*nothing)(asked).tolist() == [0] * 100
+
+
 def test_gradients():
     flat, r = lmscore.fresh(np.zeros(lmscore.CLASSES)), np.random.default_rng(1)
     flat += (r.standard_normal(flat.shape) * 0.1).astype(np.float32)
