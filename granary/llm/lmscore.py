@@ -6,8 +6,9 @@ ids before, by their classes, gives the distribution of the next id's class; an
 P(id | class), the second from the training texts' counts. Both sum to 1.
 
 A word comes about in one of two ways, and its probability is the sum of both. It is spelled id by id, each id of it being the
-word's last or not with the share that id has of this in the training texts; the first id has the probability above, and so have
-the others, mixed with how often the training texts have that id after the one before inside a word. Or the word is a word of the training texts,
+word's last or not with the share that id has of this in the training texts. The first id's share of its class is
+that among words' first ids; the others' probability is the one above mixed with how often the training texts have that id after
+the one before inside a word. Or the word is a word of the training texts,
 taken whole: P(class of its first id | ids before) * its share of the training words whose first id is of that class. How often
 words are spelled is the Good-Turing estimate of new words: the share of training words that occur once. The words and the end
 that may come next have a sum of at most 1, so the score is a log probability of the text.
@@ -175,13 +176,16 @@ class Classes:
 
 
 class Spelling:
-    """Log10 probabilities that a word ends with an id, and that it goes on; the log10 number of training words by the class of
-    their first id; and how often words are spelled (new) or taken whole."""
+    """Log10 probabilities that a word ends with an id, and that it goes on; by how much an id's log10 share of its class is another
+    among words' first ids; the log10 number of training words by the class of their first id; and how often words are spelled (new)
+    or taken whole."""
 
     def __init__(self, classes: Classes, every: np.ndarray, first: np.ndarray, last: np.ndarray, n_words: int, n_once: int):
         """every, first, last: how often training texts have each id, as a word's first and as a word's last."""
         self.follows = every - last  # ids inside words that come after each id
         self.stop, self.go = np.log10(last + SMOOTH) - np.log10(every + 2 * SMOOTH), np.log10(every - last + SMOOTH) - np.log10(every + 2 * SMOOTH)
+        total = np.bincount(classes.of, first + SMOOTH, CLASSES)
+        self.first = np.log10(first + SMOOTH) - np.log10(total[classes.of]) - classes.share / np.log(10)
         self.mass = np.log10(np.maximum(np.bincount(classes.of, first, CLASSES), 1))
         self.new = (n_once + 1) / (n_words + 2)
 
@@ -195,10 +199,12 @@ class Spelling:
         return seen, rest
 
     def tails(self, sub: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """For distinct words of n ids each: that they go on to their last id and end there."""
+        """For distinct words of n ids each: that they go on to their last id and end there, with the first id's other share."""
         out = self.go[sub]
         last = (np.cumsum(n) - 1)[n > 0]
         out[last] = self.stop[sub[last]]
+        begin = (np.cumsum(n) - n)[n > 0]
+        out[begin] += self.first[sub[begin]]
         return np.bincount(np.repeat(np.arange(len(n)), n), out, len(n))
 
 

@@ -168,7 +168,10 @@ def test_words_against_a_plain_loop():
                     p[i + 1] = (two[x, y] + a * p[i + 1]) / (follows + a)
                 spelled = np.prod(p) * np.prod([1 - x for x in stops[:-1]]) * stops[-1]
                 of_class = sum(n for v, n in zip(word, c) if v and classes.of[v[0]] == classes.of[w[0]])
-                whole = p[0] / math.exp(classes.share[w[0]]) * c[k] / of_class if c[k] else 0
+                of_first = sum(first[i] + 0.1 for i in range(301) if classes.of[i] == classes.of[w[0]])
+                of_it = p[0] / math.exp(classes.share[w[0]])
+                spelled *= of_it * (first[w[0]] + 0.1) / of_first / p[0]
+                whole = of_it * c[k] / of_class if c[k] else 0
                 assert math.isclose(got[at], math.log10(new * spelled + (1 - new) * whole), abs_tol=1e-9)
             else:
                 assert got[at] == 0
