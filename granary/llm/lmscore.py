@@ -215,6 +215,7 @@ SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 BACK = np.arange(LENGTH)[:, None] - np.arange(LENGTH)
 BACK[BACK < 0] = LENGTH
 PAIRS = CLASSES + 1
+ONES = np.ones((LENGTH, 1), dtype=np.float32)
 
 
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
@@ -245,14 +246,15 @@ def tables(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
 
 
 def attend(m: dict[str, np.ndarray], t: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Batched masked attention: hidden states (window, place, WIDTH), the places of pairs in the table, and the weights."""
+    """Batched masked attention: hidden states (window, place, WIDTH), the places of pairs in the table, the weights and the values."""
     pair = before[:, :, None] * PAIRS + before[:, None, :]
     a = t["pair"][pair]
     a *= t["near"]
-    a /= a.sum(axis=2, keepdims=True)
-    h = a @ t["v"][before]
+    a /= a @ ONES
+    v = t["v"][before]
+    h = a @ v
     h += m["embed"][before]
-    return h, pair, a
+    return h, pair, a, v
 
 
 def log_probs(m: dict[str, np.ndarray], hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -268,28 +270,27 @@ def log_probs(m: dict[str, np.ndarray], hidden: np.ndarray, target: np.ndarray)
 def gradients(m: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, float]:
     """The gradient, as one vector, of the mean log loss over real places, and that loss."""
     t = tables(m)
-    h, pair, a = attend(m, t, before)
+    h, pair, a, v = attend(m, t, before)
     flat = np.zeros(SIZE, dtype=np.float32)
     g = parts(flat)
-    rows = np.flatnonzero(real)
-    n = max(1, len(rows))
-    seen, own = h.reshape(-1, WIDTH)[rows], (np.arange(len(rows)), target.reshape(-1)[rows])
-    p = seen @ m["out"]
-    p += m["bias"]
+    size, rows, weight = before.size, np.arange(before.size), real.reshape(-1).astype(np.float32)
+    n = max(1, int(real.sum()))
+    # The bias is a row of out that meets a column of ones.
+    seen, own = np.concatenate([h.reshape(-1, WIDTH), np.ones((size, 1), dtype=np.float32)], axis=1), (rows, target.reshape(-1))
+    p = seen @ np.concatenate([m["out"], m["bias"][None]])
     np.clip(p, -80, 80, out=p)
     right = p[own].astype(np.float64)
     np.exp(p, out=p)
     total = p @ np.ones(CLASSES, dtype=np.float32)
-    loss = float((np.log(total) - right).sum()) / n
-    p *= (1 / (n * total))[:, None]
-    p[own] -= np.float32(1 / n)
-    g["out"][:], g["bias"][:] = seen.T @ p, np.ones(len(p), dtype=np.float32) @ p
-    dh = np.zeros_like(h)
-    dh.reshape(-1, WIDTH)[rows] = p @ m["out"].T
-    v = t["v"][before]
+    loss = float((np.log(total) - right) @ weight) / n
+    p *= (weight / (n * total))[:, None]
+    p[own] -= weight / np.float32(n)
+    both = seen.T @ p
+    g["out"][:], g["bias"][:] = both[:WIDTH], both[WIDTH]
+    dh = (p @ m["out"].T).reshape(h.shape)
     dv = a.transpose(0, 2, 1) @ dh
-    da = dh @ v.transpose(0, 2, 1)
-    da -= (da * a) @ np.ones((LENGTH, 1), dtype=np.float32)
+    da = dh @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    da -= (da * a) @ ONES
     da *= a
     g["near"][:] = np.bincount(BACK.reshape(-1), da.sum(axis=0).reshape(-1), LENGTH + 1)[:LENGTH]
     # Masked pairs have weight 0, so they add nothing.
@@ -297,8 +298,8 @@ def gradients(m: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray,
     score[np.abs(t["raw"]) > 30] = 0
     score *= np.float32(WIDTH**-0.5)
     dq, dk = score @ t["k"], score.T @ t["q"]
-    one = np.zeros((PAIRS, before.size), dtype=np.float32)
-    one[before.reshape(-1), np.arange(before.size)] = 1
+    one = np.zeros((PAIRS, size), dtype=np.float32)
+    one[before.reshape(-1), rows] = 1
     by_class = one @ np.concatenate([dh.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)], axis=1)
     g["embed"][:] = by_class[:, :WIDTH] + by_class[:, WIDTH:] @ m["v"].T + dq @ m["q"].T + dk @ m["k"].T
     g["v"][:], g["q"][:], g["k"][:] = m["embed"].T @ by_class[:, WIDTH:], m["embed"].T @ dq, m["embed"].T @ dk
