@@ -1,7 +1,9 @@
 """Language-model scores of whole texts: a causal self-attention model over subword ids, trained in numpy.
 
-A text is the subword ids of its words, and an end. Every id of the vocabulary and the end belong to one of CLASSES classes, cut
-from the ids in order of whether they end a word and how often the training texts have them. One layer of masked self-attention over the
+A text is the subword ids of its words, and an end. Every id of the vocabulary belongs to one of KINDS kinds by the company that it
+keeps: ids whose training windows hold alike ids are of one kind, so kinds follow languages and forms of text. Every id and the end
+belong to one of CLASSES classes, cut within each kind from the ids in order of whether they end a word and how often the training
+texts have them. One layer of masked self-attention over the
 ids before, by their classes, gives the distribution of the next id's class; an id's probability is P(class | ids before) *
 P(id | class), the second from the training texts' counts. Both sum to 1.
 
@@ -45,8 +47,10 @@ from granary.llm.tokens import vocabulary, vocabulary_path
 CLASSES = 64
 WIDTH = 16
 LENGTH, OVERLAP = 32, 8
+#: Kinds of ids; numbers that stand for an id's company; windows whose company an id is taken to have had beside its own, of the average kind.
+KINDS, SKETCH, PRIOR = 12, 8, 10
 #: Rounds of averaging; groups in which tasks' models and counts are summed, and then those groups.
-ROUNDS, SUMS = 1, (4096, 16)
+ROUNDS, SUMS = 1, (4096, 16, 1)
 #: Windows in a step of training and in a step of scoring.
 BATCH, SCORED = 128, 96
 RATE = 0.02
@@ -159,16 +163,77 @@ def windows(starts: np.ndarray, n: np.ndarray, docs: np.ndarray, overlap: int) -
     return doc, first, np.where(k > 0, first + overlap, first)
 
 
+def signatures(vocab: int) -> np.ndarray:
+    """SKETCH random signs for every id, the same in every task; the end has zeros."""
+    signs = np.random.default_rng(0).choice(np.array([-1, 1], dtype=np.float32), (vocab + 1, SKETCH))
+    signs[vocab] = 0
+    return signs
+
+
+def company(t: Text, signs: np.ndarray) -> np.ndarray:
+    """For every id, over its places in the windows of training texts: the sum of the signatures of the other ids of the window
+    (SKETCH rows), and how many these are (the last row). Whole numbers, so sums over blocks are exact."""
+    vocab = len(signs) - 1
+    ids, starts, n = t.run(vocab)
+    doc, first, _ = windows(starts, n, np.flatnonzero(~t.held), 0)
+    stops = np.minimum(first + LENGTH, (starts + n)[doc])
+    out = np.zeros((SKETCH + 1, vocab + 1))
+    for lo in range(0, len(doc), 4096):
+        begin, size = first[lo : lo + 4096], (stops - first)[lo : lo + 4096]
+        own = _spread(ids, begin, size)
+        total = np.add.reduceat(signs[own], np.cumsum(size) - size, axis=0)
+        for k in range(SKETCH):
+            out[k] += np.bincount(own, np.repeat(total[:, k], size), vocab + 1)
+        out[SKETCH] += np.bincount(own, np.repeat(size - 1, size), vocab + 1)
+        out[:SKETCH] -= signs.T * np.bincount(own, minlength=vocab + 1)
+    return out.astype(np.int64)
+
+
+def kinds(sums: np.ndarray, counts: np.ndarray, starts: int = 4, rounds: int = 25) -> np.ndarray:
+    """The kind of every id but the end: k-means over ids' mean company, the best of some starts. An id weighs its count, but no
+    more than the root of its count times a thousandth of all: else the commonest ids would be kinds of their own."""
+    sums, own = sums[:, :-1].astype(float), counts[:-1].astype(float)
+    if not own.sum() or not sums[SKETCH].sum():
+        return np.zeros(len(own), dtype=np.int64)
+    mean, prior = sums[:SKETCH].sum(axis=1) / sums[SKETCH].sum(), PRIOR * LENGTH
+    x = ((sums[:SKETCH] - mean[:, None] * sums[SKETCH]) / (sums[SKETCH] + prior)).T
+    weight = np.minimum(own, np.sqrt(own * own.sum() / 1000))
+    best, least = None, np.inf
+    for seed in range(starts):
+        r, far, centres = np.random.default_rng(seed), np.ones(len(x)), np.zeros((0, SKETCH))
+        while len(centres) < KINDS and (far * weight).sum() > 0:
+            centres = np.append(centres, x[[r.choice(len(x), p=far * weight / (far * weight).sum())]], axis=0)
+            far = np.minimum(far if len(centres) > 1 else np.inf, ((x - centres[-1]) ** 2).sum(axis=1))
+        for _ in range(rounds):
+            of = ((centres**2).sum(axis=1) - 2 * x @ centres.T).argmin(axis=1)
+            mass = np.bincount(of, weight, len(centres))
+            moved = np.stack([np.bincount(of, weight * x[:, k], len(centres)) for k in range(SKETCH)], axis=1)
+            centres = np.where(mass[:, None] > 0, moved / np.maximum(mass, 1e-9)[:, None], centres)
+        apart = (centres**2).sum(axis=1) - 2 * x @ centres.T
+        cost = float((weight * apart.min(axis=1)).sum())
+        if cost < least:
+            best, least = apart.argmin(axis=1), cost
+    return best
+
+
 class Classes:
     """Which class each id is in, and its log share of the class. Class 0 is the end's alone."""
 
-    def __init__(self, counts: np.ndarray, ends: np.ndarray):
-        """counts of all ids, the end's last; ends: which ids end a word."""
+    def __init__(self, counts: np.ndarray, ends: np.ndarray, kind: np.ndarray | None = None):
+        """counts of all ids, the end's last; ends: which ids end a word; kind of each id, all the same if there is none. A kind has
+        as many classes as are its share of the counts, but one at least."""
         vocab = len(counts) - 1
-        by = np.lexsort((np.arange(vocab), -counts[:-1], ends))
-        mass = np.cumsum(counts[by] + SMOOTH)
+        kind = np.zeros(vocab, dtype=np.int64) if kind is None else np.unique(kind, return_inverse=True)[1]
+        share = np.bincount(kind, counts[:-1] + SMOOTH)
+        room = 1 + np.floor((CLASSES - 1 - len(share)) * share / max(share.sum(), 1e-9)).astype(np.int64)
+        if vocab:
+            room[share.argmax()] += CLASSES - 1 - room.sum()
         self.of = np.zeros(vocab + 1, dtype=np.uint8)
-        self.of[by] = 1 + np.minimum((mass - mass[:1] / 2) * (CLASSES - 1) / max(mass[-1], 1e-9) if vocab else mass, CLASSES - 2).astype(np.int64)
+        for k, (n, before) in enumerate(zip(room.tolist(), (np.cumsum(room) - room).tolist())):
+            own = np.flatnonzero(kind == k)
+            by = own[np.lexsort((own, -counts[own], ends[own]))]
+            mass = np.cumsum(counts[by] + SMOOTH)
+            self.of[by] = 1 + before + np.minimum((mass - mass[0] / 2) * n / mass[-1], n - 1).astype(np.int64)
         weight = counts + SMOOTH
         total = np.bincount(self.of, weight, CLASSES)
         self.share = np.log(weight) - np.log(total[self.of])
@@ -371,16 +436,23 @@ def _sums_row(seen: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUMS[0]], pa.int32()), pa.array([seen], pa.int64()), pa.array([total.astype(np.float64).tobytes()], pa.binary())], names=["part", "seen", "total"])
 
 
-def _summed(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """The tasks' vectors, added up in groups, and those in fewer, so that no task adds up many."""
+def _adder(groups: int):
+    """Adds up the vectors of one part, as a part of fewer groups."""
 
     def total(t: pa.Table) -> pa.Table:
         flat = 0.0
         for x in t.column("total"):
             flat = flat + np.frombuffer(x.as_py(), dtype=np.float64)
-        return pa.table({"part": pa.array([p % SUMS[1] for p in t.column("part").to_pylist()[:1]], pa.int32()), "seen": pa.array([sum(t.column("seen").to_pylist())]), "total": pa.array([flat.tobytes()], pa.binary())})
+        return pa.table({"part": pa.array([p % groups for p in t.column("part").to_pylist()[:1]], pa.int32()), "seen": pa.array([sum(t.column("seen").to_pylist())]), "total": pa.array([flat.tobytes()], pa.binary())})
+
+    return total
 
-    return [(r["seen"], np.frombuffer(r["total"], dtype=np.float64)) for r in rows.groupBy("part").applyInArrow(total, SUMS_DDL).groupBy("part").applyInArrow(total, SUMS_DDL).collect()]
+
+def _summed(rows: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """The tasks' vectors, added up in groups, and those in fewer, so that no task adds up many: one vector, or none."""
+    for groups in (*SUMS[1:], 1):
+        rows = rows.groupBy("part").applyInArrow(_adder(groups), SUMS_DDL)
+    return [(r["seen"], np.frombuffer(r["total"], dtype=np.float64)) for r in rows.collect()]
 
 
 def _joined(words: list[bytes]) -> bytes:
@@ -563,13 +635,15 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
         """A row for each block, then one with this task's counts of ids and its number of training texts."""
         names = ["block", "texts", "n_words", "words", "counts", "n_pairs", "pairs", "times", "seen", "total"]
         schema = pa.schema([(x, pa.binary() if x in ("texts", "words", "counts", "pairs", "times", "total") else pa.int64()) for x in names])
-        every, trained = np.zeros((3, vocab + 1), dtype=np.int64), 0  # of ids, of words' first ids, of their last
+        every, trained = np.zeros((3 + SKETCH + 1, vocab + 1), dtype=np.int64), 0  # of ids, of words' first ids, of their last; company
+        signs = signatures(vocab)
         for k, ids, texts in pieces(batches, block_bytes):
             t = Text(ids, texts, path)
             c = np.bincount(t.of[np.repeat(~t.held, t.n)], minlength=len(t.words))
             stops, some = np.cumsum(t.n_sub), t.n_sub > 0
             for row, at, n in ((0, slice(None), np.repeat(c, t.n_sub)), (1, (stops - t.n_sub)[some], c[some]), (2, stops[some] - 1, c[some])):
                 every[row, :vocab] += np.bincount(t.sub[at], n, vocab).astype(np.int64)
+            every[3:] += company(t, signs)
             trained += int((~t.held).sum())
             two, pair, after = t.pairs()
             times = np.bincount(pair, np.repeat(c, t.n_sub)[after], len(two)).astype(np.int64)
@@ -589,10 +663,11 @@ def score(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS, block_
             for n, x in zip(b.column(0).to_pylist(), b.column(1)):
                 yield _sums_row(n, np.frombuffer(z.decompress(x.as_py()), dtype="<i8"))
 
-    sums = _summed(made.where("seen IS NOT NULL").select("seen", "total").mapInArrow(widened, SUMS_DDL))  # at most SUMS[1] rows of thrice the vocabulary's size
+    sums = _summed(made.where("seen IS NOT NULL").select("seen", "total").mapInArrow(widened, SUMS_DDL))  # one row of (4 + SKETCH) times the vocabulary's size
     n_docs = sum(n for n, _ in sums)
-    every, first, last = sum((x for _, x in sums), np.zeros(3 * (vocab + 1))).reshape(3, -1)
-    classes = Classes(every, word_ends)
+    total = sum((x for _, x in sums), np.zeros((4 + SKETCH) * (vocab + 1))).reshape(4 + SKETCH, -1)
+    every, first, last = total[:3]
+    classes = Classes(every, word_ends, kinds(total[3:], every))
     texts = made.where("texts IS NOT NULL")
     model = train(texts.select("texts"), classes, fresh(classes.log_mass), rounds)
     answers, n_words, v_words, n_once = counted(texts.selectExpr("block", "n_words n", "words items", "counts"), WordItems)

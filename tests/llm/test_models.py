@@ -96,6 +96,46 @@ def test_classes_hold_all_ids():
     assert np.isfinite(empty.share).all() and np.isfinite(empty.log_mass).all()
 
 
+def test_company_against_a_plain_loop():
+    words = [b"the", b"of,", b"kind", b"undo", b"wort"]
+    r = np.random.default_rng(2)
+    t = lmscore.Text(list(range(30)), [b" ".join(words[k] for k in r.integers(0, 5, r.integers(0, 120))) for _ in range(30)], tokens.vocabulary_path())
+    vocab = len(tokens.vocabulary(tokens.vocabulary_path()).ends)
+    signs = lmscore.signatures(vocab)
+    want = np.zeros((lmscore.SKETCH + 1, vocab + 1))
+    ids, starts, n = t.run(vocab)
+    for s, m, held in zip(starts, n, t.held):
+        for lo in range(s, s + m, lmscore.LENGTH) if not held else []:
+            window = ids[lo : min(lo + lmscore.LENGTH, s + m)].tolist()
+            for k, x in enumerate(window):
+                others = window[:k] + window[k + 1 :]
+                want[:-1, x] += signs[others].sum(axis=0) if others else 0
+                want[-1, x] += len(others)
+    assert t.held.any() and (lmscore.company(t, signs) == want).all()
+    nothing = lmscore.Text([], [], tokens.vocabulary_path())
+    assert not lmscore.company(nothing, signs).any()
+
+
+def test_kinds_follow_the_company():
+    """Ids of two languages that never meet are of different kinds, which share the classes; without texts there is one kind."""
+    vocab, r = 200, np.random.default_rng(4)
+    signs = lmscore.signatures(vocab)
+    t = lmscore.Text.__new__(lmscore.Text)
+    t.n_sub, t.sub = np.ones(vocab, dtype=np.int64), np.arange(vocab, dtype=np.uint32)
+    t.n, t.held = np.full(60, 200), np.zeros(60, dtype=bool)
+    t.of = np.concatenate([r.integers(0, 100, 200) + 100 * (k % 2) for k in range(60)])
+    counts = np.append(np.bincount(t.of, minlength=vocab), 60).astype(float)
+    kind = lmscore.kinds(lmscore.company(t, signs), counts)
+    assert not set(kind[:100].tolist()) & set(kind[100:].tolist())
+    classes = lmscore.Classes(counts, np.zeros(vocab, dtype=bool), kind)
+    assert not set(classes.of[:100].tolist()) & set(classes.of[100:200].tolist()) and classes.of[-1] == 0 and (classes.of[:-1] > 0).all() and classes.of.max() < lmscore.CLASSES
+    assert np.allclose(np.bincount(classes.of, np.exp(classes.share), lmscore.CLASSES)[np.unique(classes.of)], 1)
+    assert lmscore.kinds(np.zeros((lmscore.SKETCH + 1, vocab + 1)), np.zeros(vocab + 1)).tolist() == [0] * vocab
+    one = np.zeros((lmscore.SKETCH + 1, vocab + 1))
+    one[:, 7] = 3  # one id alone in the corpus
+    assert set(lmscore.kinds(one, np.eye(1, vocab + 1, 7)[0]).tolist()) <= set(range(lmscore.KINDS))
+
+
 def plain_log10(classes, flat, ids):
     """Each id's log10 probability by the definition, one place of one window at a time; and the probabilities of all ids at the last."""
     m = {k: v.astype(float) for k, v in lmscore.parts(flat).items()}
