@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +52,18 @@ def options(*files: str, args: list[str] = ()) -> dict:
 
 
 class VirtualFileSystem:
-    """Mounted archives. Everything that changes data is refused; queries see the catalog as it was when they were planned."""
+    """Mounted archives. Everything that changes data is refused; queries see the catalog as it was when they were planned.
 
-    def __init__(self, spark: SparkSession, formats: registry.Registry | None = None, hide_unsupported: bool = True):
-        self.spark, self.formats, self.hide = spark, formats or registry.default(), hide_unsupported
+    With a storage level, what the archives hold is listed once, when first needed or by warm(), and kept by the executors at that
+    level, dealt by archive; lost pieces are listed again. Adding, removing and unmounting forget it. Without one, each query lists
+    the archives that it asks about.
+    """
+
+    def __init__(self, spark: SparkSession, formats: registry.Registry | None = None, hide_unsupported: bool = True, storage: StorageLevel | None = None):
+        self.spark, self.formats, self.hide, self.storage = spark, formats or registry.default(), hide_unsupported, storage
         self.archives: DataFrame | None = None
         self.label = ""
+        self._kept: DataFrame | None = None
 
     def mount(self, root: str, most_depth: int = discovery.MOST_DEPTH) -> "VirtualFileSystem":
         self._take(discovery.discover(self.spark, root, most_depth), root.rstrip("/").rsplit("/", 1)[-1])
@@ -71,6 +78,7 @@ class VirtualFileSystem:
         return True
 
     def _take(self, found: DataFrame, label: str) -> None:
+        self._forget()
         self.archives = catalog.add(found.limit(0), self._probed(found), self.hide).persist()
         self.label = label
 
@@ -79,10 +87,31 @@ class VirtualFileSystem:
         return found.join(got, "virtual_path", "left").fillna({"supported": True})
 
     def unmount(self) -> None:
+        self._forget()
         if self.archives is not None:
             self.archives.unpersist()
         self.archives = None
 
+    def _forget(self) -> None:
+        if self._kept is not None:
+            self._kept.unpersist()
+        self._kept = None
+
+    def warm(self) -> int:
+        """List what all mounted archives hold, if there is a storage level to keep it; the number of entries. What is kept already
+        is not listed again."""
+        if self.storage is None:
+            raise ValueError("no storage level")
+        return self._entries().count()
+
+    def _entries(self, key: str | None = None) -> DataFrame:
+        """What the mounted archives hold, or the one of that key."""
+        if self.storage is None:
+            return self.formats.entries(self._contents(self._mounted()) if key is None else self._of(key))
+        if self._kept is None:
+            self._kept = self.formats.entries(self._contents(self._mounted())).repartition("archive_key").persist(self.storage)
+        return self._kept if key is None else self._kept.where(F.col("archive_key") == key)
+
     def _contents(self, archives: DataFrame) -> DataFrame:
         """Where archives' bytes are; they are read there, by the workers, as far as a query needs them."""
         return archives.select(F.col("virtual_path").alias("archive_key"), "format_id", "physical_path")
@@ -102,7 +131,7 @@ class VirtualFileSystem:
     def file_info(self, path: str):
         r = self._resolved(path)
         one = r.first()
-        entries = self.formats.entries(self._of(one.archive)) if one.status == "InsideArchive" else self.formats.entries(self._contents(self._mounted().limit(0)))
+        entries = self._entries(one.archive) if one.status == "InsideArchive" else self.formats.entries(self._contents(self._mounted().limit(0)))
         got = catalog.file_info(r, self._mounted(), entries).first()
         if got is None:
             raise NotFound(path)
@@ -117,7 +146,7 @@ class VirtualFileSystem:
             kids = catalog.list_folders(self._mounted()).where(paths.fold(F.col("folder")) == paths.fold(F.lit(r.path)))
             sized = kids.join(self._mounted().select(F.col("virtual_path").alias("archive"), "size_bytes"), "archive", "left")
             return sized.select("name", F.lit(True).alias("is_directory"), F.coalesce("size_bytes", F.lit(0)).alias("size"), F.concat_ws("/", F.nullif("folder", F.lit("")), "name").alias("full_path"))
-        kids = catalog.children(self.formats.entries(self._of(r.archive))).where(F.col("directory") == r.internal_path.rstrip("/"))
+        kids = catalog.children(self._entries(r.archive)).where(F.col("directory") == r.internal_path.rstrip("/"))
         return kids.select("name", "is_directory", "size", "full_path")
 
     def find(self, path: str, pattern: str) -> DataFrame:
@@ -157,17 +186,18 @@ class VirtualFileSystem:
 
     def totals(self) -> DataFrame:
         """Per archive its entries, bytes and estimated memory."""
-        e = self.formats.entries(self._contents(self._mounted()))
-        return catalog.totals(e).withColumn("memory_bytes", fields.structure_bytes(F.col("n_entries"), paths.format_of(F.col("archive_key"))))
+        return catalog.totals(self._entries()).withColumn("memory_bytes", fields.structure_bytes(F.col("n_entries"), paths.format_of(F.col("archive_key"))))
 
     def registered(self) -> DataFrame:
         return self._mounted().select("virtual_path", "physical_path", "size_bytes", "modified", "format_id")
 
     def add(self, found: DataFrame) -> None:
         """Add archives (as discover() gives them), the last of one path staying. They are probed as mounted ones are."""
+        self._forget()
         self.archives = catalog.add(self._mounted(), self._probed(found), self.hide).persist()
 
     def remove(self, *virtual_paths: str) -> None:
+        self._forget()
         gone = self.spark.createDataFrame([(p,) for p in virtual_paths], "virtual_path string")
         self.archives = catalog.remove(self._mounted(), gone).persist()
         self.formats.cleaned(list(virtual_paths))

@@ -1,12 +1,14 @@
 """The facade over real archives, settings and the change source."""
 
+import dataclasses
 import io
 import zipfile
 
 import pytest
+from pyspark import StorageLevel
 
 from granary.plans import vfs
-from granary.sources import watch
+from granary.sources import registry, watch
 from tests.test_sources import rar5
 
 
@@ -50,6 +52,38 @@ def test_tree(spark, root):
         v.volume()
 
 
+def test_kept_structures(spark, root):
+    """Archives are listed once while they are kept, again after a change, and answers are those without keeping."""
+    listed = spark.sparkContext.accumulator(0)
+    zips = registry.ZIP
+
+    def entries(archives):
+        def seen(batches):
+            for b in batches:
+                listed.add(b.num_rows)
+                yield b
+
+        return zips.entries(archives.mapInArrow(seen, archives.schema))
+
+    formats = registry.Registry(dataclasses.replace(zips, entries=entries), registry.RAR)
+    v, plain = vfs.VirtualFileSystem(spark, formats, storage=StorageLevel.MEMORY_AND_DISK), vfs.VirtualFileSystem(spark)
+    v.mount(str(root)), plain.mount(str(root))
+    n = v.warm()
+    once = listed.value
+    assert once > 0 and v.warm() == n == sum(r.n_entries for r in plain.totals().collect())
+    assert sorted(v.list_directory("a.zip").collect()) == sorted(plain.list_directory("a.zip").collect())
+    assert v.file_info("a.zip/docs/readme.txt") == plain.file_info("a.zip/docs/readme.txt") and v.directory_exists("games/b.zip/docs") and not v.file_exists("a.zip/nope")
+    assert sorted(v.totals().collect()) == sorted(plain.totals().collect()) and listed.value == once
+    v.remove("a.zip")
+    assert not v.directory_exists("a.zip/docs") and v.file_info("games/b.zip/top.bin").size == 256 and {r.archive_key for r in v.totals().collect()} == {"games/b.ZIP", "ok.rar"}
+    assert listed.value > once
+    v.unmount()
+    with pytest.raises(RuntimeError):
+        v.warm()
+    with pytest.raises(ValueError):
+        plain.warm()
+
+
 def test_unsupported_shown(spark, root):
     v = vfs.VirtualFileSystem(spark, hide_unsupported=False).mount(str(root))
     assert "solid.rar (NOT SUPPORTED)" in {r.virtual_path for r in v.registered().collect()}
