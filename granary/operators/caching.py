@@ -6,7 +6,7 @@ entries: cache, key, size, created, last_access, ttl_seconds, borrowed (handles
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.functions import fields
@@ -18,14 +18,20 @@ def expired(entries: DataFrame, now: str) -> DataFrame:
     return entries.where((F.lit(now).cast("timestamp_ntz") > end) & (F.col("borrowed") == 0))
 
 
-def lru_victims(entries: DataFrame, needs: DataFrame) -> DataFrame:
-    """Entries to evict, longest unused first, until a cache's needs (cache, required, current, capacity) are met; borrowed ones stay."""
-    w = Window.partitionBy("cache").orderBy("last_access", "key").rowsBetween(Window.unboundedPreceding, -1)
+def victims(entries: DataFrame, needs: DataFrame, *policy: Column) -> DataFrame:
+    """Entries to evict in the order of policy (ties by key), until a cache's needs (cache, required, current, capacity) are met;
+    borrowed ones stay."""
+    w = Window.partitionBy("cache").orderBy(*policy, "key").rowsBetween(Window.unboundedPreceding, -1)
     need = F.col("required") - (F.col("capacity") - F.col("current"))
     freed = F.coalesce(F.sum("size").over(w), F.lit(0))
     return entries.where("borrowed = 0").join(needs, "cache").withColumn("freed", freed).where(F.col("freed") < need).drop("required", "current", "capacity", "freed")
 
 
+def lru_victims(entries: DataFrame, needs: DataFrame) -> DataFrame:
+    """The policy of the longest unused first."""
+    return victims(entries, needs, F.col("last_access"))
+
+
 def cached_keys(entries: DataFrame) -> DataFrame:
     """Per archive how many keys are cached, and which. A key is archive:path."""
     archive = F.regexp_extract("key", "^([^:]*)", 1)

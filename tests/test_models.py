@@ -82,6 +82,14 @@ def test_lru_victims_against_model(spark):
     assert {(r.cache, r.key) for r in got.collect()} == want
 
 
+def test_victims_by_a_policy_of_ones_own(spark):
+    rows = [("c", "a", 10, 1, 0), ("c", "b", 40, 2, 0), ("c", "d", 40, 3, 0), ("c", "e", 90, 4, 1), ("x", "f", 5, 1, 0)]
+    e = spark.createDataFrame(rows, "cache string, key string, size long, last_access long, borrowed int")
+    needs = spark.createDataFrame([("c", 50, 180, 180)], "cache string, required long, current long, capacity long")
+    assert {r.key for r in caching.victims(e, needs, F.col("size").desc()).collect()} == {"b", "d"}  # the largest that nobody holds
+    assert {r.key for r in caching.victims(e, needs, F.col("last_access")).collect()} == {r.key for r in caching.lru_victims(e, needs).collect()} == {"a", "b"}
+
+
 def test_simulation(spark):
     log = [("c", 0, 0.0, "a", 60), ("c", 1, 1.0, "b", 50), ("c", 2, 2.0, "a", 60), ("c", 3, 50.0, "b", 50), ("c", 4, 200.0, "b", 50), ("c", 5, 201.0, "big", 500)]
     got = caching.simulated(spark.createDataFrame(log, "cache string, seq long, ts double, key string, size long"), 100, 100.0).orderBy("seq").collect()
