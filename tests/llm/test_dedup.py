@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import time
 
 import numpy as np
 from hypothesis import given, settings
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 
 from granary.llm import jaccard, substring
 from granary.llm.blocks import Words, window_hashes
+from granary.llm.common import release
 
 
 def sets(text):
@@ -48,6 +50,61 @@ def test_blocks_of_large_clusters(docs, corpus, monkeypatch):
     assert got == brute_components([(r[0], r[1]) for r in corpus])
 
 
+def near_copies(n=12, words=120):
+    """Ids and texts that have all but their last shingle in common, and others alike by twos."""
+    base = [f"w{k}" for k in range(words)]
+    return [(k, " ".join([*base, f"end{k}"])) for k in range(n)] + [(n + k, " ".join(f"x{k // 2}y{i}" for i in range(40 + k % 2))) for k in range(6)]
+
+
+def test_moved_texts_meet_their_tasks(spark, monkeypatch):
+    """Sets above MEMBERS, in many blocks, of texts that are looked at one by one."""
+    rows = near_copies()
+    for name, v in (("BLOCK_SETS", 4), ("MEMBERS", 1), ("TOGETHER", 1), ("PIECE", 1)):
+        monkeypatch.setattr(jaccard, name, v)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"))[0].collect()}
+    assert got == brute_components(rows)
+
+
+def test_memory_is_bounded_by_bytes(monkeypatch):
+    """However many texts come at once, the arrays of words are those of TOGETHER bytes or one text."""
+    texts, seen = [t.encode() for _, t in near_copies(200)], []
+    want = jaccard.shingle_sets(texts)
+    monkeypatch.setattr(jaccard, "Words", lambda t: seen.append(sum(map(len, t[:-1]))) or Words(t))
+    monkeypatch.setattr(jaccard, "TOGETHER", 2000)
+    assert all((x == y).all() for x, y in zip(jaccard.shingle_sets(texts), want, strict=True)) and len(seen) > 20 and max(seen) < 2000
+
+
+def test_keys_of_the_same_sets_are_counted_first(spark):
+    """Keys are as many pairs as their sets make, but keys with the same sets are one row of pairs."""
+    some = [(key, node) for key in range(50) for node in range(10)] + [(50, 1), (50, 2), (50, 3)]
+    got = jaccard._counted(spark.createDataFrame([(7, 8), (7, 8), (1, 2)], "low long, high long"), spark.createDataFrame(some, "key long, node long"))
+    want = collections.Counter((a, b) for a in range(10) for b in range(a + 1, 10) for _ in range(50)) + collections.Counter([(1, 2), (1, 3), (2, 3), (7, 8), (7, 8), (1, 2)])
+    assert {(r.a, r.b): r.c for r in got.collect()} == dict(want)
+    assert "sum(c" in got._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+
+
+def test_shuffle_files_go_before_the_clusters(docs, monkeypatch):
+    """Of the steps before the clusters, no shuffle files are left when these begin."""
+    disk, left = docs.sparkSession.sparkContext._jsc.sc().env().blockManager().diskBlockManager(), []
+
+    def shuffles():
+        files = disk.getAllFiles()
+        return {files.apply(k).getName() for k in range(files.size())}
+
+    release(docs.sparkSession)
+    time.sleep(2)
+    before, make = shuffles(), jaccard.components
+
+    def components(*a):
+        time.sleep(2)
+        left.append(len([x for x in shuffles() - before if x.endswith(".data")]))
+        return make(*a)
+
+    monkeypatch.setattr(jaccard, "components", components)
+    jaccard.classes(docs)
+    assert left[0] <= 12  # of the last step alone
+
+
 def test_trees_against_pairs():
     rnd = np.random.default_rng(4)
     base = rnd.choice(2**62, 80, replace=False).astype(np.uint64)
