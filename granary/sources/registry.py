@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,6 +15,8 @@ from granary.functions import fields
 from granary.sources import rarscan, zipscan
 from granary.sources.ranged import located, sources
 
+#: Contents and rows after which a batch of read entries is sent on.
+BATCH_BYTES, BATCH_ROWS = 4_000_000, 1000
 COMMON = ["archive_key", "internal_path", "is_directory", "size", "attributes", "modified", "crc32"]
 
 
@@ -97,23 +100,34 @@ class Registry:
         return out
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.binary(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["archive_key", "internal_path", "data", "error"])
+
+
 def _read_rar(archives: DataFrame, wanted: DataFrame) -> DataFrame:
     w = wanted.groupBy("archive_key").agg(F.collect_list(F.struct("internal_path", "read_at", "read_length")).alias("wanted"))
 
     def run(batches):
         for b in batches:
             for (key, src), asks in zip(sources(b), b.column(2)):
-                blob = None if isinstance(src, OSError) else src.read(0, src.size)
+                directory = None if isinstance(src, OSError) else rarscan.Directory(src.read(0, src.size))
+                rows, size = [], 0
                 for a in asks.as_py():
                     data = error = None
                     try:
-                        if blob is None:
+                        if directory is None:
                             raise src
-                        at = a["read_at"] or 0
-                        data = rarscan.read_entry(blob, a["internal_path"])[at : None if a["read_length"] is None else at + a["read_length"]]
-                    except (ValueError, IndexError, OSError) as e:
+                        data = directory.read(a["internal_path"], a["read_at"] or 0, a["read_length"])
+                    except (ValueError, IndexError, OSError, struct.error) as e:
                         error = str(e)
-                    yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([a["internal_path"]]), pa.array([data], pa.binary()), pa.array([error], pa.string())], names=["archive_key", "internal_path", "data", "error"])
+                    rows.append((key, a["internal_path"], data, error))
+                    size += len(data or b"")
+                    if size >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+                        yield _batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows)
 
     return located(archives.join(w, "archive_key"), "wanted").mapInArrow(run, "archive_key string, internal_path string, data binary, error string")
 

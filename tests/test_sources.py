@@ -7,7 +7,8 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from granary.sources import charset, discovery, rarscan, zipscan
+from granary.plans.catalog_queries import _rar
+from granary.sources import charset, discovery, rarscan, registry, zipscan
 from granary.sources.ranged import File, Held
 
 FILES = {"a.txt": b"hello " * 50, "dir/b.bin": bytes(range(256)) * 9, "dir/empty": b"", "ünï/c.txt": b"x"}
@@ -163,3 +164,26 @@ def test_spans_are_read_once(spark):
         assert got == {(k, n): d for k in ("one", "two") for n, d in FILES.items()}
     asks = [{"offset": o, "compressed_size": 10} for o in (0, 100, 5000)]
     assert [(low, [a["offset"] for a in some]) for low, _, some in zipscan.spans(asks, 1000, 50)] == [(0, [0, 100]), (5000, [5000])]
+
+
+def test_rar_reads_headers_once(spark, monkeypatch):
+    """An archive's headers are gone through once, however many of its entries are asked for: in both versions, with ranges, and up to a break."""
+    files_ = {f"{k}{five}": (f"d/{k}.x", bytes([k]) * k, five) for k in range(200) for five in (True, False)}
+    blobs = {five: _rar([(n, d) for n, d, f in files_.values() if f == five], five) for five in (True, False)}
+    passes, walk = [], rarscan.headers
+    monkeypatch.setattr(rarscan, "headers", lambda b: passes.append(1) or walk(b))
+    for five, blob in blobs.items():
+        d = rarscan.Directory(blob)
+        assert all(d.read(n) == data and d.read(n, 2, 3) == data[2:5] and d.read(n, 2) == data[2:] for n, data, f in files_.values() if f == five)
+        with pytest.raises(ValueError, match="no such entry"):
+            d.read("none")
+        half = rarscan.Directory(blob[: len(blob) // 2])
+        assert half.read("d/9.x") == bytes([9]) * 9
+    assert len(passes) == 4
+    monkeypatch.undo()
+    files = frame(spark, a5=blobs[True], a4=blobs[False])
+    asked = [(f"a{5 if f else 4}", n, 1, 2) for n, _, f in files_.values()] + [("a5", "none", None, None)]
+    wanted = spark.createDataFrame(asked, "archive_key string, internal_path string, read_at long, read_length long")
+    got = {(r.archive_key, r.internal_path): (r.data and bytes(r.data), r.error) for r in registry.RAR.read(files, wanted).collect()}
+    assert got.pop(("a5", "none")) == (None, "no such entry")
+    assert got == {(f"a{5 if f else 4}", n): (d[1:3], None) if len(d) > 1 else (b"", None) for n, d, f in files_.values()}
