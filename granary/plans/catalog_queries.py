@@ -545,17 +545,17 @@ def _vint(n: int) -> bytes:
 def _rar(files: list[tuple[str, bytes]], five: bool) -> bytes:
     """A RAR archive of stored files, in the format of either version, without checksums of its headers."""
     if not five:
-        out = rarscan.RAR4 + struct.pack("<HBHHHL", 0, 0x73, 0, 13, 0, 0)
+        out = bytearray(rarscan.RAR4 + struct.pack("<HBHHHL", 0, 0x73, 0, 13, 0, 0))
         for name, data in files:
             n = name.encode()
             out += struct.pack("<HBHH", 0, 0x74, 0x8000, 32 + len(n)) + struct.pack("<LLBLLBBHL", len(data), len(data), 3, zlib.crc32(data), 0, 20, 0x30, len(n), 0) + n + data
-        return out
+        return bytes(out)
     block = lambda body, data=b"": bytes(4) + _vint(len(body)) + body + data
-    out = rarscan.RAR5 + block(_vint(1) + _vint(0) + _vint(0))
+    out = bytearray(rarscan.RAR5 + block(_vint(1) + _vint(0) + _vint(0)))
     for name, data in files:
         n = name.encode()
         out += block(_vint(2) + _vint(2) + _vint(len(data)) + _vint(4) + _vint(len(data)) + _vint(32) + struct.pack("<L", zlib.crc32(data)) + _vint(0) + _vint(1) + _vint(len(n)) + n, data)
-    return out
+    return bytes(out)
 
 
 def packed_rar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import io
 import struct
+import time
 import zipfile
 
 import pytest
@@ -187,3 +188,16 @@ def test_rar_reads_headers_once(spark, monkeypatch):
     got = {(r.archive_key, r.internal_path): (r.data and bytes(r.data), r.error) for r in registry.RAR.read(files, wanted).collect()}
     assert got.pop(("a5", "none")) == (None, "no such entry")
     assert got == {(f"a{5 if f else 4}", n): (d[1:3], None) if len(d) > 1 else (b"", None) for n, d, f in files_.values()}
+
+
+def test_rar_is_made_in_linear_time():
+    """Twenty times the files of 20 KB take far less than the square of that."""
+
+    def seconds(n):
+        t = time.process_time()
+        b = _rar([(f"p/{k}.html", bytes(20_000)) for k in range(n)], n % 2 == 0)
+        assert len(b) > n * 20_000
+        return time.process_time() - t
+
+    small = min(seconds(100) for _ in range(3))
+    assert seconds(2000) < 100 * max(small, 0.001)
