@@ -30,6 +30,7 @@ back to the blocks.
 from __future__ import annotations
 
 import pickle
+import re
 import zlib
 
 import numpy as np
@@ -39,10 +40,11 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, pre_tokenizers
 
 from granary.llm.blocks import NO_ID, Words, empty_table, pieces
 from granary.llm.common import forget, text_bytes, written
-from granary.llm.tokens import vocabulary, vocabulary_path
+from granary.llm.tokens import Vocabulary, vocabulary_path
 
 CLASSES = 64
 WIDTH = 16
@@ -68,6 +70,47 @@ def held_out(doc_id: int, folds: int = 10) -> bool:
     return doc_id != NO_ID and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
+#: Words of small letters of Latin-1, in UTF-8.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+class _Vocabulary(Vocabulary):
+    """Words of small letters of Latin-1 are their own normal form and one pre-token each, so the tokenizer's model gets them without
+    its normalizer and its pattern, which take as long."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _encode(self, words: list[bytes]) -> None:
+        own, other = [], []
+        for w in words:
+            (own if _LETTERS.fullmatch(w) else other).append(w)
+        for lo in range(0, len(own), 2_000):
+            part = own[lo : lo + 2_000]
+            ids = np.array(self.letters.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cut) != len(part) or cut[-1] != 4 * len(ids):
+                other += part
+                continue
+            blob, at = ids.tobytes(), 0
+            for w, e in zip(part, cut.tolist()):
+                self.known[w] = blob[at:e]
+                at = e
+        super()._encode(other)
+
+
+_vocabularies: dict[str, _Vocabulary] = {}
+
+
+def vocabulary(path: str) -> _Vocabulary:
+    """This process's vocabulary of a path."""
+    if path not in _vocabularies:
+        _vocabularies[path] = _Vocabulary(path)
+    return _vocabularies[path]
+
+
 def _spread(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
     """values[s:s + k] for every s, k of starts and n, one after the other."""
     ends = np.cumsum(n)
@@ -176,17 +219,22 @@ def company(t: Text, signs: np.ndarray) -> np.ndarray:
     vocab = len(signs) - 1
     ids, starts, n = t.run(vocab)
     doc, first, _ = windows(starts, n, np.flatnonzero(~t.held), 0)
-    stops = np.minimum(first + LENGTH, (starts + n)[doc])
-    out = np.zeros((SKETCH + 1, vocab + 1))
-    for lo in range(0, len(doc), 4096):
-        begin, size = first[lo : lo + 4096], (stops - first)[lo : lo + 4096]
-        own = _spread(ids, begin, size)
-        total = np.add.reduceat(signs[own], np.cumsum(size) - size, axis=0)
-        for k in range(SKETCH):
-            out[k] += np.bincount(own, np.repeat(total[:, k], size), vocab + 1)
-        out[SKETCH] += np.bincount(own, np.repeat(size - 1, size), vocab + 1)
-        out[:SKETCH] -= signs.T * np.bincount(own, minlength=vocab + 1)
-    return out.astype(np.int64)
+    size = np.minimum(first + LENGTH, (starts + n)[doc]) - first
+    every = ids[np.repeat(~t.held, n)].astype(np.int64)  # these windows have no gaps or overlap
+    out, stops = np.zeros((SKETCH + 1, vocab + 1), dtype=np.int64), np.append(0, np.cumsum(size))
+    # Two sums to a double: those of a part are under 2 ** 25.
+    two = [signs[:, k].astype(float) + signs[:, k + 1] * 2.0**26 for k in range(0, SKETCH, 2)]
+    for lo in range(0, len(doc), 1 << 14):
+        some = size[lo : lo + (1 << 14)]
+        own = every[stops[lo] : stops[lo + len(some)]]
+        for k, x in enumerate(two):
+            x = np.bincount(own, np.repeat(np.add.reduceat(x.take(own), np.cumsum(some) - some), some), vocab + 1)
+            high = np.rint(x * 2.0**-26)
+            out[2 * k] += (x - high * 2.0**26).astype(np.int64)
+            out[2 * k + 1] += high.astype(np.int64)
+        out[SKETCH] += np.bincount(own, np.repeat(some - 1, some), vocab + 1).astype(np.int64)
+    out[:SKETCH] -= (signs.T * np.bincount(every, minlength=vocab + 1)).astype(np.int64)
+    return out
 
 
 def kinds(sums: np.ndarray, counts: np.ndarray, starts: int = 4, rounds: int = 25) -> np.ndarray:
@@ -279,18 +327,20 @@ SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 #: The distance from each place of a window to each place before it; LENGTH: not before it.
 BACK = np.arange(LENGTH)[:, None] - np.arange(LENGTH)
 BACK[BACK < 0] = LENGTH
-PAIRS = CLASSES + 1
 ONES = np.ones((LENGTH, 1), dtype=np.float32)
+COLUMN = np.ones((CLASSES + 1, 1), dtype=np.float32)
+#: Scores of pairs that are larger are taken as this, up or down.
+LARGE = 30
+#: Places of a window that attend together, by the first place asked for: from, to. None of them meets a place after its cut.
+CUTS = {0: ((16, LENGTH), (0, 16)), OVERLAP: ((24, LENGTH), (16, 24), (OVERLAP, 16))}
+
+
+_ENDS = np.cumsum([int(np.prod(s)) for s in SHAPES.values()]).tolist()
 
 
 def parts(flat: np.ndarray) -> dict[str, np.ndarray]:
     """The arrays, as views."""
-    out, at = {}, 0
-    for name, shape in SHAPES.items():
-        n = int(np.prod(shape))
-        out[name] = flat[at : at + n].reshape(shape)
-        at += n
-    return out
+    return {name: flat[at:end].reshape(shape) for (name, shape), at, end in zip(SHAPES.items(), [0, *_ENDS], _ENDS)}
 
 
 def fresh(log_mass: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -303,71 +353,107 @@ def fresh(log_mass: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 def tables(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """What attention needs of all pairs of classes and of all distances."""
-    q, k = m["embed"] @ m["q"], m["embed"] @ m["k"]
-    raw = (q @ k.T) * np.float32(WIDTH**-0.5)
-    near = np.append(np.exp(np.clip(m["near"], -30, 30)), 0).astype(np.float32)
-    return {"q": q, "k": k, "raw": raw, "pair": np.exp(np.clip(raw, -30, 30)).reshape(-1), "near": near[BACK], "v": m["embed"] @ m["v"]}
-
-
-def attend(m: dict[str, np.ndarray], t: dict[str, np.ndarray], before: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Batched masked attention: hidden states (window, place, WIDTH), the places of pairs in the table, the weights and the values."""
-    pair = before[:, :, None] * PAIRS + before[:, None, :]
-    a = t["pair"][pair]
-    a *= t["near"]
-    a /= a @ ONES
-    v = t["v"][before]
-    h = a @ v
-    h += m["embed"][before]
-    return h, pair, a, v
-
-
-def log_probs(m: dict[str, np.ndarray], hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the classes, for rows of hidden states."""
-    z = hidden @ m["out"]
-    z += m["bias"]
-    np.clip(z, -80, 80, out=z)
-    own = z[np.arange(len(z)), target]
+    """What attention needs of all classes and of all distances. Values have a column of ones: their means hold the one that meets the
+    bias, a row of out."""
+    q, k, v = m["embed"] @ (m["q"] * np.float32(WIDTH**-0.5)), m["embed"] @ m["k"], m["embed"] @ m["v"]
+    near = np.append(np.exp(np.clip(m["near"], -LARGE, LARGE)), 0).astype(np.float32)
+    # Values are averaged, so no logit is larger than this.
+    most = (np.abs(m["embed"]).max(axis=0) + np.abs(v).max(axis=0)) @ np.abs(m["out"]) + np.abs(m["bias"])
+    return {
+        "q": q, "k": k, "v": np.concatenate([v, COLUMN], axis=1), "near": near[BACK], "embed": np.concatenate([m["embed"], 0 * COLUMN], axis=1),
+        "out": np.concatenate([m["out"], m["bias"][None]]), "large score": not np.abs(q @ k.T).max() <= LARGE, "large logit": not most.max() <= 80,
+    }
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
+def attend(m: dict[str, np.ndarray], t: dict[str, np.ndarray], before: np.ndarray, begin: int = 0) -> tuple:
+    """Batched masked attention: hidden states (window, place, WIDTH and a one) of the places from begin on, the mean values in them, each
+    cut's weights and pairs of large scores, and queries, keys and values."""
+    q, k, v = (t[x].take(before, axis=0, mode="clip") for x in "qkv")
+    h, keys = t["embed"].take(before[:, begin:], axis=0, mode="clip"), _turned(k)
+    mean, cuts = np.empty_like(h), []
+    for lo, hi in CUTS[begin]:
+        a = q[:, lo:hi] @ keys[:, :, :hi]
+        large = np.abs(a) > LARGE if t["large score"] else None
+        if large is not None:
+            np.clip(a, -LARGE, LARGE, out=a)
+        np.exp(a, out=a)
+        a *= t["near"][lo:hi, :hi]
+        a /= a @ ONES[:hi]
+        np.matmul(a, v[:, :hi], out=mean[:, lo - begin : hi - begin])
+        cuts.append((a, large))
+    h += mean
+    return h, mean, cuts, q, k, v
+
+
+def logits(t: dict[str, np.ndarray], hidden: np.ndarray) -> np.ndarray:
+    z = hidden @ t["out"]
+    return np.clip(z, -80, 80, out=z) if t["large logit"] else z
+
+
+def log_probs(t: dict[str, np.ndarray], hidden: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the classes, for hidden states (window, place, WIDTH and a one)."""
+    z = logits(t, hidden)
+    own = z.reshape(-1).take(np.arange(0, z.size, CLASSES) + target.reshape(-1)).reshape(target.shape)
     np.exp(z, out=z)
     return own - np.log(z @ np.ones(CLASSES, dtype=np.float32))
 
 
 def gradients(m: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, float]:
-    """The gradient, as one vector, of the mean log loss over real places, and that loss."""
+    """The gradient, as one vector, of the mean log loss over real places, and that loss. Products are made window by window, since
+    large thin ones are slow, and what scales whole rows of logits is left to their narrow sides."""
     t = tables(m)
-    h, pair, a, v = attend(m, t, before)
+    h, mean, cuts, q, k, v = attend(m, t, before)
     flat = np.zeros(SIZE, dtype=np.float32)
     g = parts(flat)
-    size, rows, weight = before.size, np.arange(before.size), real.reshape(-1).astype(np.float32)
-    n = max(1, int(real.sum()))
-    # The bias is a row of out that meets a column of ones.
-    seen, own = np.concatenate([h.reshape(-1, WIDTH), np.ones((size, 1), dtype=np.float32)], axis=1), (rows, target.reshape(-1))
-    p = seen @ np.concatenate([m["out"], m["bias"][None]])
-    np.clip(p, -80, 80, out=p)
-    right = p[own].astype(np.float64)
+    weight, n = real.astype(np.float32), max(1, int(real.sum()))
+    p = logits(t, h)
+    own = np.arange(0, p.size, CLASSES) + target.reshape(-1)
+    right = p.reshape(-1).take(own)
     np.exp(p, out=p)
     total = p @ np.ones(CLASSES, dtype=np.float32)
-    loss = float((np.log(total) - right) @ weight) / n
-    p *= (weight / (n * total))[:, None]
-    p[own] -= weight / np.float32(n)
-    both = seen.T @ p
+    loss = float((np.log(total).reshape(-1).astype(np.float64) - right) @ weight.reshape(-1)) / n
+    p.reshape(-1)[own] = np.exp(right) - total.reshape(-1)
+    scale = (weight / total)[:, :, None]
+    h *= scale
+    both = (h.transpose(0, 2, 1) @ p).sum(axis=0)
     g["out"][:], g["bias"][:] = both[:WIDTH], both[WIDTH]
-    dh = (p @ m["out"].T).reshape(h.shape)
-    dv = a.transpose(0, 2, 1) @ dh
-    da = dh @ np.ascontiguousarray(v.transpose(0, 2, 1))
-    da -= (da * a) @ ONES
-    da *= a
-    g["near"][:] = np.bincount(BACK.reshape(-1), da.sum(axis=0).reshape(-1), LENGTH + 1)[:LENGTH]
-    # Masked pairs have weight 0, so they add nothing.
-    score = np.bincount(pair.reshape(-1), da.reshape(-1), PAIRS * PAIRS).reshape(PAIRS, PAIRS).astype(np.float32)
-    score[np.abs(t["raw"]) > 30] = 0
-    score *= np.float32(WIDTH**-0.5)
-    dq, dk = score @ t["k"], score.T @ t["q"]
-    one = np.zeros((PAIRS, size), dtype=np.float32)
-    one[before.reshape(-1), rows] = 1
-    by_class = one @ np.concatenate([dh.reshape(-1, WIDTH), dv.reshape(-1, WIDTH)], axis=1)
-    g["embed"][:] = by_class[:, :WIDTH] + by_class[:, WIDTH:] @ m["v"].T + dq @ m["q"].T + dk @ m["k"].T
-    g["v"][:], g["q"][:], g["k"][:] = m["embed"].T @ by_class[:, WIDTH:], m["embed"].T @ dq, m["embed"].T @ dk
+    # Of hidden states, with what takes their mean off the pairs' scores beside them; of values, queries and keys.
+    grown = np.empty((*before.shape, 4 * WIDTH + 1), dtype=np.float32)
+    dh, d, dv, dq, dk = grown[:, :, :WIDTH], grown[:, :, : WIDTH + 1], *(grown[:, :, x * WIDTH + 1 : (x + 1) * WIDTH + 1] for x in (1, 2, 3))
+    np.multiply(p @ np.ascontiguousarray(m["out"].T), scale, out=dh)
+    np.matmul(dh * mean[:, :, :WIDTH], -ONES[:WIDTH, 0], out=d[:, :, WIDTH])
+    back, near = _turned(v), np.zeros((LENGTH, LENGTH), dtype=np.float32)
+    for (lo, hi), (a, large) in zip(CUTS[0], cuts):
+        turned = a.transpose(0, 2, 1)
+        if hi == LENGTH:
+            np.matmul(turned, dh[:, lo:hi], out=dv)
+        else:
+            dv[:, :hi] += turned @ dh[:, lo:hi]
+        # Masked pairs have weight 0, so they add nothing.
+        a *= d[:, lo:hi] @ back[:, :, :hi]
+        near[lo:hi, :hi] = a.sum(axis=0)
+        if large is not None:
+            a[large] = 0
+        np.matmul(a, k[:, :hi], out=dq[:, lo:hi])
+        if hi == LENGTH:
+            np.matmul(turned, q[:, lo:hi], out=dk)
+        else:
+            dk[:, :hi] += turned @ q[:, lo:hi]
+    g["near"][:] = np.bincount(BACK.reshape(-1), near.reshape(-1), LENGTH + 1)[:LENGTH]
+    row = before.reshape(-1)  # of bytes, which are sorted by their digits
+    count = np.bincount(row, minlength=CLASSES + 1)
+    some = np.flatnonzero(count)
+    by_class = np.zeros((CLASSES + 1, 4 * WIDTH + 1), dtype=np.float32)
+    by_class[some] = np.add.reduceat(grown.reshape(len(row), -1).take(np.argsort(row.astype(np.uint8, copy=False), kind="stable"), axis=0, mode="clip"), (np.cumsum(count) - count)[some], axis=0)
+    dh, dv, dq, dk = (np.ascontiguousarray(by_class[:, x : x + WIDTH]) for x in (0, WIDTH + 1, 2 * WIDTH + 1, 3 * WIDTH + 1))
+    dq *= np.float32(WIDTH**-0.5)
+    g["embed"][:] = dh + dv @ m["v"].T + dq @ m["q"].T + dk @ m["k"].T
+    g["v"][:], g["q"][:], g["k"][:] = m["embed"].T @ dv, m["embed"].T @ dq, m["embed"].T @ dk
+    flat /= np.float32(n)
     return flat, loss
 
 
@@ -385,7 +471,7 @@ class Adam:
 
 def inputs(cls: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """The class before each place."""
-    out = np.empty(len(cls), dtype=np.int64)
+    out = np.empty(len(cls), dtype=np.uint8)
     out[1:] = cls[:-1]
     out[starts] = START
     return out
@@ -403,9 +489,9 @@ def learn(t: Text, classes: Classes, flat: np.ndarray, opt: Adam, seed: int) ->
     for w in np.array_split(order, -(-len(order) // BATCH)) if len(order) else []:
         at = first[w, None] + np.arange(LENGTH)
         real = at < ends[w, None]
-        at[~real] = 0
-        seen += int(real.sum())
-        opt.step(flat, gradients(m, before[at], cls[at].astype(np.int64), real)[0])
+        at *= real
+        seen += int(np.count_nonzero(real))
+        opt.step(flat, gradients(m, before.take(at), cls.take(at), real)[0])
     return seen
 
 
@@ -583,15 +669,24 @@ def log10_ids(t: Text, classes: Classes, model: np.ndarray) -> tuple[np.ndarray,
     out = classes.share[ids]
     doc, first, scored_from = windows(starts, n, np.arange(len(n)), OVERLAP)
     ends = (starts + n)[doc]
-    for lo in range(0, len(doc), SCORED):
-        at = first[lo : lo + SCORED, None] + np.arange(LENGTH)
-        once = (at >= scored_from[lo : lo + SCORED, None]) & (at < ends[lo : lo + SCORED, None])
-        place = at[once]
-        at[at >= len(ids)] = 0
-        out[place] += log_probs(m, attend(m, table, before[at])[0][once], cls[place])
+    for begin in CUTS:  # a document's first window has no overlap; of the others only the places after it are queries
+        own = np.flatnonzero(scored_from - first == begin)
+        for lo in range(0, len(own), SCORED):
+            w = own[lo : lo + SCORED]
+            at = first[w, None] + np.arange(LENGTH)
+            real = at[:, begin:] < ends[w, None]
+            np.minimum(at, len(ids) - 1, out=at)
+            place = at[:, begin:]
+            got = log_probs(table, attend(m, table, before.take(at), begin)[0], cls.take(place))
+            out[place[real]] += got[real]
     return out / np.log(10), starts
 
 
+def _power(x: np.ndarray) -> np.ndarray:
+    """10 ** x; numpy is slower with the general power."""
+    return np.exp(x * np.log(10))
+
+
 def log10_words(t: Text, classes: Classes, spelling: Spelling, ids: np.ndarray, starts: np.ndarray, counts: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """The log10 probability of every word of a block's documents, from those of its ids and the counts of its distinct words and of
     their distinct pairs of ids in the training texts. Words without ids are not seen by the model and have 0."""
@@ -602,7 +697,7 @@ def log10_words(t: Text, classes: Classes, spelling: Spelling, ids: np.ndarray,
     begin = np.cumsum(t.n_sub) - t.n_sub
     _, pair, after = t.pairs()
     seen, rest = (_spread(x, begin[t.of], n) for x in spelling.mixed(t.sub, after, pairs[pair]))
-    out = np.bincount(np.repeat(np.arange(len(n)), n), np.log10(seen + rest * 10**own), len(n))
+    out = np.bincount(np.repeat(np.arange(len(n)), n), np.log10(seen + rest * _power(own)), len(n))
     some, known = n > 0, counts > 0
     each = spelling.tails(t.sub, t.n_sub) + np.log10(spelling.new)
     out[some] += each[t.of[some]]
@@ -614,7 +709,7 @@ def log10_words(t: Text, classes: Classes, spelling: Spelling, ids: np.ndarray,
     at = (np.cumsum(n) - n)[some]
     taken = own[at] + whole[t.of[some]]
     high = np.maximum(out[some], taken)
-    out[some] = high + np.log10(10 ** (out[some] - high) + 10 ** (taken - high))
+    out[some] = high + np.log10(1 + _power(np.minimum(out[some], taken) - high))
     return out
 
 
