@@ -30,8 +30,8 @@ back to the blocks.
 from __future__ import annotations
 
 import pickle
-import re
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +44,7 @@ from tokenizers import Tokenizer, pre_tokenizers
 
 from granary.llm.blocks import NO_ID, Words, empty_table, pieces
 from granary.llm.common import forget, text_bytes, written
-from granary.llm.tokens import Vocabulary, vocabulary_path
+from granary.llm.tokens import REMEMBERED, vocabulary, vocabulary_path
 
 CLASSES = 64
 WIDTH = 16
@@ -54,7 +54,7 @@ KINDS, SKETCH, PRIOR = 12, 8, 10
 #: Rounds of averaging; groups in which tasks' models and counts are summed, and then those groups.
 ROUNDS, SUMS = 1, (4096, 16, 1)
 #: Windows in a step of training and in a step of scoring.
-BATCH, SCORED = 128, 96
+BATCH, SCORED = 128, 192
 RATE = 0.02
 SMOOTH = 0.1
 BLOCK_BYTES = 2_000_000
@@ -70,59 +70,137 @@ def held_out(doc_id: int, folds: int = 10) -> bool:
     return doc_id != NO_ID and zlib.crc32(str(doc_id).encode()) % folds == 0
 
 
-#: Words of small letters of Latin-1, in UTF-8.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+def _places(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """s, s + 1 to s + k - 1 for every s, k of starts and n, one after the other."""
+    if not n.all():
+        starts, n = starts[n > 0], n[n > 0]
+    if not len(n):
+        return np.zeros(0, dtype=np.int64)
+    out = np.ones(int(n.sum()), dtype=np.int64)
+    out[0], out[np.cumsum(n)[:-1]] = starts[0], starts[1:] - starts[:-1] - n[:-1] + 1
+    return np.cumsum(out, out=out)
 
 
-class _Vocabulary(Vocabulary):
-    """Words of small letters of Latin-1 are their own normal form and one pre-token each, so the tokenizer's model gets them without
-    its normalizer and its pattern, which take as long."""
+def _spread(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """values[s:s + k] for every s, k of starts and n, one after the other."""
+    return values.take(_places(starts, n))
 
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.letters = Tokenizer(self.tokenizer.model)
-        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-
-    def _encode(self, words: list[bytes]) -> None:
-        own, other = [], []
-        for w in words:
-            (own if _LETTERS.fullmatch(w) else other).append(w)
-        for lo in range(0, len(own), 2_000):
-            part = own[lo : lo + 2_000]
-            ids = np.array(self.letters.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
-            cut = (np.flatnonzero(self.ends[ids]) + 1) * 4
-            if len(cut) != len(part) or cut[-1] != 4 * len(ids):
-                other += part
-                continue
-            blob, at = ids.tobytes(), 0
-            for w, e in zip(part, cut.tolist()):
-                self.known[w] = blob[at:e]
-                at = e
-        super()._encode(other)
-
-
-_vocabularies: dict[str, _Vocabulary] = {}
-
-
-def vocabulary(path: str) -> _Vocabulary:
-    """This process's vocabulary of a path."""
-    if path not in _vocabularies:
-        _vocabularies[path] = _Vocabulary(path)
-    return _vocabularies[path]
 
+class _Words(Words):
+    """Words whose distinct ones, every, are found by Arrow's table of their bytes; of: for each word its place there."""
 
-def _spread(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """values[s:s + k] for every s, k of starts and n, one after the other."""
-    ends = np.cumsum(n)
-    return values[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - n), n)]
+    def _group(self, raw: np.ndarray) -> None:
+        offsets = np.append(0, np.cumsum(self.ends - self.starts))
+        letters = raw[(raw != 32) & (raw - np.uint8(9) >= 5)]
+        both = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        _, ends, text = both.dictionary.buffers()
+        ends, text = np.frombuffer(ends, dtype=np.int64)[: len(both.dictionary) + 1].tolist(), text.to_pybytes() if text else b""
+        self.every, self.of = [text[i:j] for i, j in zip(ends, ends[1:])], both.indices.to_numpy().astype(np.int64)
+
+
+#: What a byte of UTF-8 is to the vocabulary's model, and the second bytes of small letters of Latin-1 after LEAD.
+_SIGNS = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+MAPPED = np.arange(256).astype("<u2")
+MAPPED[[b for b in range(256) if b not in _SIGNS]] = 256 + np.arange(256 - len(_SIGNS))
+MAPPED[32] = 32  # between words
+SMALL, SECOND, LEAD = np.zeros(256, dtype=bool), np.zeros(256, dtype=bool), 0xC3
+SMALL[ord("a") : ord("z") + 1] = True
+SECOND[0x9F:0xC0], SECOND[0xB7] = True, False
+
+
+def of_small_letters(words: list[bytes]) -> np.ndarray:
+    """Which words hold small letters of Latin-1 only, in UTF-8."""
+    raw = np.frombuffer(b" ".join([b"", *words, b""]), dtype=np.uint8)
+    lead, second = raw[:-1] == LEAD, SECOND[raw[1:]]
+    fine = SMALL[raw]
+    fine[:-1] |= lead & second
+    fine[1:] |= lead & second
+    wrong = np.append(0, np.cumsum(~fine))
+    n = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(n + 1)
+    return (n > 0) & (wrong[ends] == wrong[ends - n])
+
+
+class _Met:
+    """Words with their places, and by these their ids and how many they are."""
+
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.sub, self.n = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+        self.begin = self.n
+
+    def at(self, words: list[bytes]) -> np.ndarray:
+        """The words' places, or -1."""
+        return np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.n[places]
+        return _spread(self.sub, self.begin[places], n), n
+
+    def add(self, words: list[bytes], sub: np.ndarray, n: np.ndarray) -> None:
+        self.place.update(zip(words, range(len(self.n), len(self.n) + len(words))))
+        self.sub, self.n = np.append(self.sub, sub), np.append(self.n, n)
+        self.begin = np.cumsum(self.n) - self.n
+
+
+class Encoder:
+    """The ids of distinct words, and those of words met before in arrays of bounded size. Words of small letters of Latin-1 are their
+    own normal form and one pre-token each, so they go to the vocabulary's model in its signs for bytes, without the tokenizer's normalizer
+    and patterns, which take longer than the model."""
+
+    def __init__(self, path: str):
+        self.vocabulary = vocabulary(path)
+        self.model = Tokenizer(self.vocabulary.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.now, self.older = _Met(), _Met()
+
+    def _plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of small letters; each has one id that ends a word, its last."""
+        got = []
+        for lo in range(0, len(words), 2_000):
+            text = MAPPED[np.frombuffer(b" ".join(words[lo : lo + 2_000]), dtype=np.uint8)].tobytes().decode("utf-16-le")
+            got.append(np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4"))
+        sub = np.concatenate(got)
+        n = np.diff(np.flatnonzero(self.vocabulary.ends[sub]), prepend=-1)
+        if len(n) != len(words) or n.sum() != len(sub):
+            return self._other(words)
+        return sub, n
+
+    def _other(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.vocabulary.ids(words)
+        return np.frombuffer(b"".join(got), dtype="<u4"), np.fromiter(map(len, got), np.int64, len(got)) // 4
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one word after the other, and how many each has."""
+        if len(self.now.place) > REMEMBERED:  # words met again since move on; the others go
+            self.now, self.older = _Met(), self.now
+        at = self.now.at(words)
+        if (new := np.flatnonzero(at < 0)).size:
+            fresh = [words[k] for k in new.tolist()]
+            was = self.older.at(fresh)
+            plain = of_small_letters(fresh)
+            for some, make in ((was >= 0, None), ((was < 0) & plain, self._plain), ((was < 0) & ~plain, self._other)):
+                own = [fresh[k] for k in np.flatnonzero(some).tolist()]
+                if own:
+                    self.now.add(own, *(make(own) if make else self.older.of(was[some])))
+            at[new] = self.now.at(fresh)
+        return self.now.of(at)
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a path."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def subwords(path: str, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The ids of distinct words, one word after the other, and how many each has."""
-    parts = Words([b"\n".join(words)], cut=True)  # the words and the signs after them, each distinct one encoded once
-    got = vocabulary(path).ids(parts.at(parts.first))
-    n = np.fromiter(map(len, got), np.int64, len(got)) // 4
-    ids = np.frombuffer(b"".join(got), dtype="<u4")
+    parts = _Words([b"\n".join(words)], cut=True)  # the words and the signs after them, each distinct one encoded once
+    ids, n = encoder(path).ids(parts.every)
     m = n[parts.of]
     every = _spread(ids, (np.cumsum(n) - n)[parts.of], m)
     begins = np.cumsum([0] + [len(w) + 1 for w in words])[:-1]
@@ -145,13 +223,12 @@ class Text:
     ids. The run of ids has the end after each document."""
 
     def __init__(self, ids: list[int], texts: list[bytes], path: str):
-        words = Words([t.lower() for t in texts])
-        every = words.at(words.first)
-        key = np.fromiter(map(xxhash.xxh3_64_intdigest, every), np.uint64, len(every))
+        words = _Words([t.lower() for t in texts])
+        key = WordItems.keys(words.every)
         by = np.argsort(key, kind="stable")
         place = np.empty(len(by), dtype=np.int64)
         place[by] = np.arange(len(by))
-        self.key, self.words = key[by], [every[k] for k in by]
+        self.key, self.words = key[by], [words.every[k] for k in by.tolist()]
         self.of, self.n = place[words.of], words.n
         self.sub, self.n_sub = subwords(path, self.words)
         self.ids = np.array(ids, dtype=np.int64)
@@ -696,8 +773,9 @@ def log10_words(t: Text, classes: Classes, spelling: Spelling, ids: np.ndarray,
     own = ids[inner]
     begin = np.cumsum(t.n_sub) - t.n_sub
     _, pair, after = t.pairs()
-    seen, rest = (_spread(x, begin[t.of], n) for x in spelling.mixed(t.sub, after, pairs[pair]))
-    out = np.bincount(np.repeat(np.arange(len(n)), n), np.log10(seen + rest * _power(own)), len(n))
+    places = _places(begin[t.of], n)
+    seen, rest = (x.take(places) for x in spelling.mixed(t.sub, after, pairs[pair]))
+    out = np.bincount(np.repeat(np.arange(len(n)), n), np.log(seen + rest * _power(own)) / np.log(10), len(n))
     some, known = n > 0, counts > 0
     each = spelling.tails(t.sub, t.n_sub) + np.log10(spelling.new)
     out[some] += each[t.of[some]]
