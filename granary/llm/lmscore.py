@@ -35,6 +35,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -86,16 +87,27 @@ def _spread(values: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray
     return values.take(_places(starts, n))
 
 
+def _array(ends: np.ndarray, letters: np.ndarray) -> pa.Array:
+    """Words that lie in letters one after the other, from each of ends to the next."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+
+
+def _listed(words: pa.Array) -> list[bytes]:
+    """Arrow's own to_pylist is slower."""
+    _, ends, text = words.buffers()
+    ends = np.frombuffer(ends, dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    first, text = (int(ends[0]), text[int(ends[0]) : int(ends[-1])].to_pybytes()) if text and len(words) else (0, b"")
+    ends = (ends - first).tolist()
+    return [text[i:j] for i, j in zip(ends, ends[1:])]
+
+
 class _Words(Words):
     """Words whose distinct ones, every, are found by Arrow's table of their bytes; of: for each word its place there."""
 
     def _group(self, raw: np.ndarray) -> None:
-        offsets = np.append(0, np.cumsum(self.ends - self.starts))
         letters = raw[(raw != 32) & (raw - np.uint8(9) >= 5)]
-        both = pa.Array.from_buffers(pa.large_binary(), len(self.starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
-        _, ends, text = both.dictionary.buffers()
-        ends, text = np.frombuffer(ends, dtype=np.int64)[: len(both.dictionary) + 1].tolist(), text.to_pybytes() if text else b""
-        self.every, self.of = [text[i:j] for i, j in zip(ends, ends[1:])], both.indices.to_numpy().astype(np.int64)
+        both = _array(np.append(0, np.cumsum(self.ends - self.starts)), letters).dictionary_encode()
+        self.every, self.of = _listed(both.dictionary), both.indices.to_numpy().astype(np.int64)
 
 
 #: What a byte of UTF-8 is to the vocabulary's model, and the second bytes of small letters of Latin-1 after LEAD.
@@ -249,7 +261,7 @@ class Text:
         rank = np.empty(len(common), dtype=np.uint32)
         rank[common] = np.arange(len(common), dtype=np.uint32)
         state = (self.ids, self.n, self.held, _planes(common.astype(np.uint32)), _planes(rank[self.of]), self.sub.astype(np.uint32), self.n_sub.astype(np.int32))
-        return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(state, protocol=5))
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(state, protocol=5))
 
     @classmethod
     def unpacked(cls, blob: bytes) -> "Text":
@@ -408,8 +420,6 @@ ONES = np.ones((LENGTH, 1), dtype=np.float32)
 COLUMN = np.ones((CLASSES + 1, 1), dtype=np.float32)
 #: Scores of pairs that are larger are taken as this, up or down.
 LARGE = 30
-#: Places of a window that attend together, by the first place asked for: from, to. None of them meets a place after its cut.
-CUTS = {0: ((16, LENGTH), (0, 16)), OVERLAP: ((24, LENGTH), (16, 24), (OVERLAP, 16))}
 
 
 _ENDS = np.cumsum([int(np.prod(s)) for s in SHAPES.values()]).tolist()
@@ -438,7 +448,7 @@ def tables(m: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     most = (np.abs(m["embed"]).max(axis=0) + np.abs(v).max(axis=0)) @ np.abs(m["out"]) + np.abs(m["bias"])
     return {
         "q": q, "k": k, "v": np.concatenate([v, COLUMN], axis=1), "near": near[BACK], "embed": np.concatenate([m["embed"], 0 * COLUMN], axis=1),
-        "out": np.concatenate([m["out"], m["bias"][None]]), "large score": not np.abs(q @ k.T).max() <= LARGE, "large logit": not most.max() <= 80,
+        "out": np.concatenate([m["out"], m["bias"][None]]), "back": np.ascontiguousarray(m["out"].T), "large score": not np.abs(q @ k.T).max() <= LARGE, "large logit": not most.max() <= 80,
     }
 
 
@@ -447,23 +457,21 @@ def _turned(x: np.ndarray) -> np.ndarray:
 
 
 def attend(m: dict[str, np.ndarray], t: dict[str, np.ndarray], before: np.ndarray, begin: int = 0) -> tuple:
-    """Batched masked attention: hidden states (window, place, WIDTH and a one) of the places from begin on, the mean values in them, each
-    cut's weights and pairs of large scores, and queries, keys and values."""
-    q, k, v = (t[x].take(before, axis=0, mode="clip") for x in "qkv")
-    h, keys = t["embed"].take(before[:, begin:], axis=0, mode="clip"), _turned(k)
-    mean, cuts = np.empty_like(h), []
-    for lo, hi in CUTS[begin]:
-        a = q[:, lo:hi] @ keys[:, :, :hi]
-        large = np.abs(a) > LARGE if t["large score"] else None
-        if large is not None:
-            np.clip(a, -LARGE, LARGE, out=a)
-        np.exp(a, out=a)
-        a *= t["near"][lo:hi, :hi]
-        a /= a @ ONES[:hi]
-        np.matmul(a, v[:, :hi], out=mean[:, lo - begin : hi - begin])
-        cuts.append((a, large))
+    """Batched masked attention: hidden states (window, place, WIDTH and a one) of the places from begin on, the mean values in them,
+    weights, pairs of large scores, and queries, keys and values."""
+    own = before[:, begin:]
+    q, k, v = (t[x].take(y, axis=0, mode="clip") for x, y in (("q", own), ("k", before), ("v", before)))
+    a = q @ _turned(k)
+    large = np.abs(a) > LARGE if t["large score"] else None
+    if large is not None:
+        np.clip(a, -LARGE, LARGE, out=a)
+    np.exp(a, out=a)
+    a *= t["near"][begin:]
+    a /= a @ ONES
+    mean = a @ v
+    h = t["embed"].take(own, axis=0, mode="clip")
     h += mean
-    return h, mean, cuts, q, k, v
+    return h, mean, a, large, q, k, v
 
 
 def logits(t: dict[str, np.ndarray], hidden: np.ndarray) -> np.ndarray:
@@ -483,7 +491,7 @@ def gradients(m: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray,
     """The gradient, as one vector, of the mean log loss over real places, and that loss. Products are made window by window, since
     large thin ones are slow, and what scales whole rows of logits is left to their narrow sides."""
     t = tables(m)
-    h, mean, cuts, q, k, v = attend(m, t, before)
+    h, mean, a, large, q, k, v = attend(m, t, before)
     flat = np.zeros(SIZE, dtype=np.float32)
     g = parts(flat)
     weight, n = real.astype(np.float32), max(1, int(real.sum()))
@@ -498,35 +506,26 @@ def gradients(m: dict[str, np.ndarray], before: np.ndarray, target: np.ndarray,
     h *= scale
     both = (h.transpose(0, 2, 1) @ p).sum(axis=0)
     g["out"][:], g["bias"][:] = both[:WIDTH], both[WIDTH]
-    # Of hidden states, with what takes their mean off the pairs' scores beside them; of values, queries and keys.
-    grown = np.empty((*before.shape, 4 * WIDTH + 1), dtype=np.float32)
-    dh, d, dv, dq, dk = grown[:, :, :WIDTH], grown[:, :, : WIDTH + 1], *(grown[:, :, x * WIDTH + 1 : (x + 1) * WIDTH + 1] for x in (1, 2, 3))
-    np.multiply(p @ np.ascontiguousarray(m["out"].T), scale, out=dh)
-    np.matmul(dh * mean[:, :, :WIDTH], -ONES[:WIDTH, 0], out=d[:, :, WIDTH])
-    back, near = _turned(v), np.zeros((LENGTH, LENGTH), dtype=np.float32)
-    for (lo, hi), (a, large) in zip(CUTS[0], cuts):
-        turned = a.transpose(0, 2, 1)
-        if hi == LENGTH:
-            np.matmul(turned, dh[:, lo:hi], out=dv)
-        else:
-            dv[:, :hi] += turned @ dh[:, lo:hi]
-        # Masked pairs have weight 0, so they add nothing.
-        a *= d[:, lo:hi] @ back[:, :, :hi]
-        near[lo:hi, :hi] = a.sum(axis=0)
-        if large is not None:
-            a[large] = 0
-        np.matmul(a, k[:, :hi], out=dq[:, lo:hi])
-        if hi == LENGTH:
-            np.matmul(turned, q[:, lo:hi], out=dk)
-        else:
-            dk[:, :hi] += turned @ q[:, lo:hi]
+    dh = p @ t["back"]
+    dh *= scale
+    turned = a.transpose(0, 2, 1)
+    dv = turned @ dh
+    # Of the pairs' scores; masked pairs have weight 0, so they add nothing.
+    low = np.einsum("wpk,wpk->wp", dh, mean[:, :, :WIDTH])[:, :, None]
+    da = dh @ _turned(v[:, :, :WIDTH])
+    da -= low
+    a *= da
+    near = a.sum(axis=0)
+    if large is not None:
+        a[large] = 0
     g["near"][:] = np.bincount(BACK.reshape(-1), near.reshape(-1), LENGTH + 1)[:LENGTH]
-    row = before.reshape(-1)  # of bytes, which are sorted by their digits
+    row = before.reshape(-1)
     count = np.bincount(row, minlength=CLASSES + 1)
-    some = np.flatnonzero(count)
-    by_class = np.zeros((CLASSES + 1, 4 * WIDTH + 1), dtype=np.float32)
-    by_class[some] = np.add.reduceat(grown.reshape(len(row), -1).take(np.argsort(row.astype(np.uint8, copy=False), kind="stable"), axis=0, mode="clip"), (np.cumsum(count) - count)[some], axis=0)
-    dh, dv, dq, dk = (np.ascontiguousarray(by_class[:, x : x + WIDTH]) for x in (0, WIDTH + 1, 2 * WIDTH + 1, 3 * WIDTH + 1))
+    some, by = np.flatnonzero(count), np.argsort(row.astype(np.uint8, copy=False), kind="stable")  # bytes are sorted by their digits
+    first, by_class = (np.cumsum(count) - count)[some], np.zeros((4, CLASSES + 1, WIDTH), dtype=np.float32)
+    for x, grown in zip(by_class, (dh, dv, a @ k, turned @ q)):
+        x[some] = np.add.reduceat(grown.reshape(-1, WIDTH).take(by, axis=0, mode="clip"), first, axis=0)
+    dh, dv, dq, dk = by_class
     dq *= np.float32(WIDTH**-0.5)
     g["embed"][:] = dh + dv @ m["v"].T + dq @ m["q"].T + dk @ m["k"].T
     g["v"][:], g["q"][:], g["k"][:] = m["embed"].T @ dv, m["embed"].T @ dq, m["embed"].T @ dk
@@ -623,32 +622,44 @@ def _joined(words: list[bytes]) -> bytes:
     return zstandard.ZstdCompressor(level=1).compress(b"\n".join(words))
 
 
-def _cut(blob: bytes) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
+class WordItems:
+    """Words as what is counted; they are added up and found in Arrow's arrays, and dealt as lists."""
 
+    @staticmethod
+    def listed(blob: bytes) -> list[bytes]:
+        return zstandard.ZstdDecompressor().decompress(blob).split(b"\n")
 
-class WordItems:
-    """Words as what is counted."""
+    @staticmethod
+    def cut(blob: bytes) -> pa.Array:
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8)
+        stops = np.append(np.flatnonzero(raw == 10), len(raw))
+        return _array(np.append(0, stops - np.arange(len(stops))), raw[raw != 10])
 
-    cut, joined = staticmethod(_cut), staticmethod(_joined)
+    @staticmethod
+    def joined(items: pa.Array | list[bytes]) -> bytes:
+        return _joined(items if isinstance(items, list) else _listed(items))
 
     @staticmethod
     def keys(items: list[bytes]) -> np.ndarray:
         return np.fromiter(map(xxhash.xxh3_64_intdigest, items), np.uint64, len(items))
 
     @staticmethod
-    def added(rows: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
-        total: dict[bytes, int] = {}
-        for items, counts in rows:
-            for w, c in zip(items, counts.tolist()):
-                if c:
-                    total[w] = total.get(w, 0) + c
-        return list(total), np.fromiter(total.values(), np.int64, len(total))
+    def together(rows: list[pa.Array]) -> pa.Array:
+        return pa.concat_arrays(rows)
+
+    @staticmethod
+    def added(rows: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        some = [np.flatnonzero(c) for _, c in rows]
+        both = pa.concat_arrays([x.take(pa.array(k)) for (x, _), k in zip(rows, some)]).dictionary_encode()
+        of, counts = both.indices.to_numpy(), np.concatenate([c[k] for (_, c), k in zip(rows, some)])
+        total = np.zeros(len(both.dictionary), dtype=np.int64)
+        np.add.at(total, of, counts)
+        return both.dictionary, total
 
     @staticmethod
-    def finder(items: list[bytes], counts: np.ndarray):
-        total = dict(zip(items, counts.tolist()))
-        return lambda asked: np.fromiter((total.get(x, 0) for x in asked), np.int64, len(asked))
+    def finder(items: pa.Array, counts: np.ndarray):
+        counts = np.append(counts, 0)
+        return lambda asked: counts[pc.index_in(asked, value_set=items).fill_null(len(items)).to_numpy()]
 
 
 class PairItems:
@@ -658,6 +669,8 @@ class PairItems:
     def cut(blob: bytes) -> np.ndarray:
         return np.frombuffer(blob, dtype="<u8")
 
+    listed = cut
+
     @staticmethod
     def joined(items: np.ndarray) -> bytes:
         return np.asarray(items).astype("<u8").tobytes()
@@ -666,6 +679,8 @@ class PairItems:
     def keys(items: np.ndarray) -> np.ndarray:
         return items
 
+    together = staticmethod(np.concatenate)
+
     @staticmethod
     def added(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         items, counts = (np.concatenate([r[k] for r in rows]) for k in (0, 1))
@@ -699,7 +714,7 @@ def counted(blocks: DataFrame, kind, part_words: int = PART_WORDS, group_blocks:
     def dealt(batches):
         for b in batches:
             for block, blob, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                x, c = kind.cut(blob.as_py()), np.frombuffer(counts.as_py(), dtype=np.int64)
+                x, c = kind.listed(blob.as_py()), np.frombuffer(counts.as_py(), dtype=np.int64)
                 cuts = [0, *np.searchsorted(kind.keys(x), np.array(fences, dtype=np.uint64)).tolist(), len(x)]
                 rows = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
                 yield pa.RecordBatch.from_arrays(
@@ -725,8 +740,9 @@ def counted(blocks: DataFrame, kind, part_words: int = PART_WORDS, group_blocks:
     n, v, once = totals.agg(*[F.coalesce(F.sum(x), F.lit(0)) for x in ("n", "v", "once")]).first()
 
     def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        find = kind.finder(*_added(right, kind))
-        got = [find(kind.cut(x.as_py())).astype(np.int64).tobytes() for x in left.column("items")]
+        asked = [kind.cut(x.as_py()) for x in left.column("items")]
+        every = kind.finder(*_added(right, kind))(kind.together(asked)).astype(np.int64) if asked else []
+        got = [x.tobytes() for x in np.split(every, np.cumsum([len(x) for x in asked])[:-1])] if asked else []
         return pa.table({"block": left.column("block"), "part": left.column("part"), "counts": pa.array(got, pa.binary())})
 
     sent = totals.select("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_groups - 1).cast("long"))).alias("group"), "items", "counts")
@@ -746,7 +762,7 @@ def log10_ids(t: Text, classes: Classes, model: np.ndarray) -> tuple[np.ndarray,
     out = classes.share[ids]
     doc, first, scored_from = windows(starts, n, np.arange(len(n)), OVERLAP)
     ends = (starts + n)[doc]
-    for begin in CUTS:  # a document's first window has no overlap; of the others only the places after it are queries
+    for begin in (0, OVERLAP):  # a document's first window has no overlap; of the others only the places after it are queries
         own = np.flatnonzero(scored_from - first == begin)
         for lo in range(0, len(own), SCORED):
             w = own[lo : lo + SCORED]

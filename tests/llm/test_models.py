@@ -226,6 +226,53 @@ def test_words_against_a_plain_loop():
     assert taken <= 1 - by_class[0] + 1e-6 and all_first[-1] + new * (1 - all_first[-1]) + (1 - new) * taken <= 1 + 1e-6
 
 
+def test_context_is_not_scored_again(monkeypatch):
+    """The places of a window that are context alone are keys, but neither queries nor scored: each id is scored once, with little
+    padding."""
+    classes, flat, _ = a_model(1)
+    t = lmscore.Text([1, 2], [b"w " * 3000, b"x, " * 900], tokens.vocabulary_path())
+    classes = lmscore.Classes(np.ones(len(tokens.vocabulary(tokens.vocabulary_path()).ends) + 1), np.zeros(len(tokens.vocabulary(tokens.vocabulary_path()).ends), dtype=bool))
+    asked, real = [], lmscore.attend
+    monkeypatch.setattr(lmscore, "attend", lambda *a, **k: (lambda got: (asked.append(got[0].shape[0] * got[0].shape[1]), got)[1])(real(*a, **k)))
+    ids, _ = lmscore.log10_ids(t, classes, flat)
+    assert len(ids) <= sum(asked) < 1.05 * len(ids)
+    m, before = lmscore.parts(flat), np.random.default_rng(0).integers(0, 65, (5, 32))
+    x, y = (real(m, lmscore.tables(m), before, k)[0] for k in (0, lmscore.OVERLAP))
+    assert np.allclose(x[:, lmscore.OVERLAP :], y, atol=1e-5)
+
+
+def test_encoder_against_the_tokenizer(monkeypatch):
+    """Words of small letters pass by the normalizer and the patterns; ids are the tokenizer's, whatever was met and forgotten before."""
+    r, path = np.random.default_rng(4), tokens.vocabulary_path()
+    letters = [chr(c) for c in (*range(97, 123), *range(0xC0, 0x180), 0x301, 0x4E00, 0x130, ord("7"), ord("-"), ord("'"))]
+    words = list(dict.fromkeys("".join(r.choice(letters[:26] if k % 2 else letters, r.integers(1, 9))).encode() for k in range(3000)))
+    plain = lmscore.of_small_letters(words)
+    assert plain.tolist() == [all("a" <= c <= "z" or "\xdf" <= c <= "\xff" and c != "\xf7" for c in w.decode()) for w in words] and 0 < plain.sum() < len(words)
+    monkeypatch.setattr(lmscore, "REMEMBERED", 700)
+    e, tok = lmscore.Encoder(path), tokens.vocabulary(path).tokenizer
+    for lo in (0, 500, 1000, 300, 2000, 0):
+        own = words[lo : lo + 900]
+        ids, n = e.ids(own)
+        want = [tok.encode(w.decode(), add_special_tokens=False).ids for w in own]
+        assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_words_are_added_up():
+    r, items = np.random.default_rng(3), lmscore.WordItems
+    rows = [[b"w%d" % k for k in np.unique(r.integers(0, 90, 40))] for _ in range(5)]
+    rows = [(x, r.integers(0, 3, len(x))) for x in rows]
+    want = collections.Counter()
+    for x, n in rows:
+        for w, c in zip(x, n.tolist()):
+            want[w] += c
+    total = items.added([(items.cut(items.joined(x)), n) for x, n in rows])
+    assert dict(zip(items.listed(items.joined(total[0])), total[1].tolist())) == {w: c for w, c in want.items() if c}
+    asked = [b"w%d" % k for k in range(100)]
+    assert items.finder(*total)(items.cut(items.joined(asked))).tolist() == [want[w] for w in asked]
+    nothing = items.added([(items.cut(items.joined(x)), n * 0) for x, n in rows])
+    assert len(nothing[0]) == 0 and items.finder(*nothing)(items.cut(items.joined(asked))).tolist() == [0] * 100
+
+
 def test_pairs_are_added_up():
     r = np.random.default_rng(3)
     rows = [(np.unique(r.integers(0, 90, 40)).astype(np.uint64), None) for _ in range(5)]
