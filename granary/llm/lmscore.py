@@ -15,8 +15,8 @@ taken whole: P(class of its first id | ids before) * its share of the training w
 words are spelled is the Good-Turing estimate of new words: the share of training words that occur once. The words and the end
 that may come next have a sum of at most 1, so the score is a log probability of the text.
 
-Queries and keys depend on classes alone, and what attention adds for their distance is a learned bias, so the scores of all pairs
-of classes are a table, made once a batch.
+Queries, keys and values depend on classes alone, so they are rows of tables, made once a batch; what attention adds for their
+distance is a learned bias.
 
 Texts are scored in windows of LENGTH ids that overlap by OVERLAP; the overlap is context only, so each id is scored once.
 Counts come from all training texts. The model is trained on all windows of the training texts, each id once a round, by
